@@ -1,6 +1,556 @@
-"""All queries of the engine by name, with their SQL where it can express them."""
+"""Queries over the whole tables, one for each operator, with SQL for the same rows where SQL can express them.
+
+Bibliographic records are a view of `documents` (BIB). Labels are drawn from md5 digits, and signal phrases are added to
+abstracts by id, since the texts hold few of them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import signals as sig
+from .functions import text as tx
+from .operators import checkpoint as cp
+from .operators import resolve as rs
+from .operators import schema as sc
+from .plans import enrichment as en
+from .plans import screening as scr
+
+BIB = """
+select doc_id as seq,
+  case when doc_id % 10 = 9 then '' else concat('S', cast(doc_id % 300 as varchar(20))) end as source_id,
+  case doc_id % 6 when 0 then 'IEEE Xplore' when 1 then 'PubMed' when 2 then 'ACM Digital Library'
+       when 3 then 'Scopus' when 4 then 'Engineering Village / Compendex' else 'Springer Link' end as database,
+  split_part(text, chr(10), 1) as title,
+  case when doc_id % 4 = 0 then '' else source end as authors,
+  cast(2000 + n_chars % 25 as varchar(20)) as year,
+  source as publication,
+  case when n_chars % 3 = 0 then '' else cast(n_chars % 2 + 1 as varchar(20)) end as volume,
+  case when doc_id % 3 = 0 then ''
+       when doc_id % 11 = 0 then concat('https://doi.org/10.5555/', cast(doc_id - doc_id % 55 as varchar(20)))
+       else concat('https://doi.org/10.1234/', upper(substr(md5(text), 1, 12))) end as doi,
+  case when doc_id % 14 = 0 then '' else text end as abstract,
+  concat(lang, '; ', source) as keywords
+from documents
+"""
+PHRASES = (
+    "", "a wearable sensor for a serious game", "emg and semg signals", "cable and ble", "çeeg study", "cognitive training with an assistive robot",
+    "virtual reality and machine learning over bluetooth", "monitoring of older adults in a smart home", "systematic review of exergames",
+    "stimulates the cognitive and physical state; ambient assisted living with a camera", "iot network", "deep learning",
+)
+NOTES = ("The metadata does not mention AI.", "It does not use AI; rule-based.", "AI is not mentioned.", "Neural methods, a threshold.", "A médico; não menciona IA.")
+FIELDS = ("serious_game", "gamification_only", "health", "ai", "iot", "secondary_or_incomplete")
+CONFIG = {"model": "m-1", "prompt_version": "1.9", "classifier_version": "1.11", "prompt_sha256": "p"}
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(BIB.replace("from documents", "from {d}"), d=docs(spark, sf_dir))
+
+
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bib(spark, sf_dir)
+    more = {"master_id": F.lit(""), "document_type": F.lit(""), "url": F.lit(""), "metadata_status": F.lit("IMPORTED"), "metadata_source": F.concat("database", F.lit(" export"))}
+    return rows.withColumns(more).select("seq", *sc.CANONICAL).where(tx.safe_text(F.col("title")) != "")
+
+
+# SQL pieces
+WITH = f"WITH bib AS ({BIB})\n"
+
+
+def q_strip(c: str) -> str:
+    return f"trim(coalesce({c}, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def q_title(c: str) -> str:
+    return f"trim(regexp_replace(lower(strip_accents({q_strip(c)})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def q_doi(c: str) -> str:
+    return f"rtrim(regexp_replace(regexp_replace(lower({q_strip(c)}), '^https?://(dx\\.)?doi\\.org/', ''), '^doi\\s*:\\s*', ''), '.,; ')"
+
+
+def q_volume(c: str) -> str:
+    return f"regexp_replace(lower({q_strip(c)}), '^(\\d+)\\.0$', '\\1')"
+
+
+def q_extract(c: str) -> str:
+    found = f"rtrim(regexp_extract({q_strip(c)}, '(?i)10\\.\\d{{4,9}}/[-._;()/:A-Z0-9]+', 0), '.,;:]}}>''\"')"
+    fixed = f"CASE WHEN ends_with({found}, ')') AND length(replace({found}, '(', '')) > length(replace({found}, ')', '')) THEN left({found}, length({found}) - 1) ELSE {found} END"
+    return q_doi(fixed)
+
+
+KEYED = f"""{WITH}, keyed AS (SELECT *, {q_title("title")} AS title_key, {q_doi("doi")} AS doi_key, {q_volume("volume")} AS volume_key FROM bib WHERE {q_strip("title")} <> '')
+"""
+
+
+@query("canonical_records", KEYED + "SELECT seq, source_id, database, title_key, doi_key, volume_key, regexp_extract(year, '(19|20)\\d{2}', 0) AS year FROM keyed")
+def canonical_records(spark, sf_dir):
+    return keyed(spark, sf_dir).select("seq", "source_id", "database", "title_key", "doi_key", "volume_key", tx.clean_year(F.col("year")).alias("year"))
+
+
+def keyed(spark, sf_dir):
+    rows = bib(spark, sf_dir).where(tx.safe_text(F.col("title")) != "")
+    return rows.withColumns({"title_key": tx.normalize_title(F.col("title")), "doi_key": tx.normalize_doi(F.col("doi")), "volume_key": tx.normalize_volume(F.col("volume"))})
+
+
+@query("normalize_title", WITH + f"SELECT seq, {q_title('title')} AS title_key FROM bib")
+def normalize_title(spark, sf_dir):
+    return bib(spark, sf_dir).select("seq", tx.normalize_title(F.col("title")).alias("title_key"))
+
+
+@query("normalize_doi", WITH + f"SELECT seq, {q_doi('doi')} AS doi_key FROM bib")
+def normalize_doi(spark, sf_dir):
+    return bib(spark, sf_dir).select("seq", tx.normalize_doi(F.col("doi")).alias("doi_key"))
+
+
+@query("normalize_volume", WITH + f"SELECT seq, {q_volume('v')} AS volume_key FROM (SELECT seq, concat(volume, CASE WHEN seq % 2 = 0 AND volume <> '' THEN '.0' ELSE '' END) AS v FROM bib)")
+def normalize_volume(spark, sf_dir):
+    v = F.concat("volume", F.when((F.col("seq") % 2 == 0) & (F.col("volume") != ""), ".0").otherwise(""))
+    return bib(spark, sf_dir).select("seq", tx.normalize_volume(v).alias("volume_key"))
+
+
+@query("clean_year", WITH + "SELECT seq, CASE WHEN seq % 5 = 0 THEN 'n.d.' ELSE regexp_extract(concat('Jan ', year, ' 3'), '\\b((19|20)\\d{2})\\b', 1) END AS year FROM bib")
+def clean_year(spark, sf_dir):
+    y = F.when(F.col("seq") % 5 == 0, "n.d.").otherwise(F.concat(F.lit("Jan "), "year", F.lit(" 3")))
+    return bib(spark, sf_dir).select("seq", tx.clean_year(y).alias("year"))
+
+
+@query("extract_doi", WITH + f"SELECT seq, {q_extract('t')} AS doi FROM (SELECT seq, concat('See (', doi, '), and more') AS t FROM bib)")
+def extract_doi(spark, sf_dir):
+    return bib(spark, sf_dir).select("seq", tx.extract_doi(F.concat(F.lit("See ("), "doi", F.lit("), and more"))).alias("doi"))
+
+
+RECOVER = f"SELECT seq, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b WHEN c <> '' THEN c ELSE {q_strip('doi')} END AS doi FROM (SELECT seq, doi, {q_extract('doi')} AS a, {q_extract('url')} AS b, {q_extract('source_id')} AS c FROM raw)"
+
+
+@query("recover_missing_dois", WITH + f", raw AS (SELECT seq, CASE WHEN seq % 2 = 0 THEN doi ELSE 'none' END AS doi, concat('http://x/', doi) AS url, source_id FROM bib) {RECOVER}")
+def recover_missing_dois(spark, sf_dir):
+    rows = bib(spark, sf_dir).select("seq", F.when(F.col("seq") % 2 == 0, F.col("doi")).otherwise("none").alias("doi"), F.concat(F.lit("http://x/"), "doi").alias("url"), "source_id")
+    return rows.select("seq", tx.recover_doi(F.col("doi"), F.col("url"), F.col("source_id")).alias("doi"))
+
+
+@query("clean_html_pages", "SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+def clean_html_pages(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", tx.clean_html(F.col("html")).alias("text"))
+
+
+EXPORT_COLUMNS = {"Título": "title", "Source": "publication", "Ano": "year", "DOI": "doi", "Resumo": "abstract", "Palavras-chave": "keywords", "ID": "source_id"}
+
+
+@query("standardize_records", WITH + f"SELECT seq, {q_strip('source_id')} AS source_id, 'Scopus' AS database, {q_strip('title')} AS title, {q_strip('year')} AS year, {q_strip('publication')} AS publication, {q_doi('doi')} AS doi, {q_strip('keywords')} AS keywords FROM bib WHERE {q_strip('title')} <> ''")
+def standardize_records(spark, sf_dir):
+    rows = bib(spark, sf_dir).select("seq", *[F.col(c).alias(h) for h, c in EXPORT_COLUMNS.items()])
+    return sc.standardize(rows, "scopus").select("seq", "source_id", "database", "title", "year", "publication", "doi", "keywords")
+
+
+@query("coalesce_aliases", WITH + "SELECT seq, coalesce(nullif(trim(authors), ''), nullif(trim(volume), ''), '') AS value FROM bib")
+def coalesce_aliases(spark, sf_dir):
+    return bib(spark, sf_dir).select("seq", tx.first_non_empty(F.col("authors"), F.col("volume")).alias("value"))
+
+
+@query("combine_keywords", WITH + "SELECT seq, concat_ws('; ', nullif(authors, ''), CASE WHEN publication <> authors THEN publication END, nullif(volume, '')) AS keywords FROM bib")
+def combine_keywords(spark, sf_dir):
+    return bib(spark, sf_dir).select("seq", tx.combine_unique(F.col("authors"), F.col("publication"), F.col("volume"), F.col("publication")).alias("keywords"))
+
+
+@query("fallback_source_ids", WITH + f"SELECT seq, CASE WHEN source_id = '' THEN concat('SCOPUS-', lpad(p::VARCHAR, greatest(4, length(p::VARCHAR))::INT, '0')) ELSE source_id END AS source_id FROM (SELECT *, row_number() OVER (ORDER BY seq) AS p FROM bib WHERE {q_strip('title')} <> '')")
+def fallback_source_ids(spark, sf_dir):
+    return sc.fallback_ids(sc.standardize(bib(spark, sf_dir)), "scopus").select("seq", "source_id")
+
+
+HAVE_IDS = "CASE WHEN seq % 7 = 0 THEN concat('MASTER-', lpad(cast(seq AS varchar(20)), 4, '0')) WHEN seq % 7 = 1 THEN 'odd' ELSE '' END"
+
+
+def some_ids(rows):
+    s = F.col("seq")
+    return rows.withColumn("master_id", F.when(s % 7 == 0, F.concat(F.lit("MASTER-"), F.format_string("%04d", s))).when(s % 7 == 1, "odd").otherwise(""))
+
+
+NUMBERED_IDS = "concat('MASTER-', lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0'))"
+GIVEN = "CASE WHEN seq % 7 = 0 THEN concat('MASTER-', lpad(seq::VARCHAR, greatest(4, length(seq::VARCHAR))::INT, '0')) WHEN seq % 7 = 1 THEN 'odd' ELSE '' END"
+
+
+@query("assign_master_ids", WITH + f", given AS (SELECT seq, {GIVEN} AS master_id FROM bib), top AS (SELECT max(seq) AS m FROM bib WHERE seq % 7 = 0) SELECT seq, master_id FROM given WHERE master_id <> '' UNION ALL SELECT seq, {NUMBERED_IDS} FROM (SELECT seq, (SELECT m FROM top) + row_number() OVER (ORDER BY seq) AS n FROM given WHERE master_id = '')")
+def assign_master_ids(spark, sf_dir):
+    return rs.assign_ids(some_ids(bib(spark, sf_dir))).select("seq", "master_id")
+
+
+@query("validate_master_ids", WITH + f"SELECT master_id, count(*) AS n FROM (SELECT {GIVEN} AS master_id FROM bib) GROUP BY master_id HAVING master_id = '' OR count(*) > 1")
+def validate_master_ids(spark, sf_dir):
+    return rs.invalid_ids(some_ids(bib(spark, sf_dir)))
+
+
+@query("database_membership", WITH + "SELECT seq, database IN ('Engineering Village / Compendex') AS compendex, database = 'Springer Link' AS springer FROM bib")
+def database_membership(spark, sf_dir):
+    return bib(spark, sf_dir).select("seq", tx.belongs_to(F.col("database"), "compendex").alias("compendex"), tx.belongs_to(F.col("database"), "springer").alias("springer"))
+
+
+# Matching as joins
+
+PAIRS = KEYED + """, pairs AS (SELECT a.seq AS seq, b.seq AS earlier, a.source_id = b.source_id AND a.source_id <> '' AND a.database = b.database AS same_id,
+  (a.authors = b.authors OR a.authors = '' OR b.authors = '') AND (a.publication = b.publication OR a.publication = '' OR b.publication = '') AND (a.year = b.year OR a.year = '' OR b.year = '') AS same_rest
+  FROM keyed a JOIN keyed b ON a.title_key = b.title_key AND b.seq < a.seq
+  WHERE a.title_key <> '' AND (a.doi_key = b.doi_key OR a.doi_key = '' OR b.doi_key = '') AND (a.volume_key = b.volume_key OR a.volume_key = '' OR b.volume_key = ''))
+"""
+
+
+def agree(c):
+    a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
+    return (a == b) | (a == "") | (b == "")
+
+
+def title_pairs(spark, sf_dir):
+    k = keyed(spark, sf_dir).select("seq", "title_key", "doi_key", "volume_key", "source_id", "database", "authors", "publication", "year").where("title_key <> ''")
+    near = k.alias("a").join(k.alias("b"), (F.col("a.title_key") == F.col("b.title_key")) & (F.col("b.seq") < F.col("a.seq")) & agree("doi_key") & agree("volume_key"))
+    same = (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.source_id") != "") & (F.col("a.database") == F.col("b.database"))
+    rest = agree("authors") & agree("publication") & agree("year")
+    return near.select(F.col("a.seq").alias("seq"), F.col("b.seq").alias("earlier"), same.alias("same_id"), rest.alias("same_rest"))
+
+
+@query("title_candidates", PAIRS + "SELECT seq, count(*) AS candidates, min(earlier) AS first FROM pairs GROUP BY seq")
+def title_candidates(spark, sf_dir):
+    return title_pairs(spark, sf_dir).groupBy("seq").agg(F.count(F.lit(1)).alias("candidates"), F.min("earlier").alias("first"))
+
+
+@query("unique_title_match", PAIRS + "SELECT seq, min(earlier) AS matched FROM pairs GROUP BY seq HAVING count(*) = 1")
+def unique_title_match(spark, sf_dir):
+    return title_pairs(spark, sf_dir).groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("earlier").alias("matched")).where("n = 1").drop("n")
+
+
+@query("origin_match", PAIRS + "SELECT seq, min(earlier) AS matched FROM pairs WHERE same_id AND same_rest GROUP BY seq HAVING count(*) = 1")
+def origin_match(spark, sf_dir):
+    return title_pairs(spark, sf_dir).where("same_id and same_rest").groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("earlier").alias("matched")).where("n = 1").drop("n")
+
+
+@query("dedup_by_doi", KEYED + "SELECT k.seq, f.first AS matched FROM keyed k JOIN (SELECT doi_key, min(seq) AS first FROM keyed WHERE doi_key <> '' GROUP BY doi_key) f USING (doi_key) WHERE k.seq > f.first")
+def dedup_by_doi(spark, sf_dir):
+    k = keyed(spark, sf_dir).select("seq", "doi_key").where("doi_key <> ''")
+    return k.join(k.groupBy("doi_key").agg(F.min("seq").alias("matched")), "doi_key").where("seq > matched").select("seq", "matched")
+
+
+@query("internal_dedup")
+def internal_dedup(spark, sf_dir):
+    return rs.internal_dedup(canonical(spark, sf_dir))[0]
+
+
+@query("internal_duplicates_report")
+def internal_duplicates_report(spark, sf_dir):
+    return rs.internal_dedup(canonical(spark, sf_dir))[1]
+
+
+@query("create_master")
+def create_master(spark, sf_dir):
+    rows = canonical(spark, sf_dir)
+    return rs.upsert(rows.limit(0), rows)[0]
+
+
+def twice(spark, sf_dir):
+    """A master, and the same rows again behind it."""
+    rows = canonical(spark, sf_dir)
+    master = rs.upsert(rows.limit(0), rows)[0]
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    return rs.upsert(master, rows.withColumn("seq", F.col("seq") + last + 1))
+
+
+@query("master_upsert")
+def master_upsert(spark, sf_dir):
+    return twice(spark, sf_dir)[0]
+
+
+@query("master_duplicates_report")
+def master_duplicates_report(spark, sf_dir):
+    return twice(spark, sf_dir)[1]
+
+
+@query("fill_missing_metadata", KEYED + ", f AS (SELECT doi_key, min(seq) AS first FROM keyed WHERE doi_key <> '' GROUP BY doi_key) SELECT k.seq, coalesce(nullif(k.authors, ''), b.authors) AS authors, coalesce(nullif(k.volume, ''), b.volume) AS volume FROM keyed k JOIN f USING (doi_key) JOIN keyed b ON b.seq = f.first")
+def fill_missing_metadata(spark, sf_dir):
+    k = keyed(spark, sf_dir).select("seq", "doi_key", "authors", "volume").where("doi_key <> ''")
+    first = k.groupBy("doi_key").agg(F.min_by(F.struct("authors", "volume"), "seq").alias("b"))
+    return k.join(first, "doi_key").select("seq", *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"b.{c}")).alias(c) for c in ("authors", "volume")])
+
+
+# Enrichment
+
+API_SQL = "CASE WHEN seq % 5 = 0 THEN 'FOUND' WHEN seq % 17 = 0 THEN 'ERROR' ELSE '' END"
+
+
+def api_rows(spark, sf_dir):
+    s = F.col("seq")
+    rows = canonical(spark, sf_dir).withColumns({"springer_api_status": F.when(s % 5 == 0, "FOUND").when(s % 17 == 0, "ERROR").otherwise(""), "springer_api_error": F.lit(""), "springer_api_title": F.lit(""), "springer_api_doi": F.lit(""), "springer_api_document_type": F.lit("")})
+    return rows.withColumn("abstract", F.when(s % 3 == 1, F.col("abstract")).otherwise(""))
+
+
+PLAN_SQL = KEYED + f""", r AS (SELECT seq, doi_key, {API_SQL} AS st, CASE WHEN seq % 3 = 1 THEN {q_strip("abstract")} ELSE '' END AS abstract FROM keyed),
+m AS (SELECT *, CASE WHEN abstract <> '' THEN 'HAS_ABSTRACT' WHEN st = 'FOUND' THEN 'FINAL' WHEN doi_key = '' THEN 'NO_DOI' ELSE 'CALL' END AS action FROM r),
+c AS (SELECT seq, row_number() OVER (ORDER BY seq) AS k FROM m WHERE action = 'CALL'),
+p AS (SELECT m.*, c.k, (SELECT min(seq) FROM c WHERE k = 101) AS stop FROM m LEFT JOIN c USING (seq)),
+plan AS (SELECT seq, st, doi_key, CASE WHEN stop IS NOT NULL AND seq >= stop THEN 'AFTER_CAP' ELSE action END AS action, CASE WHEN stop IS NULL OR seq < stop THEN k END AS call FROM p)
+"""
+
+
+@query("enrichment_plan", PLAN_SQL + "SELECT seq, action, call FROM plan")
+def enrichment_plan(spark, sf_dir):
+    return en.plan(api_rows(spark, sf_dir), 100).select("seq", "action", "call")
+
+
+@query("enrichment_apply", PLAN_SQL + """SELECT seq, CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN 'FOUND' WHEN call IS NOT NULL THEN 'NOT_FOUND' WHEN action = 'HAS_ABSTRACT' AND st = '' THEN 'ALREADY_HAS_ABSTRACT' WHEN action = 'NO_DOI' THEN 'NO_DOI' ELSE st END AS springer_api_status,
+  CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN CASE WHEN seq % 4 = 0 THEN 'ABSTRACT_FOUND' ELSE 'METADATA_FOUND_NO_ABSTRACT' END ELSE 'IMPORTED' END AS metadata_status,
+  CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN 'Article' ELSE '' END AS document_type FROM plan""")
+def enrichment_apply(spark, sf_dir):
+    planned = en.plan(api_rows(spark, sf_dir), 100)
+    found = F.col("seq") % 2 == 0
+    payload = F.when(found, F.when(F.col("seq") % 4 == 0, F.lit('{"abstract": "<p>A &amp; b</p>", "contentType": "Article", "keyword": ["x", "y"]}')).otherwise(F.lit('{"abstract": "", "contentType": "Article"}')))
+    answers = planned.where("call is not null").select("seq", F.when(found, "FOUND").otherwise("NOT_FOUND").alias("status"), payload.alias("payload"), F.lit("").alias("error"))
+    return en.apply(planned, answers).select("seq", "springer_api_status", "metadata_status", "document_type")
+
+
+@query("api_status_map", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN 'RATE_LIMIT' WHEN 2 THEN 'AUTH_OR_QUOTA_ERROR' WHEN 3 THEN 'AUTH_OR_QUOTA_ERROR' WHEN 4 THEN CASE doc_id % 2 WHEN 0 THEN 'FOUND' ELSE 'NOT_FOUND' END WHEN 5 THEN 'ERROR' ELSE 'ERROR' END AS status FROM documents")
+def api_status_map(spark, sf_dir):
+    d, k = docs(spark, sf_dir), F.col("doc_id") % 7
+    code = F.element_at(F.array(*[F.lit(x) for x in (404, 429, 401, 403, 200, 500, 200)]), (k + 1).cast("int"))
+    body = F.when(k == 6, F.lit("no json")).when(F.col("doc_id") % 2 == 0, F.lit('{"records": [{"title": "t"}]}')).otherwise(F.lit('{"records": []}'))
+    return d.select("doc_id", en.http_status(code, body).alias("status"))
+
+
+@query("springer_merge")
+def springer_merge(spark, sf_dir):
+    rows = api_rows(spark, sf_dir).where(F.col("database") == "Springer Link")
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    blank = rows.withColumn("doi", F.when(F.col("seq") % 4 == 1, "").otherwise(F.col("doi")))
+    return rs.merge_enrichment(blank, canonical(spark, sf_dir).where(F.col("database") == "Springer Link").withColumn("seq", F.col("seq") + last + 1))
+
+
+# Screening
+
+PHRASE_SQL = "[" + ", ".join("'" + p + "'" for p in PHRASES) + "][seq % " + str(len(PHRASES)) + " + 1]"
+NOTES_SQL = "[" + ", ".join("'" + p + "'" for p in NOTES) + "][seq % " + str(len(NOTES)) + " + 1]"
+ARTICLES = KEYED + f""", art AS (SELECT seq, concat('MASTER-', lpad(seq::VARCHAR, greatest(4, length(seq::VARCHAR))::INT, '0')) AS master_id, database, title, CASE WHEN {q_strip("abstract")} = '' THEN '' ELSE trim(concat({q_strip("abstract")}, ' ', {PHRASE_SQL})) END AS abstract, keywords, authors, year, publication, volume, doi, source_id,
+  {NOTES_SQL} AS evidence_ai, {", ".join(f"CASE WHEN substr(md5(concat(abstract, '{f}')), 1, 1) IN ('0','1','2','3','4','5','6','7') THEN " + ("CASE WHEN substr(md5(concat(abstract, 'iot')), 1, 1) < '4' THEN 'EXPLICIT_IOT' ELSE 'FUNCTIONALLY_COMPATIBLE' END" if f == "iot" else "'YES'") + f" WHEN substr(md5(concat(abstract, '{f}')), 1, 1) IN ('8','9','a','b') THEN 'NO' ELSE 'UNCERTAIN' END AS {f}" for f in FIELDS)} FROM keyed)
+, txt AS (SELECT *, lower(concat_ws(' ', title, abstract, keywords)) AS t FROM art)
+"""
+
+
+def q_any(c: str, terms: tuple, acronyms: tuple = sig.ACRONYMS) -> str:
+    parts = [f"contains({c}, '{t}')" for t in terms if t not in acronyms]
+    short = [t for t in terms if t in acronyms]
+    if short:
+        parts.append(f"regexp_matches({c}, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(short)})([^\\p{{L}}\\p{{N}}_]|$)')")
+    return "(" + " OR ".join(parts) + ")"
+
+
+def articles(spark, sf_dir):
+    s = F.col("seq")
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (s % len(PHRASES) + 1).cast("int"))
+    rows = canonical(spark, sf_dir)
+    label = {}
+    for f in FIELDS:
+        d = F.substring(F.md5(F.concat("abstract", F.lit(f))), 1, 1)
+        yes = F.when(d < "4", "EXPLICIT_IOT").otherwise("FUNCTIONALLY_COMPATIBLE") if f == "iot" else F.lit("YES")
+        label[f] = F.when(d < "8", yes).when(d < "c", "NO").otherwise("UNCERTAIN")
+    rows = rows.withColumns(label | {"master_id": tx.format_master_id(s), "evidence_ai": F.element_at(F.array(*[F.lit(p) for p in NOTES]), (s % len(NOTES) + 1).cast("int")), "notes": F.lit("")})
+    text = tx.safe_text(F.col("abstract"))
+    rows = rows.withColumn("abstract", F.when(text == "", "").otherwise(F.trim(F.concat_ws(" ", text, phrase))))
+    return rows.withColumns({c: F.lit("e") for c in scr.EVIDENCE if c != "evidence_ai"})
+
+
+def text_of(rows):
+    return rows.withColumn("t", sig.signal_text(F.col("title"), F.col("abstract"), F.col("keywords")))
+
+
+CALIBRATED_SQL = ", ".join(f"{q_any('t', getattr(sig, k.upper()))} AS {k}" for k in ("acquisition", "interaction", "stimulation", "assistive"))
+
+
+@query("lexical_signals", ARTICLES + f"SELECT seq, {CALIBRATED_SQL} FROM txt")
+def lexical_signals(spark, sf_dir):
+    return text_of(articles(spark, sf_dir)).select("seq", *[c.alias(k) for k, c in sig.calibrated(F.col("t")).items()])
+
+
+CUE_SQL = f"({q_any('t', sig.STIMULATION)} OR (regexp_matches(t, '{sig.STIMULATE}') AND regexp_matches(t, '{sig.STIMULUS_CONTEXT}')))"
+FOLDED = "lower(strip_accents(evidence_ai))"
+OMISSION_SQL = f"(NOT {q_any(FOLDED, sig.BLOCKERS)} AND regexp_matches({FOLDED}, '{sig.AI_TOPIC}') AND {q_any(FOLDED, sig.OMISSIONS)})"
+
+
+@query("legacy_signals", ARTICLES + f"""SELECT seq, {q_any('t', sig.GAME)} AS game, {q_any('t', sig.HEALTH)} AS health, {q_any('t', sig.AI)} AS ai, {q_any('t', sig.EXPLICIT_IOT)} AS explicit_iot, {q_any('t', sig.AAL)} AS aal, {q_any('t', sig.SECONDARY)} AS secondary,
+  {q_any('t', sig.DEVICE)} AND {q_any('t', sig.COMMUNICATION)} AS connected, {q_any('t', sig.IMMERSIVE)} AND {q_any('t', sig.AI)} AND ({q_any('t', sig.DEVICE)} OR {q_any('t', sig.COMMUNICATION)}) AS multimodal FROM txt""")
+def legacy_signals(spark, sf_dir):
+    return text_of(articles(spark, sf_dir)).select("seq", *[c.alias(k) for k, c in sig.legacy(F.col("t")).items()])
+
+
+@query("omission_cue", ARTICLES + f"SELECT seq, {OMISSION_SQL} AS cue FROM txt")
+def omission_cue(spark, sf_dir):
+    return articles(spark, sf_dir).select("seq", sig.omission_cue(F.col("evidence_ai"), F.col("notes")).alias("cue"))
+
+
+@query("stimulation_cue", ARTICLES + f"SELECT seq, {CUE_SQL} AS cue FROM txt")
+def stimulation_cue(spark, sf_dir):
+    return text_of(articles(spark, sf_dir)).select("seq", sig.stimulation_cue(F.col("t")).alias("cue"))
+
+
+DECIDED = ARTICLES + f""", s AS (SELECT *, {CALIBRATED_SQL}, {CUE_SQL} AS cue, {OMISSION_SQL} AS omission, iot IN ('EXPLICIT_IOT', 'FUNCTIONALLY_COMPATIBLE') AS known FROM txt),
+rule AS (SELECT *, CASE WHEN serious_game = 'YES' AND gamification_only = 'YES' THEN 'contradiction' WHEN secondary_or_incomplete = 'YES' THEN 'secondary' WHEN gamification_only = 'YES' THEN 'gamification'
+  WHEN serious_game = 'YES' AND health = 'YES' AND ai = 'YES' AND iot = 'NO' AND acquisition THEN 'RESGATE_IOT_3_DE_4'
+  WHEN health = 'YES' AND ai = 'YES' AND (serious_game = 'NO' OR iot = 'NO') AND interaction AND acquisition THEN 'RESGATE_MULTIMODAL'
+  WHEN serious_game = 'NO' AND health = 'YES' AND ai IN ('YES', 'UNCERTAIN') AND known AND stimulation AND assistive THEN 'RESGATE_AAL_ESTIMULACAO'
+  WHEN secondary_or_incomplete = 'NO' AND gamification_only = 'NO' AND serious_game = 'NO' AND health = 'YES' AND ai = 'NO' AND omission AND iot <> 'NO' AND acquisition AND assistive AND cue THEN 'RESGATE_AAL_METADADOS_INCOMPLETOS'
+  WHEN serious_game = 'NO' THEN 'serious_game' WHEN health = 'NO' THEN 'health' WHEN ai = 'NO' THEN 'ai' WHEN iot = 'NO' THEN 'iot'
+  WHEN 'UNCERTAIN' IN (serious_game, gamification_only, health, ai, iot, secondary_or_incomplete) THEN 'uncertain' ELSE 'retain' END AS rule FROM s),
+made AS (SELECT *, CASE WHEN rule IN ('contradiction', 'uncertain') OR starts_with(rule, 'RESGATE') THEN 'UNCERTAIN' WHEN rule = 'retain' THEN 'RETAIN' ELSE 'EXCLUDE' END AS decision, CASE WHEN starts_with(rule, 'RESGATE') THEN rule ELSE '' END AS rescue_code FROM rule),
+res AS (SELECT seq, master_id, database, CASE WHEN abstract = '' THEN 'NO_ABSTRACT' WHEN seq % 13 = 0 THEN 'API_ERROR' ELSE 'SUCCESS' END AS api_status,
+  CASE WHEN abstract = '' THEN 'UNCERTAIN' WHEN seq % 13 = 0 THEN 'API_ERROR' ELSE decision END AS decision, CASE WHEN abstract = '' OR seq % 13 = 0 THEN '' ELSE rescue_code END AS rescue_code, title, abstract, keywords FROM made)
+"""
+
+
+@query("screening_decision", DECIDED + "SELECT seq, decision, rescue_code FROM made")
+def screening_decision(spark, sf_dir):
+    return articles(spark, sf_dir).withColumn("d", scr.decision()).select("seq", "d.decision", "d.rescue_code")
+
+
+def screened(spark, sf_dir):
+    rows = articles(spark, sf_dir)
+    answers = rows.select("master_id", *scr.LABELS, *scr.EVIDENCE, "notes", F.when(F.col("seq") % 13 == 0, "429 quota").alias("api_error"))
+    return scr.results(rows.select(*sc.CANONICAL), answers, CONFIG)
+
+
+@query("screening_results", DECIDED + "SELECT master_id, database, api_status, decision, rescue_code FROM res")
+def screening_results(spark, sf_dir):
+    return screened(spark, sf_dir).select("master_id", "database", "api_status", "decision", "rescue_code")
+
+
+@query("rescue_distribution", DECIDED + "SELECT rescue_code, count(*) AS n FROM res GROUP BY rescue_code")
+def rescue_distribution(spark, sf_dir):
+    return screened(spark, sf_dir).groupBy("rescue_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("no_abstract_results", DECIDED + f"SELECT master_id, decision, '{scr.REASONS['no_abstract']}' AS decision_reason FROM res WHERE api_status = 'NO_ABSTRACT'")
+def no_abstract_results(spark, sf_dir):
+    return scr.sheets(screened(spark, sf_dir))["No_abstract"].select("master_id", "decision", "decision_reason")
+
+
+COUNT_SQL = "count(*) FILTER (WHERE api_status = 'SUCCESS') AS successful_api_analyses, count(*) FILTER (WHERE api_status = 'NO_ABSTRACT') AS no_abstract, count(*) FILTER (WHERE api_status = 'API_ERROR') AS api_errors, count(*) FILTER (WHERE decision = 'RETAIN') AS retain, count(*) FILTER (WHERE decision = 'UNCERTAIN') AS uncertain, count(*) FILTER (WHERE decision = 'EXCLUDE') AS exclude, count(*) FILTER (WHERE rescue_code <> '') AS safety_rescues"
+
+
+@query("screening_summary", DECIDED + f", c AS (SELECT count(*) AS total, {COUNT_SQL} FROM res) SELECT unnest(range(1, 14))::INT AS position, unnest(['Database', 'Model', 'Prompt version', 'Classifier version', 'Total records', 'Successful API analyses', 'No abstract', 'API errors', 'RETAIN', 'UNCERTAIN', 'EXCLUDE', 'Safety rescues', 'Pending']) AS indicator, unnest(['All', 'm-1', '1.9', '1.11', total::VARCHAR, successful_api_analyses::VARCHAR, no_abstract::VARCHAR, api_errors::VARCHAR, retain::VARCHAR, uncertain::VARCHAR, exclude::VARCHAR, safety_rescues::VARCHAR, greatest(total - successful_api_analyses - no_abstract, 0)::VARCHAR]) AS value FROM c")
+def screening_summary(spark, sf_dir):
+    rows = screened(spark, sf_dir)
+    return scr.summary(rows, rows.count(), "All", CONFIG)
+
+
+@query("summary_by_database", DECIDED + f"SELECT coalesce(database, 'Total') AS database, count(*) AS records, {COUNT_SQL} FROM res GROUP BY ROLLUP (database)")
+def summary_by_database(spark, sf_dir):
+    return scr.by_database(screened(spark, sf_dir))
+
+
+@query("import_quality", WITH + f"SELECT database, count(*) AS records, count(*) FILTER (WHERE {q_strip('abstract')} <> '') AS abstracts, count(*) FILTER (WHERE doi <> '') AS dois, count(*) FILTER (WHERE keywords <> '') AS keywords FROM bib GROUP BY database")
+def import_quality(spark, sf_dir):
+    has = lambda c: F.count_if(tx.safe_text(F.col(c)) != "")
+    return bib(spark, sf_dir).groupBy("database").agg(F.count(F.lit(1)).alias("records"), has("abstract").alias("abstracts"), has("doi").alias("dois"), has("keywords").alias("keywords"))
+
+
+ERROR_SQL = "['HTTP 429', 'Quota exceeded', '403 denied', 'Invalid API key', '503', 'model under High Demand', 'timeout', ''][doc_id % 8 + 1]"
+ERRORS = ("HTTP 429", "Quota exceeded", "403 denied", "Invalid API key", "503", "model under High Demand", "timeout", "")
+
+
+@query("error_classification", f"SELECT doc_id, {', '.join('(' + ' OR '.join(f'contains(lower(e), {chr(39)}{c}{chr(39)})' for c in cues) + f') AS {k}' for k, cues in scr.ERROR_CUES.items())} FROM (SELECT doc_id, {ERROR_SQL} AS e FROM documents)")
+def error_classification(spark, sf_dir):
+    e = F.element_at(F.array(*[F.lit(x) for x in ERRORS]), (F.col("doc_id") % 8 + 1).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", *[scr.error_is(k, e).alias(k) for k in scr.ERROR_CUES])
+
+
+@query("screening_sheets", DECIDED + "SELECT sheet, count(*) AS n FROM (SELECT unnest(list_filter(['Results', CASE WHEN decision <> 'API_ERROR' THEN decision END, CASE WHEN rescue_code <> '' THEN 'Safety_rescue' END, CASE WHEN api_status = 'NO_ABSTRACT' THEN 'No_abstract' WHEN api_status = 'API_ERROR' THEN 'API_errors' END], lambda x : x IS NOT NULL)) AS sheet FROM res) GROUP BY sheet")
+def screening_sheets(spark, sf_dir):
+    out = None
+    for name, rows in scr.sheets(screened(spark, sf_dir)).items():
+        part = rows.groupBy(F.lit(name).alias("sheet")).agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("sorted_results", DECIDED + "SELECT master_id, decision FROM res ORDER BY master_id")
+def sorted_results(spark, sf_dir):
+    return screened(spark, sf_dir).select("master_id", "decision").orderBy("master_id")
+
+
+# Checkpoints
+
+
+def q_json(c: str) -> str:
+    out = c
+    for a, b in (("chr(92)", "chr(92) || chr(92)"), ("chr(34)", "chr(92) || chr(34)"), ("chr(10)", "chr(92) || 'n'"), ("chr(13)", "chr(92) || 'r'"), ("chr(9)", "chr(92) || 't'")):
+        out = f"replace({out}, {a}, {b})"
+    return f"chr(34) || {out} || chr(34)"
+
+
+def q_fingerprint(title: str, abstract: str, keywords: str) -> str:
+    q = [q_json(q_strip(c)) for c in (abstract, keywords, title)]
+    return f"sha256('{{\"abstract\": ' || {q[0]} || ', \"keywords\": ' || {q[1]} || ', \"title\": ' || {q[2]} || '}}')"
+
+
+@query("metadata_fingerprint", WITH + f"SELECT seq, {q_fingerprint('title', 'abstract', 'keywords')} AS sha FROM bib")
+def metadata_fingerprint(spark, sf_dir):
+    return bib(spark, sf_dir).select("seq", tx.metadata_fingerprint(F.col("title"), F.col("abstract"), F.col("keywords")).alias("sha"))
+
+
+def saved(spark, sf_dir):
+    """Results of an older run over the same records: some have another model or title, some are saved twice."""
+    n = F.regexp_extract("master_id", r"(\d+)$", 1).cast("long")
+    rows = screened(spark, sf_dir).withColumn("n", n)
+    rows = rows.withColumns({"model": F.when(n % 10 == 3, "m-0").otherwise(F.col("model")), "title": F.when(n % 10 == 4, F.concat("title", F.lit(" x"))).otherwise(F.col("title")), "year": F.when(n % 10 == 5, "1999").otherwise(F.col("year"))})
+    again = rows.where(n % 10 == 6).withColumns({"pos": n + 1_000_000_000, "decision": F.lit("RETAIN")})
+    return rows.withColumn("pos", n).unionByName(again).drop("n")
+
+
+SAVED = DECIDED + """, old AS (SELECT seq, master_id, CASE WHEN api_status = 'API_ERROR' THEN seq % 10 = 6 AND false ELSE true END AS done, CASE WHEN seq % 10 = 6 AND api_status <> 'X' THEN 'RETAIN' ELSE decision END AS decision, api_status FROM res)
+, ok AS (SELECT seq, master_id, api_status, decision, api_status <> 'API_ERROR' AND seq % 10 NOT IN (3, 4) AND (api_status = 'SUCCESS' OR decision = 'UNCERTAIN') AS valid FROM old)
+"""
+
+
+@query("checkpoint_valid", SAVED + "SELECT master_id, valid FROM ok")
+def checkpoint_valid(spark, sf_dir):
+    old = saved(spark, sf_dir)
+    return cp.paired(old, articles(spark, sf_dir)).select(F.col("s_master_id").alias("master_id"), cp.validity(old.columns, CONFIG).alias("valid"))
+
+
+@query("reconcile_checkpoint", SAVED + "SELECT master_id, decision, seq % 10 = 5 AS refreshed FROM ok WHERE valid")
+def reconcile_checkpoint(spark, sf_dir):
+    return cp.reconcile(saved(spark, sf_dir), articles(spark, sf_dir), CONFIG).select("master_id", "decision", "refreshed")
+
+
+@query("bibliography_changed", SAVED + "SELECT master_id, seq % 10 = 5 AS changed FROM old")
+def bibliography_changed(spark, sf_dir):
+    old, now = saved(spark, sf_dir), articles(spark, sf_dir)
+    return cp.paired(old, now).select(F.col("s_master_id").alias("master_id"), cp.changed(cp.paired(old, now), old.columns, now.columns).alias("changed"))
+
+
+@query("replace_result", DECIDED + "SELECT master_id, CASE WHEN seq % 9 = 0 THEN 'RETAIN' ELSE decision END AS decision FROM res")
+def replace_result(spark, sf_dir):
+    rows = screened(spark, sf_dir)
+    n = F.regexp_extract("master_id", r"(\d+)$", 1).cast("long")
+    return cp.replace(rows, rows.where(n % 9 == 0).withColumn("decision", F.lit("RETAIN"))).select("master_id", "decision")
+
+
+@query("pending_records", DECIDED + "SELECT master_id FROM res WHERE api_status = 'API_ERROR'")
+def pending_records(spark, sf_dir):
+    return cp.pending(articles(spark, sf_dir), screened(spark, sf_dir)).select("master_id")
+
+
+@query("completed_ids", DECIDED + "SELECT master_id FROM res WHERE api_status <> 'API_ERROR'")
+def completed_ids(spark, sf_dir):
+    return cp.completed_ids(screened(spark, sf_dir))
