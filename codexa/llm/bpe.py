@@ -38,6 +38,7 @@ MAX_WORDS = 300_000
 MAX_ARCS = 100_000
 #: Longer words are encoded one by one.
 WIDE = 48
+SLICE = 3 << 20
 LETTER, NUMBER, SPACE = 1, 2, 3
 
 
@@ -464,7 +465,7 @@ def encode_column(docs: DataFrame, path: str | None = None, text: str = "text",
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            for x in slices(batch, text):
+            for x in slices(batch, text, SLICE):
                 found, at = enc.encode(x.column(kept.index(text)))
                 yield pa.RecordBatch.from_arrays([*x.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32()))], [*kept, ids])
 
@@ -495,7 +496,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            for x in slices(batch):
+            for x in slices(batch, limit=SLICE):
                 ids, at = enc.encode(x.column(1))
                 d, n = enc.digits(ids, at)
                 text = enc.auto.decode_bytes(ids)

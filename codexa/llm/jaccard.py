@@ -14,7 +14,8 @@ over prefixes, in blocks: a block is a range of shingle hashes, and travels as p
    centre's component get other centres in further rounds, until the pairs across components are few in relation to the
    entries, or ROUNDS rounds are over; then all of those pairs are tried. So no link between classes of
    different components is missed, while a group of copies is never expanded into all pairs.
-5. Candidate pairs are verified on the whole sets: 100 * overlap >= 80 * union.
+   All candidates are held against the same bound with the entries of either class in any bucket.
+5. What is left is verified on the whole sets: 100 * overlap >= 80 * union.
 6. Components by label propagation with pointer jumping over written tables.
 
 Hashes have 64 bits. Two different shingles of one pair's sets would have to collide to change a verdict.
@@ -37,8 +38,8 @@ from .text import mix, shingle_sets, slices, column_bytes
 WORDS = 5
 SMALL = 8
 ROUNDS = 8
-#: So many pairs across components, or twice the entries of large buckets, are tried at once.
-FEW = 200_000
+#: So many pairs across components (over all buckets), or MANY for each entry of large buckets, are tried at once.
+FEW, MANY = 200_000, 16
 #: Shingles counted more often go last; at most MAX_COMMON of them are broadcast, with the bar raised until they fit.
 COMMON = 32
 MAX_COMMON = 1 << 20
@@ -47,7 +48,7 @@ BLOCK = 2_000_000
 MIN_BLOCKS = 1024
 #: Candidate ids that may be broadcast to select their texts; beyond it they are joined.
 MAX_BROADCAST = 2_000_000
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 
 
 def signature(s: np.ndarray) -> int:
@@ -216,6 +217,15 @@ def small_pairs(posts: DataFrame) -> DataFrame:
     return may.where(F.col("c") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) + rest >= need).select("a", "b")
 
 
+def reachable(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The pairs whose overlap can reach the bound if all prefix entries that either shares with any class were common to both.
+
+    entries: sig, n, e (the class's entries in buckets of two or more)."""
+    rows = pairs.join(entries.withColumnsRenamed({"sig": "a", "n": "na", "e": "ea"}), "a").join(entries.withColumnsRenamed({"sig": "b", "n": "nb", "e": "eb"}), "b")
+    rest = F.greatest(F.floor((4 * F.col("na") + 4) / 5), F.floor((4 * F.col("nb") + 4) / 5)) - 1
+    return rows.where(F.least("ea", "eb") + rest >= F.ceil(4 * (F.col("na") + F.col("nb")) / 9)).select("a", "b")
+
+
 def star_pairs(large: DataFrame, round_: int, scratch: Scratch) -> DataFrame:
     """a, b: members of large buckets with the bucket's centre, where their components differ. large: h, sig, n, comp."""
     key = F.xxhash64("sig", F.lit(round_)) if round_ else F.col("sig")
@@ -234,7 +244,7 @@ def remaining_pairs(large: DataFrame) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """sig and the set, as bytes of sorted hashes, of the classes (sig, doc_id of one member, distinct)."""
+    """sig and the set, as bytes of sorted hashes, of the classes (sig, doc_id of one member)."""
     ids = classes.select("doc_id").distinct()
     chosen = texts(docs).join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id", "left_semi")
 
@@ -294,18 +304,22 @@ def join_documents(docs: DataFrame) -> DataFrame:
     bits = min(bits + (1 << bits < total // BLOCK), 30)
     common = common_shingles(docs, bits)
     posts = scratch.keep(postings(docs, bits, common), "postings")
-    classes = scratch.keep(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNotNull()).alias("named")), "classes")
+    classes = scratch.keep(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "classes")
     pairs = scratch.keep(small_pairs(posts), "pairs")
     large = scratch.keep(posts.where(F.col("held") > SMALL).select("h", "sig", "n"), "large")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).distinct()
-    chosen = scratch.keep(classes.join(wanted, "sig", "left_semi"), "chosen")
-    sets = scratch.keep(class_sets(docs, chosen).dropDuplicates(["sig"]), "sets")
+    entries = scratch.keep(posts.groupBy("sig").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("e")), "entries")
+
+    def verified(more: DataFrame) -> DataFrame:
+        may = scratch.keep(reachable(more, entries), "reachable")
+        wanted = may.select(F.col("a").alias("sig")).union(may.select("b")).distinct()
+        chosen = scratch.keep(classes.join(wanted, "sig", "left_semi"), "chosen")
+        return scratch.keep(verify(may, scratch.keep(class_sets(docs, chosen).dropDuplicates(["sig"]), "sets")), "links")
 
     n_large = large.count()
     placed, labels, links, tested, round_, last = large.withColumn("comp", F.col("sig")), None, None, None, 0, False
     more = scratch.keep(star_pairs(placed, 0, scratch).union(pairs).distinct(), "candidates")
     while True:
-        found = scratch.keep(verify(more, sets), "links")
+        found = verified(more)
         tested = more if tested is None else tested.unionByName(more)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
@@ -315,7 +329,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
         if not left:
             break
         round_ += 1
-        last = round_ >= ROUNDS or left <= max(FEW, 2 * n_large)
+        last = round_ >= ROUNDS or left <= max(FEW, MANY * n_large)
         more = remaining_pairs(placed) if last else star_pairs(placed, round_, scratch)
         more = scratch.keep(more.distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
 

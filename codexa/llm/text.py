@@ -24,7 +24,7 @@ LOWER[65:91] += 32
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,7 +41,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             a = np.full(size, base, np.uint64)
             a[0] = 1
             made.append(np.cumprod(a, dtype=np.uint64))
-        if size > 4 * SLICE_BYTES:
+        if size > 16 * SLICE_BYTES:
             return made[0], made[1]
         _powers[:] = made
     return _powers[0], _powers[1]

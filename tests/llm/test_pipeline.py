@@ -1,0 +1,51 @@
+"""The pipeline, stage by stage, on the smallest tables."""
+
+import duckdb
+import numpy as np
+import pandas as pd
+
+import corpus_pipeline
+from codexa.llm import mixing, quality, toxicity
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.toPandas()
+        out = stage(spark, docs, DATA)
+        path = f"file://{tmp_path}/{k}"
+        out.write.parquet(path)
+        after = spark.read.parquet(path)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert after.columns == columns
+        rows = after.toPandas()
+        if name == "quality_classifier":
+            scores = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))).toPandas()
+            assert sorted(rows.doc_id) == sorted(scores[scores.predicted == 1].doc_id)
+        elif name == "toxicity":
+            scores = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))).toPandas()
+            assert sorted(rows.doc_id) == sorted(scores[scores.predicted == 0].doc_id)
+        elif name == "ngram_jaccard":
+            assert rows.doc_id.is_unique and set(rows.doc_id) <= set(before.doc_id) and rows.text.is_unique
+        elif name == "mix_sources":
+            con = duckdb.connect()
+            con.register("documents", before)
+            want = con.sql(f"select doc_id, count(*) n from ({mixing.OP6_SQL}) group by 1").df()
+            assert rows.groupby("doc_id").size().to_dict() == dict(zip(want.doc_id, want.n, strict=True))
+        else:
+            assert len(rows) == len(before) and np.all(rows.n_tokens > 0)
+        docs = after
+
+
+def test_run_returns_tokens(spark):
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert isinstance(stage(spark, docs, DATA).toPandas(), pd.DataFrame)
