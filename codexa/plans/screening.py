@@ -78,7 +78,7 @@ def results(articles: DataFrame, assessments: DataFrame, config: dict[str, str],
     """One result row for each article: SUCCESS, NO_ABSTRACT, or API_ERROR where labels are missing or not allowed.
 
     assessments: master_id, the labels, their evidence, notes, and api_error (null if the call went well).
-    config: model, prompt_version, classifier_version, prompt_sha256.
+    config: model, prompt_version, classifier_version, prompt_hash.
     """
     base = articles.select(*[safe_text(F.col(c)).alias(c) for c in BASE], safe_text(F.col("abstract")).alias("abstract"), safe_text(F.col("keywords")).alias("keywords"))
     rows = base.join(assessments, "master_id", "left")
@@ -87,8 +87,8 @@ def results(articles: DataFrame, assessments: DataFrame, config: dict[str, str],
     rows = rows.withColumns({"_status": F.when(empty, "NO_ABSTRACT").when(good, "SUCCESS").otherwise("API_ERROR"), "_made": decision(lexicons)})
     status = F.col("_status")
     pick = lambda success, none, error: F.when(status == "SUCCESS", success).when(status == "NO_ABSTRACT", F.lit(none)).otherwise(F.lit(error))
-    out = [F.lit(config["model"]).alias("model"), F.lit(config["prompt_version"]).alias("prompt_version"), F.lit(config["classifier_version"]).alias("classifier_version"), F.lit(config["prompt_sha256"]).alias("prompt_sha256")]
-    out += [F.col(c) for c in BASE] + [metadata_fingerprint(F.col("title"), F.col("abstract"), F.col("keywords")).alias("metadata_sha256")]
+    out = [metadata_fingerprint(F.col("title"), F.col("abstract"), F.col("keywords")).alias("metadata_hash"), F.lit(config["prompt_hash"]).alias("prompt_hash")]
+    out += [F.col(c) for c in BASE] + [F.lit(config[c]).alias(c) for c in ("model", "prompt_version", "classifier_version")]
     for label, evidence in zip(LABELS, ("evidence_serious_game", "evidence_gamification", "evidence_health", "evidence_ai", "evidence_iot", "evidence_study_type"), strict=True):
         out += [pick(F.col(label), "NOT_EVALUATED", "NOT_EVALUATED").alias(label), pick(F.col(evidence), "Abstract unavailable.", "").alias(evidence)]
     rescue = pick(F.col("_made.rescue_code"), "", "")

@@ -41,7 +41,7 @@ PHRASES = (
 )
 NOTES = ("The metadata does not mention AI.", "It does not use AI; rule-based.", "AI is not mentioned.", "Neural methods, a threshold.", "A médico; não menciona IA.")
 FIELDS = ("serious_game", "gamification_only", "health", "ai", "iot", "secondary_or_incomplete")
-CONFIG = {"model": "m-1", "prompt_version": "1.9", "classifier_version": "1.11", "prompt_sha256": "p"}
+CONFIG = {"model": "m-1", "prompt_version": "1.9", "classifier_version": "1.11", "prompt_hash": "p"}
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -263,13 +263,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path, (".csv", ".txt", ".tsv", ".xlsx")).select("file", F.posexplode(parsed("name", "content")).alias("row", "cells"))
 
 
+def cell(header: str):
+    return F.coalesce(F.get(F.filter("cells", lambda c: c["header"] == F.lit(header)), 0)["value"], F.lit(""))
+
+
 def table_records(rows: DataFrame, database: str) -> DataFrame:
     """seq and the canonical columns of a database's tables, each file by its own headers in their order."""
     headers = rows.groupBy("file").agg(F.first(F.transform("cells", lambda c: c["header"])).alias("h")).orderBy("file").collect()  # a row for each file
     out = None
     for r in headers:
         names = list(dict.fromkeys(r["h"]))
-        wide = rows.where(F.col("file") == r["file"]).select("file", "row", *[F.coalesce(F.get(F.filter("cells", lambda c, n=n: c["header"] == n), 0)["value"], F.lit("")).alias(n or f"_{k}") for k, n in enumerate(names)])
+        wide = rows.where(F.col("file") == r["file"]).select("file", "row", *[cell(n).alias(n or f"_{k}") for k, n in enumerate(names)])
         part = map_export(wide, database, F.struct("file", "row"), skip=("file", "row"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.select(F.struct("file", "row").alias("seq"), *[F.lit("").alias(c) for c in CANONICAL]).limit(0)
