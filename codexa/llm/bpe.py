@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import _VALUES, column_bytes, mix, powers, ragged, slices
 
@@ -470,7 +471,7 @@ def encode_column(docs: DataFrame, path: str | None = None, text: str = "text",
                 yield pa.RecordBatch.from_arrays([*x.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32()))], [*kept, ids])
 
     rows = docs.select(*kept)
-    return rows.mapInArrow(run, rows.schema.add(ids, "array<int>"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_column(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -485,7 +486,7 @@ def decode_column(df: DataFrame, path: str | None = None, ids: str = "ids", text
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([auto.decode(x) if x is not None else None for x in lists.to_pylist()], pa.string())], [*kept, text])
 
     rows = df.select(*kept)
-    return rows.mapInArrow(run, rows.schema.add(text, "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

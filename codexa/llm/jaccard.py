@@ -16,7 +16,7 @@ over prefixes, in blocks: a block is a range of shingle hashes, and travels as p
    different components is missed, while a group of copies is never expanded into all pairs.
    All candidates are held against the same bound with the entries of either class in any bucket.
 5. What is left is verified on the whole sets: 100 * overlap >= 80 * union.
-6. Components by label propagation with pointer jumping over written tables.
+6. Components: by one task up to AT_ONCE links, else by label propagation with pointer jumping over written tables.
 
 Hashes have 64 bits. Two different shingles of one pair's sets would have to collide to change a verdict.
 
@@ -48,6 +48,8 @@ BLOCK = 2_000_000
 MIN_BLOCKS = 1024
 #: Candidate ids that may be broadcast to select their texts; beyond it they are joined.
 MAX_BROADCAST = 2_000_000
+#: Links whose components one task works out; above it labels are propagated over tables.
+AT_ONCE = 200_000
 FLUSH = 1_500_000
 
 
@@ -279,8 +281,31 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components_at_once(edges: DataFrame) -> DataFrame:
+    """`components` of few edges, in one task of an executor."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "comp"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, comp long")
+
+
+def components(edges: DataFrame, scratch: Scratch, at_once: int = AT_ONCE) -> DataFrame:
     """node, comp: the smallest node that each node of the edges (a, b) reaches."""
+    if edges.count() <= at_once:
+        return scratch.keep(components_at_once(edges), "labels")
     both = scratch.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels")
     while True:

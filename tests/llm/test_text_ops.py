@@ -87,6 +87,25 @@ def test_jaccard_large_groups_and_shared_passages(spark):
     assert got == brute_components(rows)
 
 
+def test_components_by_propagation(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    for limit in (0, 1000):
+        got = dict(map(tuple, jaccard.components(df, Scratch(spark), limit).collect()))
+        near = collections.defaultdict(set)
+        for a, b in edges:
+            near[a].add(b)
+            near[b].add(a)
+        for node in near:
+            seen, todo = {node}, [node]
+            while todo:
+                for x in near[todo.pop()] - seen:
+                    seen.add(x)
+                    todo.append(x)
+            assert got[node] == min(seen)
+
+
 def test_jaccard_star_rounds(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW", 0)
     monkeypatch.setattr(jaccard, "MANY", 0)
@@ -144,7 +163,8 @@ def test_lines_measures(docs, empty):
 
 def test_lines_across_documents(spark):
     own = lambda i, n: " ".join(f"d{i}w{k}" for k in range(n))
-    rows = [(i, f"Shared  line {'x ' * 20}\n{own(i, 30 if i % 2 else 4)}", "a" if i < 8 else "b") for i in range(12)] + [(20, "Shared line " + "x " * 20 + "\n" + own(1, 4), "a")] * 2
+    common = own("s", 20)
+    rows = [(i, f"Shared  line {common}\n{own(i, 30 if i % 2 else 4)}", "a" if i < 8 else "b") for i in range(12)] + [(20, f"Shared line {common} \n{own(1, 4)}", "a")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("extra", F.lit(1))
     out = {r.doc_id: (r.kept, r.n_removed_words) for r in lines.judge(df, limit=5).collect()}
     assert out[0] == (False, 22) and out[1] == (True, 22) and out[9] == (True, 0) and out[10] == (True, 0) and out[20] == (False, 22)
