@@ -7,7 +7,8 @@ count, maps each number to a slot. Ranges of slots become shard files, in which
 reader finds any slot, and resumes at any, by arithmetic.
 
 Numbers need no global window: documents are sorted in ranges, each range's sequence total is one row, and those totals
-(one for each partition) give the ranges' first numbers. Sequences are dealt to shards by slot, evenly by construction.
+(one for each partition) give the ranges' first numbers. Sequences are dealt to shards by slot, evenly by construction, and
+travel in compressed packs.
 
 Defined results: null and empty texts give one sequence of END and PAD; a null id sorts first; rows of equal id are ordered
 by text hash and numbered each; other columns are not read; an empty table gives no shards and an empty result.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import zlib
 
 import numpy as np
@@ -24,6 +26,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import Scratch
 from .text import column_bytes, slices
@@ -33,6 +36,9 @@ END, PAD = 254, 255
 KEY = "2024"
 ROUNDS = 6
 SHARD_BYTES = 64 << 20
+FLUSH_BYTES = 32 << 20
+#: Documents whose first numbers (about 24 bytes each) are broadcast; more are joined.
+MAX_BROADCAST = 2_000_000
 
 
 def round_keys(key: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -97,80 +103,88 @@ def numbered(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame,
         at += r.n
     spark = docs.sparkSession
     starts = spark.createDataFrame(starts, "part int, start long")
-    # rows of equal id and text are interchangeable: all keep the lowest number, and the k-th of them adds k times n
     first = placed.join(F.broadcast(starts), "part").select("doc_id", "key", "n", (F.col("start") + F.col("before")).alias("first"))
     return first, at
 
 
-def sequences(docs: DataFrame, length: int, key: str, scratch: Scratch) -> tuple[DataFrame, int]:
-    """slot, doc_id, seq_no and tokens (bytes) of all sequences."""
-    first, total = numbered(docs, length, scratch)
-    same = first.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("first")).alias("firsts"))
+def packed(docs: DataFrame, length: int, key: str, per: int, first: DataFrame, total: int) -> DataFrame:
+    """shard, slots, ids, nos and the compressed tokens of all sequences; one row for each shard that a flush of a task meets."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text")).withColumnRenamed("doc_id", "own")
-    multiple = first.groupBy("doc_id", "key").count().where("count > 1")
-    if multiple.isEmpty():
-        rows = rows.join(first.select("doc_id", "key", "first"), rows["own"].eqNullSafe(first["doc_id"]) & (rows["key"] == first["key"])).select("doc_id", "text", F.array("first").alias("firsts"))
+    rows = docs.select(F.col("doc_id").alias("own"), text.alias("text")).withColumn("own_key", F.xxhash64("text"))
+    if not first.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        first = first.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("first")).alias("firsts"))
+        rows = rows.dropDuplicates(["own", "own_key"])
     else:
-        rows = rows.dropDuplicates(["own", "key"])
-        rows = rows.join(same, rows["own"].eqNullSafe(same["doc_id"]) & (rows["key"] == same["key"])).select("doc_id", "text", "firsts")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+        first = first.select("doc_id", "key", F.array("first").alias("firsts"))
+    first = F.broadcast(first) if first.count() <= MAX_BROADCAST else first
+    rows = rows.join(first, rows["own"].eqNullSafe(first["doc_id"]) & (rows["own_key"] == first["key"])).select("doc_id", "text", "firsts")
+    id_type = docs.schema["doc_id"].dataType
 
     def run(batches):
+        arrow = None
+
+        def flush(ids, nos, numbers, data):
+            slots = permute(np.array(numbers, np.int64), total, key)
+            order = np.argsort(slots, kind="stable")
+            shards = slots[order] // per
+            tokens = np.frombuffer(b"".join(data), np.uint8).reshape(-1, length)[order]
+            at = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
+            ends = np.append(at[1:], len(order))
+            offsets = pa.array(np.append(at, len(order)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, a) for a in (pa.array(slots[order]), pa.array(ids, arrow).take(pa.array(order)), pa.array(nos, pa.int32()).take(pa.array(order)))]
+            blobs = [pa.compress(tokens[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(shards[at].astype(np.int32)), *lists, pa.array(blobs, pa.binary())], ["shard", "slots", "ids", "nos", "data"])
+
+        held = [[], [], [], []]
         for batch in batches:
+            arrow = batch.schema.field(0).type
             for x in slices(batch):
                 buf, offs = column_bytes(x.column(1))
-                ids, nos, numbers, data = [], [], [], []
                 for d, (doc, firsts) in enumerate(zip(x.column(0).to_pylist(), x.column(2).to_pylist(), strict=True)):
                     raw = buf[offs[d] : offs[d + 1]].tobytes() + bytes([END])
                     raw += bytes([PAD]) * (-len(raw) % length)
                     k = len(raw) // length
                     for f in firsts:
-                        ids += [doc] * k
-                        nos += range(k)
-                        numbers += range(f, f + k)
-                        data += [raw[i * length : (i + 1) * length] for i in range(k)]
-                slots = permute(np.array(numbers, np.int64), total, key) if numbers else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(ids, batch.schema.field(0).type), pa.array(nos, pa.int32()), pa.array(data, pa.binary())], ["slot", "doc_id", "seq_no", "tokens"])
+                        held[0] += [doc] * k
+                        held[1] += range(k)
+                        held[2] += range(f, f + k)
+                        held[3].append(raw)
+                if len(held[2]) * length >= FLUSH_BYTES:
+                    yield flush(*held)
+                    held = [[], [], [], []]
+        if held[0]:
+            yield flush(*held)
 
-    return rows.mapInArrow(run, f"slot long, doc_id {kind}, seq_no int, tokens binary"), total
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(id_type)), T.StructField("nos", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())])
+    return rows.mapInArrow(run, schema)
 
 
 def write(docs: DataFrame, folder: str, length: int = LENGTH, key: str = KEY, shard_bytes: int = SHARD_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """Writes the shards and their manifest; slot, doc_id, seq_no, shard, offset of all sequences, kept in the shared folder."""
     scratch = scratch or Scratch(docs.sparkSession)
-    rows, total = sequences(docs, length, key, scratch)
-    per = max(1, shard_bytes // length)
-    per = min(per, max(1, -(-total // max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
-    n = max(1, -(-total // per))
+    first, total = numbered(docs, length, scratch)
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    per = max(1, min(shard_bytes // length, -(-total // (4 * tasks))))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = rows.withColumn("shard", F.floor(F.col("slot") / per).cast("int")).repartitionByRange(n, "slot").sortWithinPartitions("slot")
 
-    def run(batches):
+    def run(group, table):
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        out = name = None
-        shard = -1
-        try:
-            for b in batches:
-                slots, shards = b.column(0).to_numpy(), b.column(4).to_numpy()
-                names, offsets, data = [], [], column_bytes(b.column(3))[0]
-                for i, (slot, s) in enumerate(zip(slots.tolist(), shards.tolist(), strict=True)):
-                    if s != shard or out is None:
-                        if out:
-                            out.close()
-                        shard, start = s, slot
-                        name = f"{s:06d}-{slot:012d}.bin"  # a retried task writes the same bytes to the same name
-                        out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                    out.write(data[i * length : (i + 1) * length].tobytes())
-                    names.append(name)
-                    offsets.append((slot - start) * length)
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(names), pa.array(offsets, pa.int64())], ["slot", "doc_id", "seq_no", "shard", "offset"])
-        finally:
-            if out:
-                out.close()
-
-    index = scratch.keep(dealt.mapInArrow(run, f"slot long, doc_id {kind}, seq_no int, shard string, offset long"), "index")
+        slots, ids, nos = (table.column(c).combine_chunks().flatten() for c in ("slots", "ids", "nos"))
+        counts = [len(x) for x in table.column("slots")]
+        tokens = np.concatenate([np.frombuffer(pa.decompress(b, n * length, "zstd"), np.uint8) for b, n in zip(table.column("data").to_pylist(), counts, strict=True)]).reshape(-1, length)
+        order = np.argsort(slots.to_numpy(), kind="stable")
+        start = int(slots[int(order[0])].as_py())
+        name = f"{group[0].as_py():06d}-{start:012d}.bin"
+        beside = f"{path}/.{name}-{uuid.uuid4().hex}"  # a retried task writes the same bytes, and moves them in place at once
+        with fs.open_output_stream(beside, compression=None) as f:
+            f.write(tokens[order].tobytes())
+        fs.move(beside, f"{path}/{name}")
+        pick = pa.array(order)
+        return pa.table({"slot": slots.take(pick), "doc_id": ids.take(pick), "seq_no": nos.take(pick), "shard": pa.array([name] * len(order)), "offset": pa.array(np.arange(len(order), dtype=np.int64) * length)})
+
+    dealt = packed(docs, length, key, per, first, total).groupBy("shard").applyInArrow(run, f"slot long, doc_id {kind}, seq_no int, shard string, offset long")
+    index = scratch.keep(dealt, "index")
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/manifest.json", compression=None) as f:
@@ -183,7 +197,7 @@ def read(folder: str, start: int = 0):
     fs, path = pafs.FileSystem.from_uri(folder)
     with fs.open_input_file(f"{path}/manifest.json") as f:
         length = json.loads(f.read())["length"]
-    files = sorted((int(x.base_name[7:19]), x) for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".bin"))
+    files = sorted((int(x.base_name[7:19]), x) for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".bin") and x.base_name[0] != ".")
     for first, x in files:
         n = x.size // length
         if first + n <= start:
