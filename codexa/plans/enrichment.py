@@ -67,7 +67,7 @@ def call(planned: DataFrame, provider: Callable[[str], tuple[str, dict | None, s
                 out.append((seq, status, json.dumps(record) if record is not None else None, error))
                 stopped = status in STOP
                 time.sleep(pause)
-            yield pd.DataFrame(out, columns=["seq", "status", "payload", "error"])
+            yield pd.DataFrame(out, columns=["seq", "status", "payload", "error"]).astype({"status": object, "payload": object, "error": object})
 
     return rows.mapInPandas(run, ANSWER)
 
