@@ -14,7 +14,8 @@ over prefixes, in blocks: a block is a range of shingle hashes, and travels as p
    centre's component get other centres in further rounds, until the pairs across components are few in relation to the
    entries, or ROUNDS rounds are over; then all of those pairs are tried. So no link between classes of
    different components is missed, while a group of copies is never expanded into all pairs.
-   All candidates are held against the same bound with the entries of either class in any bucket.
+   All candidates are held against the same bound with the entries of either class in any bucket, pairs of large buckets
+   within the join that makes them.
 5. What is left is verified on the whole sets: 100 * overlap >= 80 * union.
 6. Components: by one task up to AT_ONCE links, else by label propagation with pointer jumping over written tables.
 
@@ -39,7 +40,7 @@ WORDS = 5
 SMALL = 8
 ROUNDS = 8
 #: So many pairs across components (over all buckets), or MANY for each entry of large buckets, are tried at once.
-FEW, MANY = 200_000, 16
+FEW, MANY = 200_000, 400
 #: Shingles counted more often go last; at most MAX_COMMON of them are broadcast, with the bar raised until they fit.
 COMMON = 32
 MAX_COMMON = 1 << 20
@@ -219,21 +220,25 @@ def small_pairs(posts: DataFrame) -> DataFrame:
     return may.where(F.col("c") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) + rest >= need).select("a", "b")
 
 
-def reachable(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The pairs whose overlap can reach the bound if all prefix entries that either shares with any class were common to both.
+def may_reach(na: str, ea: str, nb: str, eb: str):
+    """Whether the overlap of two sets can reach the bound if all prefix entries that either shares with any class were common
+    to both. n: sizes; e: the classes' entries in buckets of two or more. What lies behind a prefix is ceil(0.8 n) - 1."""
+    rest = F.greatest(F.floor((4 * F.col(na) + 4) / 5), F.floor((4 * F.col(nb) + 4) / 5)) - 1
+    return F.least(ea, eb) + rest >= F.ceil(4 * (F.col(na) + F.col(nb)) / 9)
+
 
-    entries: sig, n, e (the class's entries in buckets of two or more)."""
+def reachable(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The pairs that pass `may_reach`. entries: sig, n, e."""
     rows = pairs.join(entries.withColumnsRenamed({"sig": "a", "n": "na", "e": "ea"}), "a").join(entries.withColumnsRenamed({"sig": "b", "n": "nb", "e": "eb"}), "b")
-    rest = F.greatest(F.floor((4 * F.col("na") + 4) / 5), F.floor((4 * F.col("nb") + 4) / 5)) - 1
-    return rows.where(F.least("ea", "eb") + rest >= F.ceil(4 * (F.col("na") + F.col("nb")) / 9)).select("a", "b")
+    return rows.where(may_reach("na", "ea", "nb", "eb")).select("a", "b")
 
 
 def star_pairs(large: DataFrame, round_: int, scratch: Scratch) -> DataFrame:
-    """a, b: members of large buckets with the bucket's centre, where their components differ. large: h, sig, n, comp."""
+    """a, b: members of large buckets with the bucket's centre, where their components differ. large: h, sig, n, e, comp."""
     key = F.xxhash64("sig", F.lit(round_)) if round_ else F.col("sig")
-    centres = large.groupBy("h").agg(F.min(F.struct(key.alias("k"), F.col("sig").alias("c"), F.col("n").alias("nc"), F.col("comp").alias("cc"))).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    centres = scratch.keep(centres.where("low <> high").select("h", "m.c", "m.nc", "m.cc"), "centres")
-    rows = large.join(centres, "h").where((F.col("cc") != F.col("comp")) & fits("n", "nc"))
+    centres = large.groupBy("h").agg(F.min(F.struct(key.alias("k"), F.col("sig").alias("c"), F.col("n").alias("nc"), F.col("e").alias("ec"), F.col("comp").alias("cc"))).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    centres = scratch.keep(centres.where("low <> high").select("h", "m.c", "m.nc", "m.ec", "m.cc"), "centres")
+    rows = large.join(centres, "h").where((F.col("cc") != F.col("comp")) & fits("n", "nc") & may_reach("n", "e", "nc", "ec"))
     return rows.select(F.least("sig", "c").alias("a"), F.greatest("sig", "c").alias("b"))
 
 
@@ -241,8 +246,8 @@ def remaining_pairs(large: DataFrame) -> DataFrame:
     """All pairs across components in the large buckets that are left."""
     ends = large.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
     rows = large.join(ends, "h", "left_semi")
-    other = rows.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return rows.join(other, "h").where((F.col("sig") < F.col("b")) & (F.col("comp") != F.col("cb")) & fits("n", "nb")).select(F.col("sig").alias("a"), "b")
+    other = rows.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"), F.col("comp").alias("cb"))
+    return rows.join(other, "h").where((F.col("sig") < F.col("b")) & (F.col("comp") != F.col("cb")) & fits("n", "nb") & may_reach("n", "e", "nb", "eb")).select(F.col("sig").alias("a"), "b")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -331,8 +336,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     posts = scratch.keep(postings(docs, bits, common), "postings")
     classes = scratch.keep(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "classes")
     pairs = scratch.keep(small_pairs(posts), "pairs")
-    large = scratch.keep(posts.where(F.col("held") > SMALL).select("h", "sig", "n"), "large")
     entries = scratch.keep(posts.groupBy("sig").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("e")), "entries")
+    large = scratch.keep(posts.where(F.col("held") > SMALL).select("h", "sig", "n").join(entries.select("sig", "e"), "sig"), "large")
 
     def verified(more: DataFrame) -> DataFrame:
         may = scratch.keep(reachable(more, entries), "reachable")
