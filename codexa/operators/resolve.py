@@ -53,9 +53,37 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def components(keys: DataFrame) -> DataFrame:
+#: Rows of keys whose components one task works out; above it labels are propagated over tables.
+AT_ONCE = 200_000
+
+
+def components_at_once(keys: DataFrame) -> DataFrame:
+    """`components` of few keys, in one task of an executor. Keys go by their hash: a collision would only join two components,
+    which the fold tells apart."""
+
+    def run(frames):
+        up: dict[int, int] = {}
+        first: dict[int, int] = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for pdf in frames:
+            for seq, key in zip(pdf["seq"].tolist(), pdf["key"].tolist(), strict=True):
+                a, b = root(seq), root(first.setdefault(key, seq))
+                up[max(a, b)] = min(a, b)
+        yield pd.DataFrame({"seq": list(up), "comp": [root(x) for x in up]}, dtype="int64")
+
+    return keys.select("seq", F.xxhash64("key").alias("key")).coalesce(1).mapInPandas(run, "seq long, comp long")
+
+
+def components(keys: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """seq, comp from rows (seq, key): the smallest seq that a record reaches through equal keys."""
     keys = keep(keys.distinct(), "keys")
+    if keys.count() <= at_once:
+        return keep(components_at_once(keys), "labels")
     labels = keep(keys.select("seq", F.col("seq").alias("comp")).distinct(), "labels")
     while True:
         low = keep(keys.join(labels, "seq").groupBy("key").agg(F.min("comp").alias("low")), "low")

@@ -45,6 +45,12 @@ def test_components_fold_like_one_fold(spark, policy):
         assert all(getattr(got[row["seq"]], c) == row[c] for c in CANONICAL)
 
 
+def test_components_both_ways(spark):
+    r = random.Random(4)
+    keys = spark.createDataFrame([(i, f"k{r.randrange(60)}") for i in range(80) for _ in range(1 + i % 2)], "seq long, key string")
+    assert sorted(map(tuple, rs.components(keys, 0).collect())) == sorted(map(tuple, rs.components(keys).collect()))
+
+
 def test_ambiguous_title_stays(spark):
     rows = [{"title": "Same", "volume": v} for v in ("1", "2", "")]
     unique, report = rs.internal_dedup(records(spark, rows))
