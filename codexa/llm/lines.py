@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .store import Scratch
 from .text import LOWER, SPACE, Words, column_bytes, mix, powers, slices, window_hashes
 
-#: Distinct documents of one host that may hold a line.
-LIMIT = 200
+#: Distinct documents of one host that may hold a line. A small count, whatever the host's size: a line's verdict follows from
+#: the documents that hold it alone, and is the same in a small table and in a large one.
+LIMIT = 6
 #: Part of its words that a document keeps at least.
 LEAST = 0.3
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5

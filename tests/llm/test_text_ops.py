@@ -173,6 +173,14 @@ def test_lines_across_documents(spark):
     assert lines.clean_texts(df, limit=5).columns == df.columns
 
 
+def test_lines_default_limit_rejects_in_small_hosts(spark, tmp_path):
+    line = " ".join(f"menu{k}" for k in range(30))
+    rows = [(i, f"{line}\nown{i} text{i} end{i}", "seven" if i < 7 else "six") for i in range(13)] + [(20, line, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.base_failed, r.kept, r.n_removed_words) for r in queries.QUERIES["op9_quality_rules"](spark, str(tmp_path)).collect()}
+    assert out == {i: (False, False, 30) if i < 7 else (False, True, 0) for i in [*range(13), 20]}
+
+
 def test_mixing_equals_sql(spark):
     df = queries.op6_mix_sources(spark, DATA).toPandas()
     con = duckdb.connect()
