@@ -1,13 +1,14 @@
 """Quality rules: measures of each text, and lines that too many documents of a host share.
 
 Every line is normalised (A-Z lower-cased, white space between words made one space) and hashed. For each host (the
-`source` column) the distinct documents that hold a line are counted; exact copies of a text are one document. Lines held
+`source` column) the distinct documents that hold a line are counted, exact copies of a text each for itself. Lines held
 by more than `limit` documents of the host are removed, and a document is rejected if less than `least` of its words are
-left. Counting takes distinct (host, line, text) rows and a pre-aggregated count, and adaptive execution splits the
-join of a hot line, so no line's documents meet in one task.
+left. Each task counts its lines before the shuffle, and adaptive execution splits the join of a hot line, so no line's
+documents meet in one task.
 
-Defined results: a null text has no words, so it fails the base rules; a null source is a host of its own; repeated rows
-get equal results; null ids are kept; empty tables give empty results. `clean_texts` keeps all other columns.
+Defined results: a null text has no words, so it fails the base rules; a null source is a host of its own; rows of equal
+id, source and text are one document and get equal results; rows without id are kept, and each is a document of its own;
+empty tables give empty results. `clean_texts` keeps all other columns.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .text import LOWER, SPACE, Words, column_bytes, mix, powers, slices, window
 #: Distinct documents of one host that may hold a line. A small count, whatever the host's size: a line's verdict follows from
 #: the documents that hold it alone, and is the same in a small table and in a large one.
 LIMIT = 6
+#: Keys of repeated rows that may be broadcast; beyond it they are joined.
+MAX_BROADCAST = 2_000_000
 #: Part of its words that a document keeps at least.
 LEAST = 0.3
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -99,16 +102,16 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, host, and hashes of the text and of the row."""
+    """doc_id, text, host, and a hash of the row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     host = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
-    return docs.select("doc_id", text.alias("text"), host.alias("host"), F.xxhash64(text).alias("text_key"), F.xxhash64("doc_id", host, text).alias("row_key"))
+    return docs.select("doc_id", text.alias("text"), host.alias("host"), F.xxhash64("doc_id", host, text).alias("row_key"))
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """Of each row of `keyed`: its keys, measures and distinct lines with their words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "host", "text_key", "row_key", *COUNTS, "lines", "line_words"]
+    names = ["doc_id", "host", "row_key", *COUNTS, "lines", "line_words"]
 
     def run(batches):
         for batch in batches:
@@ -116,14 +119,24 @@ def measure(docs: DataFrame) -> DataFrame:
                 m = measures(*column_bytes(x.column(1)))
                 at = pa.array(m["line_at"].astype(np.int32), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(a.view(np.int64), pa.int64())) for a in (m["lines"], m["line_words"])]
-                yield pa.RecordBatch.from_arrays([x.column(0), *x.columns[2:5], *[pa.array(m[c], pa.int64()) for c in COUNTS], *lists], names)
-
-    return docs.mapInArrow(run, f"doc_id {kind}, host string, text_key long, row_key long, {', '.join(c + ' long' for c in COUNTS)}, lines array<long>, line_words array<long>")
-
-
-def frequent_lines(measured: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """host and line of the lines that more than `limit` distinct texts of the host hold."""
-    rows = measured.select("host", "text_key", F.explode("lines").alias("line")).distinct()
+                yield pa.RecordBatch.from_arrays([x.column(0), *x.columns[2:4], *[pa.array(m[c], pa.int64()) for c in COUNTS], *lists], names)
+
+    return docs.mapInArrow(run, f"doc_id {kind}, host string, row_key long, {', '.join(c + ' long' for c in COUNTS)}, lines array<long>, line_words array<long>")
+
+
+def frequent_lines(measured: DataFrame, limit: int = LIMIT, scratch: Scratch | None = None) -> DataFrame:
+    """host and line of the lines that more than `limit` distinct documents of the host hold. A row's lines are distinct, so
+    rows are counted; only those that come more than once are made distinct first."""
+    scratch = scratch or Scratch(measured.sparkSession)
+    twice = measured.where(F.col("doc_id").isNotNull()).groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key")
+    twice = scratch.keep(twice, "twice")
+    rows, n = measured.select("row_key", "host", "lines"), twice.count()
+    if n:
+        twice = F.broadcast(twice) if n <= MAX_BROADCAST else twice
+        again = rows.join(twice, "row_key", "left_semi").select("row_key", "host", F.explode("lines").alias("line")).distinct()
+        rows = rows.join(twice, "row_key", "left_anti")
+    rows = rows.select("host", F.explode("lines").alias("line"))
+    rows = rows.unionByName(again.select("host", "line")) if n else rows
     return rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > limit).drop("documents")
 
 
@@ -137,7 +150,7 @@ def removed_words(measured: DataFrame, frequent: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, limit: int = LIMIT, least: float = LEAST, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession)
     measured = scratch.keep(measure(keyed(docs)), "measured")
-    frequent = scratch.keep(frequent_lines(measured, limit), "frequent")
+    frequent = scratch.keep(frequent_lines(measured, limit, scratch), "frequent")
     removed = scratch.keep(removed_words(measured, frequent), "removed")
     rows = measured.drop("lines", "line_words").join(removed, "row_key", "left").withColumn("removed", F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
@@ -148,7 +161,7 @@ def judge(docs: DataFrame, limit: int = LIMIT, least: float = LEAST, scratch: Sc
 def clean_texts(docs: DataFrame, limit: int = LIMIT, scratch: Scratch | None = None) -> DataFrame:
     """docs, all columns, with the frequent lines cut from their texts; a text whose lines all go is empty."""
     scratch = scratch or Scratch(docs.sparkSession)
-    frequent = scratch.keep(frequent_lines(scratch.keep(measure(keyed(docs)), "measured"), limit), "frequent")
+    frequent = scratch.keep(frequent_lines(scratch.keep(measure(keyed(docs)), "measured"), limit, scratch), "frequent")
     text, host = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("\0"))
     rows = docs.withColumns({"__host": host, "__row": F.xxhash64("doc_id", host, text)})
     measured = measure(keyed(docs)).select("row_key", "host", F.explode("lines").alias("line")).distinct()

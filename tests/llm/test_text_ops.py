@@ -181,6 +181,13 @@ def test_lines_default_limit_rejects_in_small_hosts(spark, tmp_path):
     assert out == {i: (False, False, 30) if i < 7 else (False, True, 0) for i in [*range(13), 20]}
 
 
+def test_lines_count_every_exact_copy(spark):
+    text = " ".join(f"copied{k}" for k in range(30))
+    rows = [(i, text, "copies") for i in range(7)] + [(30, text, "repeats")] * 9 + [(None, text, "no ids")] * 7
+    out = lines.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.kept, r.n_removed_words) for r in out), key=str) == sorted([(i, False, 30) for i in range(7)] + [(30, True, 0)] * 9 + [(None, False, 30)] * 7, key=str)
+
+
 def test_mixing_equals_sql(spark):
     df = queries.op6_mix_sources(spark, DATA).toPandas()
     con = duckdb.connect()
