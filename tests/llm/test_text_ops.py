@@ -306,6 +306,19 @@ def test_telephony_round_trip(spark, docs, empty):
         telephony.parse(b"RIFFxxxxWAVEfmt ")
 
 
+def test_telephony_query_stores_pcm(spark, docs, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="table", keep=Scratch.keep: kept.append(keep(self, df, name)) or kept[-1])
+    docs.where("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")
+    features = {r.doc_id: r.feature.split(":") for r in queries.QUERIES["op4_telephony"](spark, str(tmp_path)).collect()}
+    stored = {r.doc_id: (r.media, r.pcm) for t in kept if "pcm" in t.columns for r in t.collect()}
+    assert set(stored) == set(features) and len(stored) > 10
+    for d, (media, pcm) in stored.items():
+        codec, rate, data = telephony.parse(media)
+        want = telephony.resample(telephony.expand([(codec, rate, data)])[0], rate, 16000).astype("<i2").tobytes()
+        assert pcm == want and features[d][0] == codec and int(features[d][2]) == len(pcm) // 2 and int(features[d][5], 16) == zlib.crc32(pcm)
+
+
 def test_warc(spark):
     html = ["<p>a</p>", "<p>a</p>", None, "", "é" * 70000, "<p>a</p>", "b\r\n\r\nc"]
     rows = [(i, None if i == 3 else f"http://h/{i}\r\n%", h) for i, h in enumerate(html)] + [(0, "u", "<p>a</p>"), (None, "n", "b\r\n\r\nc")]
