@@ -72,17 +72,22 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
 
+def row_key():
+    """A hash of a row's id and text; never null."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
 def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sig (null for empty sets)."""
+    """doc_id, row_key, n_shingles, sig (null for empty sets)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for x in slices(batch):
                 sets = sets_of(x, 1)
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "row_key", "n_shingles", "sig"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, sig long")
+    return texts(docs).withColumn("row_key", row_key()).mapInArrow(run, f"doc_id {kind}, row_key long, n_shingles long, sig long")
 
 
 def packed(block_bits: int, hashes: np.ndarray, payload: list[np.ndarray]):
@@ -251,9 +256,9 @@ def remaining_pairs(large: DataFrame) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """sig and the set, as bytes of sorted hashes, of the classes (sig, doc_id of one member)."""
-    ids = classes.select("doc_id").distinct()
-    chosen = texts(docs).join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id", "left_semi")
+    """sig and the set, as bytes of sorted hashes, of the classes (sig, row_key of one member)."""
+    keys = classes.select("row_key").distinct()
+    chosen = texts(docs).withColumn("row_key", row_key()).join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys, "row_key", "left_semi").select("doc_id", "text")
 
     def run(batches):
         seen = set()
@@ -324,6 +329,11 @@ def components(edges: DataFrame, scratch: Scratch, at_once: int = AT_ONCE) -> Da
         labels = fresh.select("node", "comp")
 
 
+def first_row():
+    """Of rows of `documents`, doc_id and row_key of the one with the smallest id; rows without id come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
@@ -334,7 +344,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     bits = min(bits + (1 << bits < total // BLOCK), 30)
     common = common_shingles(docs, bits)
     posts = scratch.keep(postings(docs, bits, common), "postings")
-    classes = scratch.keep(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = scratch.keep(rows.where("sig is not null").groupBy("sig").agg(first_row().alias("m")).select("sig", "m.doc_id", "m.row_key"), "classes")
     pairs = scratch.keep(small_pairs(posts), "pairs")
     entries = scratch.keep(posts.groupBy("sig").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("e")), "entries")
     large = scratch.keep(posts.where(F.col("held") > SMALL).select("h", "sig", "n").join(entries.select("sig", "e"), "sig"), "large")

@@ -114,6 +114,13 @@ def test_jaccard_star_rounds(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_near_copies_without_id(spark):
+    far = " ".join(f"v{i}" for i in range(60))
+    texts = [(1, BASE), (None, BASE.replace("w57", "y")), (None, far + " left"), (None, far + " right"), (4, " ".join(far.split()[6:])), (5, " ".join(far.split()[:54])), (None, "one of its own without any id")]
+    got = sorted(map(tuple, jaccard.join_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == brute_components(texts) and [c for *_, c in got].count(4) == 4
+
+
 def test_jaccard_empty_and_keep_one(spark, docs, empty):
     assert jaccard.join_documents(empty).count() == 0
     kept = jaccard.keep_one(docs)
