@@ -336,6 +336,11 @@ def first_row():
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    return linked(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """`join_documents` with row_key and comp, the component's smallest sig (null for empty sets)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.keep(documents(docs), "documents")
@@ -378,9 +383,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     roots = classes.join(labels.withColumnsRenamed({"node": "sig"}), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     roots = scratch.keep(roots.select("sig", "comp", "doc_id"), "roots")
     first = scratch.keep(roots.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "first")
-    named = scratch.keep(roots.join(first, "comp").select("sig", "component_id"), "named")
+    named = scratch.keep(roots.join(first, "comp").select("sig", "comp", "component_id"), "named")
     out = rows.join(named, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "row_key", "n_shingles", "comp", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def open_pairs(placed: DataFrame) -> int:
@@ -391,16 +396,20 @@ def open_pairs(placed: DataFrame) -> int:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each component: that with the smallest id; of rows with that id, one."""
-    found = Scratch(docs.sparkSession).keep(join_documents(docs), "components")
-    drop = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    twice = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    drop = F.broadcast(drop) if drop.count() <= MAX_BROADCAST else drop
-    rest = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """docs, all columns, with one row of each component: that with the smallest id, or one without id if none has an id.
+
+    Rows are told apart by id and text, so unlinked texts under one id all stay, as do all texts without shingles."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(linked(docs).where("n_shingles > 0").groupBy("comp", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")), "components")
+    first = scratch.keep(found.groupBy("comp").agg(first_row().alias("m")).select("m.row_key"), "first")
+    drop = scratch.keep(found.join(first, "row_key", "left_anti").select(F.col("row_key").alias("__row")), "drop")
+    twice = scratch.keep(found.where("n > 1").join(first, "row_key", "left_semi").select(F.col("row_key").alias("__row")), "twice")
+    few = lambda keys: F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
+    rest = docs.withColumn("__row", row_key()).join(few(drop), "__row", "left_anti")
     if twice.isEmpty():
-        return rest
-    once = rest.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return rest.select(*docs.columns)
+    once = rest.join(few(twice), "__row", "left_semi").dropDuplicates(["__row"])
+    return rest.join(few(twice), "__row", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

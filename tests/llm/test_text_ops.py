@@ -129,6 +129,13 @@ def test_jaccard_empty_and_keep_one(spark, docs, empty):
     assert ids.count(0) == 1 and 1 not in ids and 9 in ids and 10 in ids
 
 
+def test_keep_one_by_row(spark):
+    far, own = (" ".join(f"{c}{i}" for i in range(60)) for c in "vo")
+    rows = [(1, BASE), (2, BASE + " tail"), (2, far), (3, far + " tail"), (4, own), (4, own), (4, ""), (None, BASE), (None, "without id " + " ".join(own.split()[::2])), (None, "without id " + " ".join(own.split()[::2]))]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[6], rows[8]], key=str)
+
+
 def test_bpe_equals_library(spark, docs, empty):
     from tokenizers import Tokenizer
 
