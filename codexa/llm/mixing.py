@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame functions only.
 
 A source with n documents and target weight w gets the rate ``size * w / sum of weights / n``. A hash of seed and id gives
-each document a number u from 0 to below 1; the document's count is the smallest k with P(Poisson(rate) <= k) > u. The
+each document a number u from 0 to below 1; the document's count is the smallest k with P(Poisson(rate) <= k) > u. A rate above MAX_RATE
+is split into equal parts of at most MAX_RATE, each with a hash of its own, whose counts add up to Poisson(rate). The
 document is exploded by its count, and the copies are put in the order of a second hash over the whole corpus.
 
 The rates come from one pre-aggregated count for each source, written to the shared folder. Up to MAX_BROADCAST sources
@@ -26,7 +27,7 @@ WEIGHTS = {"src1": 2.0, "src2": 1.5}
 DEFAULT = 1.0
 #: Documents aimed at, as a multiple of those there are.
 SIZE = 1.0
-#: Rates above this are split into a whole part and a Poisson part, to keep the tables of probabilities short.
+#: Rates above this are split into equal parts that are drawn on their own, to keep the tables of probabilities short.
 MAX_RATE = 32.0
 #: Sources whose rates (about 1 kB each) are broadcast.
 MAX_BROADCAST = 20_000
@@ -38,7 +39,7 @@ def hash_number(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], default: float, size: float) -> DataFrame:
-    """__source, __whole and __cdf: the copies that every document gets, and P(Poisson <= k) for k = 0, 1, ... of the rest."""
+    """__source, __parts and __cdf: the draws for each document, and P(Poisson <= k) for k = 0, 1, ... of one draw."""
     weight = F.lit(default)
     for source, w in weights.items():
         weight = F.when(F.col("__source") == source, F.lit(float(w))).otherwise(weight)
@@ -47,8 +48,8 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float, size: floa
     total = counted.agg(F.sum("__n").alias("__all"), F.sum("__w").alias("__sum"))  # one row
     rate = F.lit(float(size)) * F.col("__all") * F.col("__w") / F.col("__sum") / F.col("__n")
     rows = counted.join(F.broadcast(total)).withColumn("__rate", rate)
-    rows = rows.withColumn("__whole", F.when(F.col("__rate") > MAX_RATE, F.floor("__rate") - int(MAX_RATE)).otherwise(F.lit(0)).cast("int"))
-    rows = rows.withColumn("__rate", F.col("__rate") - F.col("__whole"))
+    rows = rows.withColumn("__parts", F.greatest(F.ceil(F.col("__rate") / MAX_RATE), F.lit(1)).cast("int"))
+    rows = rows.withColumn("__rate", F.col("__rate") / F.col("__parts"))
     zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("a"))
 
     def step(s, k):
@@ -56,7 +57,7 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float, size: floa
         return F.struct(p.alias("p"), (s.c + p).alias("c"), F.concat(s.a, F.array(s.c + p)).alias("a"))
 
     cdf = F.aggregate(F.sequence(F.lit(0), F.lit(120)), zero, step, lambda s: s.a)
-    return rows.select("__source", "__whole", cdf.alias("__cdf"))
+    return rows.select("__source", "__parts", cdf.alias("__cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float = DEFAULT, size: float = SIZE, seed: int = SEED) -> DataFrame:
@@ -68,7 +69,10 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float = D
     table = F.broadcast(table) if table.count() <= MAX_BROADCAST else table
     u = hash_number(F.lit(str(seed)), name) / F.lit(float(1 << 52))
     rows = docs.withColumn("__source", F.coalesce(F.col("source"), F.lit("\0"))).join(table, "__source")
-    rows = rows.withColumn("__u", u).withColumn("__copies", F.col("__whole") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
+    drawn = lambda u: F.size(F.filter("__cdf", lambda c: c <= u))
+    part = lambda i: hash_number(F.lit(str(seed)), F.lit("part"), i.cast("string"), name) / F.lit(float(1 << 52))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), lambda n, i: n + drawn(part(i)))
+    rows = rows.withColumn("__u", u).withColumn("__copies", drawn(F.col("__u")) + F.when(F.col("__parts") > 1, more).otherwise(0))
     rows = rows.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     order = hash_number(F.lit(str(seed)), F.lit("order"), name, F.col("__copy").cast("string"))
     return rows.withColumn("__order", order).select(*docs.columns, "__copy", "__copies", "__order").orderBy("__order")

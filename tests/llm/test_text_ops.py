@@ -225,6 +225,13 @@ def test_mixing_rates_and_edges(spark, docs, empty):
         mixing.mix(many.withColumn("__u", F.lit(1)))
 
 
+def test_mixing_high_rates_are_poisson(spark):
+    rows = spark.createDataFrame([(i, "s") for i in range(2000)], "doc_id long, source string")
+    out = mixing.mix(rows, {}, size=200.0).toArrow()
+    n = out.column("__copies").to_numpy()[out.column("__copy").to_numpy() == 0]
+    assert len(n) == 2000 and abs(n.mean() - 200) < 2 and 170 < n.var() < 230
+
+
 def test_feistel_is_a_bijection():
     for n in (1, 2, 3, 7, 64, 1000, 4097):
         p = training_order.permute(np.arange(n), n, "k")
