@@ -6,19 +6,23 @@ automaton of no merges has one arc for each byte from every state. The gadget of
 * takes the arc v from the state that u leads to, so that u v is no longer a path, and
 * adds an arc uv wherever u has an arc, leading to a copy of the state that v led to.
 
-The paths of the final automaton are exactly the token sequences that BPE can give, one for each byte string. A state's
-arcs are not written out (there would be billions): each arc of a new token copies an arc that was there before, so
-whether state x has arc y follows by going back through the gadgets, and is kept in a table once known.
+The paths of the final automaton are exactly the token sequences that BPE can give, one for each byte string. `written_out`
+is that construction as it stands; for 50,000 merges it would have billions of arcs. Each arc that a gadget makes copies an
+arc that was there before, so `Automaton.compile` gets any set of entries of the finished transition table by taking them
+back through the gadgets, and writes them to the table: (state, token) -> next state, or no arc. The table holds all arcs
+met so far, up to MAX_ARCS.
 
-Encoding goes over the byte positions of a pre-split word: a position that is reached holds one state, and each arc whose
-label fits the next bytes reaches a later position. Every prefix has exactly one path, so each position is reached once.
-Decoding emits the labels of the arcs.
+Encoding takes steps of the table over the byte positions of a pre-split word: a position that is reached holds one state,
+and each token whose label fits the next bytes is a step to a later position, if the table has one. Every prefix has
+exactly one path, so each position is reached once. Decoding emits the labels of the arcs.
 
 Words are pre-split by the usual pattern of byte-level BPE with array operations over code points. Words are encoded once
-for each distinct hash in a slice and kept in a bounded table.
+for each task and kept, by their bytes, in a bounded table that goes with the task.
 
 Defined results: null texts are empty and give no tokens; `<|endoftext|>` in a text is its special token, as in the library
-(added tokens are matched before splitting); equal texts give equal ids; other columns are not read.
+(added tokens are matched before splitting); equal texts give equal ids, repeated rows a row each; long texts are taken
+whole, in a slice of their own; an empty table gives an empty result; other columns are not read, but for `encode_column`
+and `decode_column`, which return them and replace a column of the name they write.
 """
 
 from __future__ import annotations
@@ -33,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import _VALUES, column_bytes, mix, powers, ragged, slices
+from .text import column_bytes, ragged, run_hashes, slices, tidy
 
-MAX_WORDS = 300_000
-MAX_ARCS = 100_000
+MAX_WORDS = 200_000
+MAX_ARCS = 1 << 18
 #: Longer words are encoded one by one.
 WIDE = 48
-SLICE = 3 << 20
+SLICE = 1 << 20
+TOKEN_BITS, TOKEN = 20, (1 << 20) - 1
+NO_ARC, UNKNOWN = -1, -2
 LETTER, NUMBER, SPACE = 1, 2, 3
 
 
@@ -56,6 +62,70 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def written_out(n_bytes: int, merges: list[tuple[int, int, int]]) -> dict[int, dict[int, int]]:
+    """The whole automaton of a small merge list, gadget by gadget: state -> token -> next state. A token's state has the
+    token's number; merges are (u, v, uv) in order."""
+    arcs = {x: {b: b for b in range(n_bytes)} for x in range(n_bytes)}
+    for u, v, uv in merges:
+        copy = dict(arcs[v])
+        if u in copy:
+            copy[uv] = uv
+        arcs[u].pop(v, None)
+        for out in arcs.values():
+            if u in out:
+                out[uv] = uv
+        arcs[uv] = copy
+    return arcs
+
+
+class Gadgets:
+    """A merge list in the order of its gadgets, and the table of transitions compiled from it."""
+
+    def __init__(self, tokens: int, merges: list[tuple[int, int, int]]):
+        #: Of a merged token its parts and its time; bytes are there at time 0.
+        self.parts = np.zeros((3, tokens), np.int64)
+        pairs = np.array(merges, np.int64).reshape(-1, 3)
+        self.parts[:, pairs[:, 2]] = np.stack((pairs[:, 0], pairs[:, 1], np.arange(1, len(pairs) + 1)))
+        #: The time at which a pair's arc goes.
+        self.gone = Table(len(pairs))
+        self.gone.add(pairs[:, 0] << TOKEN_BITS | pairs[:, 1], np.arange(1, len(pairs) + 1))
+        self.transitions = Table(MAX_ARCS)
+
+    def compile(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The finished table's entries for the states that the tokens x lead to and the tokens y: the next state or NO_ARC."""
+        out, live = y.copy(), np.arange(len(x))
+        until = np.full(len(x), 1 << 40)  # gadgets with a time below `until` count
+        left, right, time = self.parts
+        while len(live):
+            gone = self.gone.get(x << TOKEN_BITS | y, 1 << 41) < until
+            out[live[gone]] = NO_ARC
+            tx, ty = time[x], time[y]
+            go = ~gone & ((tx > 0) | (ty > 0))
+            live, x, y, tx, ty = live[go], x[go], y[go], tx[go], ty[go]
+            # the later gadget made its part as a copy: x's state that of its right part before the gadget, the arc y that
+            # of its left part after the removal; where both are of one gadget, both are taken back
+            later = tx >= ty
+            x, y, until = np.where(later, right[x], x), np.where(tx > ty, y, left[y]), np.where(later, tx, ty + 1)
+        return out
+
+    def steps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Next states by the table; entries met for the first time are compiled into it."""
+        key = x << TOKEN_BITS | y
+        out = self.transitions.get(key, UNKNOWN)
+        missing = out == UNKNOWN
+        if missing.any():
+            new, back = np.unique(key[missing], return_inverse=True)
+            made = self.compile(new >> TOKEN_BITS, new & TOKEN)
+            if self.transitions.used + len(new) > MAX_ARCS:
+                self.transitions = Table(MAX_ARCS)
+            self.transitions.add(new[:MAX_ARCS], made[:MAX_ARCS])
+            out[missing] = made[back]
+        return out
+
+    def step(self, x: int, y: int) -> int:
+        return int(self.steps(np.array([x]), np.array([y]))[0])
+
+
 class Automaton:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -63,92 +133,59 @@ class Automaton:
         alphabet = byte_alphabet()
         vocab = {s: i for s, i in spec["model"]["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.label = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+        labels = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for s, i in vocab.items():
-            self.label[i] = bytes(alphabet[c] for c in s)
+            labels[i] = bytes(alphabet[c] for c in s)
         self.special = {s.encode(): i for s, i in special.items()}
         for s, i in self.special.items():
-            self.label[i] = s
-        n = len(self.label)
-        #: Of a merged token its parts and its time; bytes are there at time 0.
-        self.left, self.right, self.time = [-1] * n, [-1] * n, [0] * n
-        self.merged: dict[int, int] = {}
-        for k, pair in enumerate(spec["model"]["merges"], 1):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            u, v, uv = vocab[a], vocab[b], vocab[a + b]
-            self.gadget(u, v, uv, k)
-        #: Arc labels as a tree: (node << 8 | byte) -> node, and the token that ends at a node.
-        self.child: dict[int, int] = {}
-        self.ends: list[int] = [-1]
-        for t, label in enumerate(self.label):
-            if t in self.special.values():
-                continue
+            labels[i] = s
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in spec["model"]["merges"]]
+        self.arcs = Gadgets(len(labels), [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        # arc labels as a tree: (node << 8 | byte) -> node, and the token that ends at a node
+        child: dict[int, int] = {}
+        ends = [-1]
+        ordinary = set(range(len(labels))) - set(self.special.values())
+        for t in sorted(ordinary):
             node = 0
-            for c in label:
-                nxt = self.child.get(node << 8 | c)
+            for c in labels[t]:
+                nxt = child.get(node << 8 | c)
                 if nxt is None:
-                    nxt = self.child[node << 8 | c] = len(self.ends)
-                    self.ends.append(-1)
+                    nxt = child[node << 8 | c] = len(ends)
+                    ends.append(-1)
                 node = nxt
-            self.ends[node] = t
-        lens = np.array([len(x) for x in self.label])
-        self.label_bytes = np.frombuffer(b"".join(self.label), np.uint8)
+            ends[node] = t
+        self.tree, self.token_at = Table(len(child)), np.array(ends, np.int64)
+        self.tree.add(np.fromiter(child.keys(), np.int64, len(child)), np.fromiter(child.values(), np.int64, len(child)))
+        lens = np.array([len(x) for x in labels])
+        self.label_bytes = np.frombuffer(b"".join(labels), np.uint8)
         self.label_lens, self.label_starts = lens, np.cumsum(lens) - lens
-        self.arcs: dict[int, bool] = {}
-        self.tables()
-
-    def gadget(self, u: int, v: int, uv: int, time: int) -> None:
-        self.merged[u << 20 | v] = time
-        self.left[uv], self.right[uv], self.time[uv] = u, v, time
-
-    def arc(self, x: int, y: int) -> bool:
-        """Whether the state that x leads to has an arc y after all gadgets."""
-        key = x << 20 | y
-        known = self.arcs.get(key)
-        if known is not None:
-            return known
-        left, right, time, merged = self.left, self.right, self.time, self.merged
-        until, out = 1 << 40, True  # gadgets with a time below `until` count
-        while True:
-            t = merged.get(x << 20 | y)
-            if t is not None and t < until:
-                out = False
-                break
-            tx, ty = time[x], time[y]
-            if tx == ty:
-                if not tx:
-                    break
-                x, y, until = right[x], left[y], tx
-            elif tx > ty:  # x's state copied that of its right part
-                x, until = right[x], tx
-            else:  # arc y copied that of its left part, after the gadget's removal
-                y, until = left[y], ty + 1
-        if len(self.arcs) >= MAX_ARCS:
-            self.arcs.clear()
-        self.arcs[key] = out
-        return out
+        self.longest = int(lens[sorted(ordinary)].max(initial=1))
+        texts = [b"%d," % i for i in range(len(labels))]
+        self.digit_lens = np.array([len(x) for x in texts])
+        self.digit_starts, self.digit_bytes = np.cumsum(self.digit_lens) - self.digit_lens, np.frombuffer(b"".join(texts), np.uint8)
 
     def encode(self, word: bytes) -> list[int]:
-        n, child, ends, arcs = len(word), self.child, self.ends, self.arcs
+        """Ids of one word of any length. Its fitting labels are found for a stretch of positions at once."""
+        n, buf = len(word), np.frombuffer(word, np.uint8)
         state, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            x = state[i]
-            if x < 0 and i:
-                continue
-            node = 0
-            for j in range(i, n):
-                node = child.get(node << 8 | word[j])
-                if node is None:
-                    break
-                y = ends[node]
-                if y >= 0 and state[j + 1] < 0:
-                    if i:
-                        ok = arcs.get(x << 20 | y)
-                        if ok is None:
-                            ok = self.arc(x, y)
-                        if not ok:
-                            continue
-                    state[j + 1], back[j + 1] = y, i
+        known: dict[int, int] = {}
+        for begin in range(0, n, 1 << 14):
+            end = min(n, begin + (1 << 14))
+            fits = self.labels_at(buf, begin, end)
+            for i, j, y in zip(*(a.tolist() for a in fits), strict=True):
+                x = state[i]
+                if (x < 0 and i) or state[j] >= 0:
+                    continue
+                if i:
+                    key = x << TOKEN_BITS | y
+                    to = known.get(key)
+                    if to is None:
+                        if len(known) >= MAX_ARCS:
+                            known.clear()
+                        to = known[key] = self.arcs.step(x, y)
+                    if to < 0:
+                        continue
+                state[j], back[j] = y, i
         out, i = [], n
         while i > 0:
             if state[i] < 0:
@@ -158,39 +195,29 @@ class Automaton:
         out.reverse()
         return out
 
+    def labels_at(self, buf: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, end, token) of all labels that fit from the positions begin to end, by position and length."""
+        live, node = np.arange(begin, end), np.zeros(end - begin, np.int64)
+        found = []
+        for k in range(self.longest):
+            inside = live + k < len(buf)
+            live, node = live[inside], node[inside]
+            node = self.tree.get(node << 8 | buf[live + k], -1)
+            live, node = live[node >= 0], node[node >= 0]
+            if not len(live):
+                break
+            y = self.token_at[node]
+            found.append((live[y >= 0], np.full(int((y >= 0).sum()), k + 1), y[y >= 0]))
+        at, size, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((size, at))
+        return at[order], (at + size)[order], y[order]
+
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         return self.label_bytes[ragged(self.label_starts[ids], self.label_lens[ids])]
 
     def decode(self, ids) -> str:
         return self.decode_bytes(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")
 
-
-    def tables(self) -> None:
-        """The automaton's maps as arrays, for many words at once."""
-        self.tree = Table(np.fromiter(self.child.keys(), np.int64, len(self.child)), np.fromiter(self.child.values(), np.int64, len(self.child)))
-        self.gone = Table(np.fromiter(self.merged.keys(), np.int64, len(self.merged)), np.fromiter(self.merged.values(), np.int64, len(self.merged)))
-        self.token_at = np.array(self.ends, np.int64)
-        self.parts = np.array([self.left, self.right, self.time], np.int64)
-        texts = [b"%d," % i for i in range(len(self.label))]
-        self.digit_lens = np.array([len(x) for x in texts])
-        self.digit_starts, self.digit_bytes = np.cumsum(self.digit_lens) - self.digit_lens, np.frombuffer(b"".join(texts), np.uint8)
-
-    def arcs_many(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """`arc` of each pair."""
-        out, live = np.ones(len(x), bool), np.arange(len(x))
-        until = np.full(len(x), 1 << 40)
-        left, right, time = self.parts
-        while len(live):
-            t = self.gone.get(x << 20 | y, 1 << 41)
-            tx, ty = time[x], time[y]
-            bad = t < until
-            out[live[bad]] = False
-            go = ~bad & ((tx > 0) | (ty > 0))
-            live, x, y, tx, ty = live[go], x[go], y[go], tx[go], ty[go]
-            later = tx >= ty
-            x, y, until = np.where(later, right[x], x), np.where(tx > ty, y, left[y]), np.where(later, tx, ty + 1)
-        return out
-
     def encode_many(self, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many words of up to WIDE bytes, one after the other, and the number of each word's ids."""
         order = np.argsort(-lens, kind="stable")
@@ -223,7 +250,7 @@ class Automaton:
             if who:
                 w, y, g = np.concatenate(who), np.concatenate(token), np.concatenate(goal)
                 if i:
-                    ok = self.arcs_many(state[i, w], y)
+                    ok = self.arcs.steps(state[i, w], y) != NO_ARC
                     w, y, g = w[ok], y[ok], g[ok]
                 state[g, w], back[g, w] = y, i
         at = size.copy()
@@ -250,20 +277,23 @@ class Automaton:
 
 
 class Table:
-    """An open-addressing map of integers, read by arrays."""
+    """An open-addressing map of integers for up to `room` keys, read and filled by arrays."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length() + 1)
+    def __init__(self, room: int):
+        bits = max(4, int(2 * room).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        self.keys, self.values, self.used = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New distinct keys."""
         place, left = self.place(keys), np.arange(len(keys))
         while len(left):
             free = left[self.keys[place[left]] < 0]
             self.keys[place[free]] = keys[free]
-            self.values[place[free]] = values[free]
             left = left[self.keys[place[left]] != keys[left]]
             place[left] = (place[left] + 1) & self.mask
         self.values[place] = values
+        self.used += len(keys)
 
     def place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -271,7 +301,7 @@ class Table:
     def get(self, keys: np.ndarray, missing: int) -> np.ndarray:
         place = self.place(keys)
         held = self.keys[place]
-        out = np.where(held == keys, self.values[place], missing)
+        out = np.where(held == keys, self.values[place].astype(np.int64), missing)
         left = np.flatnonzero((held != keys) & (held >= 0))
         while len(left):
             place[left] = (place[left] + 1) & self.mask
@@ -349,21 +379,21 @@ def pre_split(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes slices of text; keeps the ids of up to `max_words` distinct words."""
+    """Encodes slices of text; keeps the ids of up to `max_words` distinct words, by their bytes."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         self.auto, self.max_words = automaton(path), max_words
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts, self.lens = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
         self.used = 0
 
-    def add(self, hashes: list[int], ids: np.ndarray, lens: np.ndarray) -> int:
+    def add(self, words: list[bytes], ids: np.ndarray, lens: np.ndarray) -> int:
         """Keeps the ids of words; the first one's slot."""
-        k, n = len(self.slot), len(hashes)
+        k, n = len(self.slot), len(words)
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)))
         if k + n > len(self.starts):
@@ -373,7 +403,7 @@ class Encoder:
         self.starts[k : k + n] = self.used + np.cumsum(lens) - lens
         self.lens[k : k + n] = lens
         self.used += len(ids)
-        self.slot.update(zip(hashes, range(k, k + n), strict=True))
+        self.slot.update(zip(words, range(k, k + n), strict=True))
         return k
 
     def words(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -395,7 +425,6 @@ class Encoder:
         first = np.zeros(len(char), bool)
         first[np.searchsorted(char, cuts[cuts < len(buf)])] = True
         starts = char[pre_split(points, first)]
-        self.special_at = special
         if special:
             inside = np.zeros(len(buf) + 1, np.int8)
             for a, (b, _) in special.items():
@@ -406,33 +435,34 @@ class Encoder:
         return starts, ends, np.searchsorted(starts, offs)
 
     def slots(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = powers(len(buf))
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_VALUES[buf] * up[: len(buf)], out=sums[1:], dtype=np.uint64)
-        h = mix((sums[ends] - sums[starts]) * down[starts])
-        if self.special_at:
-            at = {int(s): k for k, s in enumerate(starts)}
-            for a, (_, i) in self.special_at.items():
-                h[at[a]] = mix(np.array([i + 1], np.uint64))[0]
-        unique, place, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slot) + len(unique) > self.max_words:
+        """The slot of each word; words are grouped by hash and then held against their group's first by their bytes."""
+        lens = ends - starts
+        _, place, inverse = np.unique(run_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        same = lens == lens[place][inverse]
+        differ = buf[ragged(starts[same], lens[same])] != buf[ragged(starts[place][inverse[same]], lens[same])]
+        if differ.any():
+            same[np.flatnonzero(same)[np.unique(np.repeat(np.arange(int(same.sum())), lens[same])[differ])]] = False
+        if not same.all():
+            other = np.flatnonzero(~same)
+            inverse[other] = len(place) + np.arange(len(other))
+            place = np.concatenate((place, other))
+        raw = buf.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+        if len(self.slot) + len(words) > self.max_words:
             self.clear()
         get = self.slot.get
-        out = np.array([get(x, -1) for x in unique.tolist()], np.int64)
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            a, b = starts[place[new]], ends[place[new]]
-            plain = b - a <= WIDE
-            if self.special_at:
-                plain &= ~np.isin(a, list(self.special_at))
-            for k in new[~plain].tolist():
-                p = int(starts[place[k]])
-                ids = [self.special_at[p][1]] if p in self.special_at else self.auto.encode(buf[p : int(ends[place[k]])].tobytes())
-                out[k] = self.add([int(unique[k])], np.array(ids, np.int32), np.array([len(ids)]))
-            many = new[plain]
-            if len(many):
-                ids, lens = self.auto.encode_many(buf, a[plain], (b - a)[plain])
-                out[many] = self.add(unique[many].tolist(), ids, lens) + np.arange(len(many))
+        out = np.array([get(x, -1) for x in words], np.int64)
+        new = {words[k]: k for k in np.flatnonzero(out < 0).tolist()}
+        plain = [k for w, k in new.items() if len(w) <= WIDE and w not in self.auto.special]
+        for w in new.keys() - {words[k] for k in plain}:
+            ids = [self.auto.special[w]] if w in self.auto.special else self.auto.encode(w)
+            self.add([w], np.array(ids, np.int32), np.array([len(ids)]))
+        if plain:
+            at = place[np.array(plain)]
+            ids, counts = self.auto.encode_many(buf, starts[at], lens[at])
+            self.add([words[k] for k in plain], ids, counts)
+        if new:
+            out = np.array([get(x, -1) for x in words], np.int64)
         return out[inverse]
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -449,29 +479,20 @@ class Encoder:
         return self.auto.digit_bytes[ragged(self.auto.digit_starts[ids], lens)].tobytes(), np.append(0, np.cumsum(lens))[at].tolist()
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def encode_column(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the token ids of a text column as array<int>; a column of that name is replaced."""
     path = path or default_path()
     kept = [c for c in docs.columns if c != ids]
 
     def run(batches):
-        enc = encoder(path)
+        enc = Encoder(path)
         for batch in batches:
             for x in slices(batch, text, SLICE):
                 found, at = enc.encode(x.column(kept.index(text)))
                 yield pa.RecordBatch.from_arrays([*x.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32()))], [*kept, ids])
 
     rows = docs.select(*kept)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_column(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -486,7 +507,7 @@ def decode_column(df: DataFrame, path: str | None = None, ids: str = "ids", text
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([auto.decode(x) if x is not None else None for x in lists.to_pylist()], pa.string())], [*kept, text])
 
     rows = df.select(*kept)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -495,7 +516,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        enc = encoder(path)
+        enc = Encoder(path)
         for batch in batches:
             for x in slices(batch, limit=SLICE):
                 ids, at = enc.encode(x.column(1))
@@ -508,7 +529,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array(np.diff(at), pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ documents meet in one task.
 
 Defined results: a null text has no words, so it fails the base rules; a null source is a host of its own; rows of equal
 id, source and text are one document and get equal results; rows without id are kept, and each is a document of its own;
-empty tables give empty results. `clean_texts` keeps all other columns.
+a text of any length is measured whole; empty tables give empty results. `judge` reads no other columns, `clean_texts`
+returns them as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import LOWER, SPACE, Words, column_bytes, mix, powers, slices, window_hashes
+from .text import LOWER, SPACE, Words, column_bytes, mix, run_hashes, sequence_sums, slices, tidy, window_hashes
 
 #: Distinct documents of one host that may hold a line. A small count, whatever the host's size: a line's verdict follows from
 #: the documents that hold it alone, and is the same in a small table and in a large one.
@@ -44,13 +45,11 @@ def line_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def line_hashes(w: Words, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines with a word: index among all lines, normalised hash, words, document."""
     starts, _ = line_bounds(w.buf, w.offs)
-    up, down = powers(max(len(w), 1))
-    h = w.hashes(sums=sums)
-    total = np.append(np.uint64(0), np.cumsum(h * up[: len(w)], dtype=np.uint64))
     # a line feed at a document's end makes an empty line with the next document's start; words lie in the last such line
     line = np.searchsorted(starts, w.starts, "right") - 1
     lines, first, n = np.unique(line, return_index=True, return_counts=True)
-    value = mix((total[first + n] - total[first]) * down[first] + n.astype(np.uint64))
+    total = sequence_sums(w.hashes(sums=sums), first)
+    value = mix(total[first + n] - total[first] + n.astype(np.uint64))
     return lines, value, n, w.docs()[first] if len(first) else np.zeros(0, np.int64)
 
 
@@ -82,8 +81,7 @@ def measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
     lines, value, words, doc = line_hashes(w, w.prefix_sums(LOWER))
     starts, ends = line_bounds(buf, offs)
-    up, down = powers(len(buf))
-    raw = mix((exact[ends[lines]] - exact[starts[lines]]) * down[starts[lines]] + (ends[lines] - starts[lines]).astype(np.uint64))
+    raw = run_hashes(buf, starts[lines], ends[lines])
     dup, found_lines, found_words = np.zeros(n, np.int64), [], []
     at = np.searchsorted(doc, np.arange(n + 1))
     for d, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
@@ -121,7 +119,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(at, pa.array(a.view(np.int64), pa.int64())) for a in (m["lines"], m["line_words"])]
                 yield pa.RecordBatch.from_arrays([x.column(0), *x.columns[2:4], *[pa.array(m[c], pa.int64()) for c in COUNTS], *lists], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, host string, row_key long, {', '.join(c + ' long' for c in COUNTS)}, lines array<long>, line_words array<long>")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, host string, row_key long, {', '.join(c + ' long' for c in COUNTS)}, lines array<long>, line_words array<long>")
 
 
 def frequent_lines(measured: DataFrame, limit: int = LIMIT, scratch: Scratch | None = None) -> DataFrame:
@@ -163,11 +161,14 @@ def clean_texts(docs: DataFrame, limit: int = LIMIT, scratch: Scratch | None = N
     scratch = scratch or Scratch(docs.sparkSession)
     frequent = scratch.keep(frequent_lines(scratch.keep(measure(keyed(docs)), "measured"), limit, scratch), "frequent")
     text, host = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("\0"))
-    rows = docs.withColumns({"__host": host, "__row": F.xxhash64("doc_id", host, text)})
+    key = "__row"
+    while key in docs.columns:
+        key += "_"
+    rows = docs.withColumn(key, F.xxhash64("doc_id", host, text))
     measured = measure(keyed(docs)).select("row_key", "host", F.explode("lines").alias("line")).distinct()
-    cut = measured.join(frequent, ["host", "line"]).groupBy("row_key").agg(F.collect_set("line").alias("__cut"))
-    rows = rows.join(cut, rows["__row"] == cut["row_key"], "left").drop("row_key", "__host", "__row")
-    names, place = docs.columns, rows.columns.index("text")
+    cut = measured.join(frequent, ["host", "line"]).groupBy("row_key").agg(F.collect_set("line").alias("lines cut"))
+    rows = rows.join(cut, rows[key] == cut["row_key"], "left").select(*(rows[c] for c in docs.columns), "lines cut")
+    names, place = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
@@ -187,10 +188,31 @@ def clean_texts(docs: DataFrame, limit: int = LIMIT, scratch: Scratch | None = N
                 cols[place] = pa.array(out, x.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(tidy(run), docs.schema)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     from .store import table
 
     return judge(table(spark, sf_dir, "documents"))
+
+
+#: The rules by list and regular expressions; lines are compared as texts, not by hashes.
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+lines AS (SELECT r, doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+worded AS (SELECT r, host, coalesce(doc_id || ':' || md5(t), 'row ' || r) AS document, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+plain AS (SELECT r, host, document, line, len(words) AS n, translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM worded),
+frequent AS (SELECT host, norm FROM plain GROUP BY ALL HAVING count(DISTINCT document) > 6),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM plain GROUP BY r),
+removed AS (SELECT r, sum(n)::BIGINT AS n FROM plain JOIN frequent USING (host, norm) GROUP BY r),
+win AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS x FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+twice AS (SELECT r, x FROM win GROUP BY ALL HAVING count(*) > 1),
+cover AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (r, x)) GROUP BY r),
+m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words
+  FROM w LEFT JOIN dup USING (r) LEFT JOIN cover USING (r) LEFT JOIN removed USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - n_removed_words >= 0.3::DOUBLE * n_words AS kept, n_removed_words FROM f
+"""

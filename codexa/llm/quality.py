@@ -5,8 +5,9 @@ linear hinge-loss model is fitted to them by dual coordinate descent, and its ma
 logistic curve fitted on rows that the model has not seen.
 
 Defined results: a null or empty text gets the score of a document without features; equal texts get equal scores;
-repeated rows are scored each; a null id is scored and never held out; where the labels hold fewer than two rows of
-either class, every score is the share of label 1 (1 without labels). Other columns are not read or returned by `score`.
+repeated rows are scored each, and count once in training; a null id is scored and never held out; where the labels hold
+fewer than two rows of either class, every score is the share of label 1 (1 without labels); a text of any length is scored
+whole; an empty table gives an empty result. Other columns are not read or returned by `score`; `keep_good` returns them.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import fold, share, training_labels, unit
-from .text import SPACE, Words, column_bytes, mix, slices
+from .sampling import drawn_rows, fold, share, training_labels, unit
+from .text import SPACE, Words, column_bytes, mix, slices, tidy
 from .toxicity import keep_rows
 
 GRAM_BITS, SHAPE_BITS = 15, 13
 SIZE = (1 << GRAM_BITS) + (1 << SHAPE_BITS)
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
-#: The bound of the training sample, in labelled documents of either class.
-MAX_CLASS = 3000
+#: The bounds of the training sample: labelled documents of either class, and bytes of features.
+MAX_CLASS, MAX_BYTES = 3000, 24 << 20
 
 #: Kind of a byte: 0 lower-case or non-ASCII, 1 upper-case, 2 digit, 3 end of a sentence or comma, 4 other sign.
 KIND = np.full(256, 4, np.uint8)
@@ -51,12 +52,13 @@ def features(batch: pa.RecordBatch, name: str = "text") -> list[np.ndarray]:
         h = w.hashes()
         same = np.zeros(n, np.uint64)
         same[1:] = h[1:] == h[:-1]
+        first = w.at[:-1][np.diff(w.at) > 0]
+        same[first] = 0
         ends, firsts, seconds = KIND[buf[w.ends - 1]], KIND[buf[w.starts]], KIND[buf[np.minimum(w.starts + 1, w.ends - 1)]]
         code = same << np.uint64(9) | ends.astype(np.uint64) << np.uint64(6) | firsts.astype(np.uint64) << np.uint64(3) | seconds
         lead = np.zeros((2, n), np.uint64)
         lead[0, 1:] = code[:-1] + np.uint64(1)
         lead[1, 2:] = code[:-2] + np.uint64(1)
-        first = w.at[:-1][np.diff(w.at) > 0]
         lead[0][first] = lead[1][first] = 0
         second = first + 1
         second = second[second < n]
@@ -65,7 +67,7 @@ def features(batch: pa.RecordBatch, name: str = "text") -> list[np.ndarray]:
     return [np.unique(np.concatenate((grams[i : max(i, j - 2)], shapes[p:q]))) for i, j, p, q in zip(offs[:-1].tolist(), offs[1:].tolist(), w.at[:-1].tolist(), w.at[1:].tolist(), strict=True)]
 
 
-def dual_coordinate_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 12, seed: int = 3) -> np.ndarray:
+def dual_coordinate_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 12, seed: int = 3, tolerance: float = 1e-3) -> np.ndarray:
     """Weights of a linear model with hinge loss; x holds (indices, values) with a constant last feature."""
     w, alpha = np.zeros(size), np.zeros(len(x))
     norm = np.array([float(v @ v) for _, v in x])
@@ -80,7 +82,7 @@ def dual_coordinate_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarra
                 w[idx] += (new - alpha[i]) * y[i] * v
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
-        if moved < 1e-3:
+        if moved < tolerance:
             break
     return w
 
@@ -121,26 +123,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * m + self.curve[1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_class: int = MAX_CLASS) -> Model:
-    """Trains on at most about `max_class` labelled documents of either class, drawn by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, max_class: int = MAX_CLASS, max_bytes: int = MAX_BYTES) -> Model:
+    """Trains on at most `max_class` labelled documents of either class, drawn by a hash."""
     known = training_labels(labels, "quality", FOLDS, HELD_OUT)
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
+    constant = Model(np.zeros(0), np.zeros(0), (1.0, 0.0), n1 / (n0 + n1) if n0 + n1 else 1.0)
     if min(n0, n1) < 2:
-        return Model(np.zeros(0), np.zeros(0), (1.0, 0.0), n1 / (n0 + n1) if n0 + n1 else 1.0)
+        return constant
     picked = known.where(unit(F.col("doc_id"), seed=6) < F.when(F.col("y") == 1, share(n1, max_class)).otherwise(share(n0, max_class)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", unit(F.col("doc_id"), seed=7).alias("key"), "text")
-
-    def gather(batches):
-        for batch in batches:
-            for x in slices(batch):
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array([f.tobytes() for f in features(x)], pa.binary())], ["y", "key", "found"])
-
-    got = sorted(rows.mapInArrow(gather, "y int, key double, found binary").collect(), key=lambda r: (r.key, r.found))
-    y = np.array([r.y for r in got])
-    if min((y == 0).sum(), (y == 1).sum()) < 2:
-        return Model(np.zeros(0), np.zeros(0), (1.0, 0.0), n1 / (n0 + n1))
-    found = [np.frombuffer(r.found, np.uint16) for r in got]
+    rows = drawn_rows(docs, picked.select("doc_id", (F.col("y") == 0).alias("low"), (F.col("y") == 1).alias("high")), features, {"low": max_class, "high": max_class}, max_bytes)
+    if min(map(len, rows.values())) < 2:
+        return constant
+    y = np.repeat([0, 1], [len(rows["low"]), len(rows["high"])])
+    found = [np.frombuffer(f, np.uint16) for f in rows["low"] + rows["high"]]
     weight = np.where(y == 1, n1 / (y == 1).sum(), n0 / (y == 0).sum())  # rows that a drawn row stands for
 
     def train(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_class: int = MAX_CLASS) -> Model
         cost = np.where(y[rows] == 1, 1.0, (y[rows] == 1).sum() / max(1, (y[rows] == 0).sum()))
         return ratio, dual_coordinate_descent(x, np.where(y[rows] == 1, 1.0, -1.0), cost, SIZE + 1)
 
-    part = np.arange(len(y)) % 4
+    part = np.concatenate([np.arange(len(rows[k])) % 4 for k in ("low", "high")])
     seen = [(rows, np.flatnonzero(part == k)) for k in (0, 1) if len(np.unique(y[rows := np.flatnonzero(part != k)])) == 2]
     margins, at = [], []
     for rows, rest in seen:
@@ -177,7 +173,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(model.scores(x), pa.float64())], ["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(judge, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.mapInArrow(tidy(judge), f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .jaccard import op10_ngram_jaccard
-from .lines import op9_quality_rules
+from .lines import OP9_SQL, op9_quality_rules
 from .mixing import OP6_SQL, op6_mix_sources
 from .quality import op5_quality
 from .telephony import op4_telephony
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL = {"op3_url_filter": OP3_SQL, "op6_mix_sources": OP6_SQL, "op8_warc": OP8_SQL}
+SQL = {"op3_url_filter": OP3_SQL, "op6_mix_sources": OP6_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL}

@@ -1,13 +1,15 @@
 """Vectorised text primitives over Arrow string columns.
 
-Everything works on the UTF-8 bytes of a slice of a batch, without a Python loop over words. Words are hashed with a
-polynomial over 64-bit integers: a prefix sum of ``byte_value * BASE**position`` gives each word's hash by one
-subtraction and one multiplication, and a finaliser spreads the bits.
+Everything works on the UTF-8 bytes of a slice of a batch, without a Python loop over words. A word's hash is the sum of one
+64-bit value for each of its bytes, drawn for the pair of byte and position in the word, so it is one subtraction from a
+prefix sum; a finaliser spreads the bits. The values follow no rule that texts could meet by their structure: two different
+words have equal hashes with a probability of 2**-64.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +27,27 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = 64
+#: The values of the first positions are drawn; those of later ones are `mix` of position and byte.
+_VALUES = np.random.default_rng(20240601).integers(0, 1 << 64, (_PLACES << 8), dtype=np.uint64)
 _STEP = np.random.default_rng(77).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_FAR, _PLACE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n; kept between calls up to a few slices' length."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + (1 << 20))
-        made = []
-        for base in (_BASE, _INVERSE):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            made.append(np.cumprod(a, dtype=np.uint64))
-        if size > 16 * SLICE_BYTES:
-            return made[0], made[1]
-        _powers[:] = made
-    return _powers[0], _powers[1]
+def tidy(run: Callable) -> Callable:
+    """A function of batches that, at its task's end, gives the memory that its worker has freed back to the system."""
+
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,8 +60,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def mix_int(x: int) -> int:
-    return int(mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+def places(starts: np.ndarray, n: int) -> np.ndarray:
+    """For each of n entries how far it lies behind the last of the sorted `starts` (0 before the first)."""
+    if not len(starts):
+        return np.zeros(n, np.int32)
+    lens = np.diff(np.append(starts, n))
+    out = np.arange(n, dtype=np.int32)
+    out[starts[0] :] -= np.repeat(starts.astype(np.int32), lens)
+    out[: starts[0]] = 0
+    return out
+
+
+def byte_sums(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Prefix sums of the bytes' values, with positions counted from the last of the sorted `starts`: the hash of a run of
+    bytes that begins at a start is a difference of two of them."""
+    place = places(starts, len(buf))
+    far = np.flatnonzero(place >= _PLACES)
+    v = _VALUES[(np.minimum(place, _PLACES - 1) << 8) | buf]
+    if len(far):
+        v[far] = mix((place[far].astype(np.uint64) << np.uint64(8) | buf[far]) * _PLACE + _FAR)
+    out = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(v, out=out[1:], dtype=np.uint64)
+    return out
+
+
+def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes from starts (sorted) to ends, which don't overlap."""
+    distinct = starts if len(starts) < 2 or (starts[1:] > starts[:-1]).all() else np.unique(starts)
+    distinct = distinct[: np.searchsorted(distinct, len(buf))]
+    sums = byte_sums(buf, distinct)
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,16 +151,11 @@ class Words:
         return len(self.starts)
 
     def prefix_sums(self, fold: np.ndarray | None = None) -> np.ndarray:
-        b = self.buf if fold is None else fold[self.buf]
-        up, _ = powers(len(b))
-        out = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_VALUES[b] * up[: len(b)], out=out[1:], dtype=np.uint64)
-        return out
+        return byte_sums(self.buf if fold is None else fold[self.buf], self.starts)
 
     def hashes(self, fold: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ndarray:
         sums = self.prefix_sums(fold) if sums is None else sums
-        _, down = powers(len(self.buf))
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return mix(sums[self.ends] - sums[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
     def docs(self) -> np.ndarray:
         """The document of each word."""
@@ -147,6 +173,13 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(h)
 
 
+def sequence_sums(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Prefix sums over word hashes, each mixed with its place behind the last of the sorted `starts`."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words + places(starts, len(words)).astype(np.uint64) * _PLACE), out=out[1:], dtype=np.uint64)
+    return out
+
+
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """For each document its sorted distinct shingle hashes: `size` words each, lower-cased A-Z.
 

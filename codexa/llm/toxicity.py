@@ -2,11 +2,16 @@
 
 Linear classifiers over hashed word and word-stem indicators are trained with numpy from confirmed toxic examples (P) and
 unlabelled text (U). With class prior pi the risk is ``pi * R_P(+) + max(0, R_U(-) - pi * R_P(-))``; where the second
-part turns negative, the step goes the other way (Kiryo et al., 2017). Labels of clean rows are used for the prior only.
+part turns negative, the step goes the other way (Kiryo et al., 2017). The weights are those of the least risk; as scores
+are read against a fixed threshold, the offset is set once more at the end, so that the mean score of U is the prior.
+
+U is text of the rows that the label table covers, with their labels left aside, so that the prior, which is the share of
+toxic rows there, is that of U. Both P and U are drawn by hashes, with documented bounds in documents and bytes.
 
 Defined results: a null or empty text gets the score of a document without features; equal texts get equal scores;
-repeated rows are scored each; a null id is scored and never held out; without any confirmed example every score is 0.
-Other columns are neither read nor returned by `score`; `keep_clean` returns them as they are.
+repeated rows are scored each, and count once in training; a null id is scored and never held out; without any confirmed
+example every score is 0; a text of any length is scored whole; an empty table gives an empty result. Other columns are
+neither read nor returned by `score`; `keep_clean` returns them as they are.
 """
 
 from __future__ import annotations
@@ -18,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import fold, share, training_labels, unit
-from .text import ALNUM, LOWER, Words, column_bytes, mix, powers, slices
+from .sampling import drawn_rows, fold, share, training_labels, unit
+from .text import ALNUM, LOWER, Words, column_bytes, mix, slices, tidy
 
 BITS = 18
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-#: The bounds of the training sample, in documents.
-MAX_POSITIVE, MAX_UNLABELLED = 2500, 6000
+#: The bounds of the training sample of labelled rows, in documents and in bytes of features.
+MAX_POSITIVE, MAX_UNLABELLED, MAX_BYTES = 2500, 6000, 64 << 20
 
 
 def features(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -38,13 +43,12 @@ def features(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.
     buf, offs = column_bytes(batch.column(batch.schema.get_field_index(name)))
     w = Words(buf, offs, ~ALNUM)
     sums = w.prefix_sums(LOWER)
-    _, down = powers(len(buf))
     mask = np.uint64((1 << BITS) - 1)
     out = np.empty((len(w), 1 + len(STEMS)), np.uint32)
     out[:, 0] = w.hashes(sums=sums) & mask
     lens = w.ends - w.starts
     for k, size in enumerate(STEMS, 1):
-        stem = mix((sums[np.minimum(w.starts + size, w.ends)] - sums[w.starts]) * down[w.starts] + np.uint64(size << 40)) & mask
+        stem = mix(sums[np.minimum(w.starts + size, w.ends)] - sums[w.starts] + np.uint64(size << 40)) & mask
         out[:, k] = np.where(lens >= size, stem, out[:, 0])
     return out.reshape(-1), w.at * (1 + len(STEMS))
 
@@ -78,6 +82,17 @@ class Model:
         return (1 / (1 + np.exp(-m))).mean(0)
 
 
+def risk(f_p: np.ndarray, f_u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of margins of P and U: the non-negative risk, its negative part before it is cut at 0, and the step's gradient by f_p
+    and f_u: that of the risk, or where the negative part is below 0 that of its opposite."""
+    s_p, s_u = 1 / (1 + np.exp(-f_p)), 1 / (1 + np.exp(-f_u))  # d/df of log(1 + exp(f)); s - 1 is that of log(1 + exp(-f))
+    positive = prior * np.logaddexp(0, -f_p).mean()
+    negative = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
+    if negative >= 0:
+        return positive + negative, negative, prior * (s_p - 1) / len(f_p) - prior * s_p / len(f_p), s_u / len(f_u)
+    return positive, negative, prior * s_p / len(f_p), -s_u / len(f_u)
+
+
 def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, rounds: int = 250, rate: float = 0.1, l1: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with logistic loss; full-batch Adam with soft thresholding."""
     rows = [*pos, *unl]
@@ -98,15 +113,7 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, rounds: int
     m1, m2 = np.zeros(len(held) + 1), np.zeros(len(held) + 1)
     for t in range(1, rounds + 1):
         f = np.clip(np.bincount(row, w[idx], n) + b, -30, 30)
-        s = 1 / (1 + np.exp(-f))  # d/df of log(1 + exp(f)); s - 1 is that of log(1 + exp(-f))
-        negative = np.logaddexp(0, f[n_p:]).mean() - prior * np.logaddexp(0, f[:n_p]).mean()
-        g = np.empty(n)
-        if negative >= 0:
-            g[:n_p] = prior * (s[:n_p] - 1) / n_p - prior * s[:n_p] / n_p
-            g[n_p:] = s[n_p:] / (n - n_p)
-        else:
-            g[:n_p] = prior * s[:n_p] / n_p
-            g[n_p:] = -s[n_p:] / (n - n_p)
+        g = np.concatenate(risk(f[:n_p], f[n_p:], prior)[2:])
         grad = np.append(np.bincount(idx, g[row], len(held)), g.sum())
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
@@ -116,45 +123,40 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, rounds: int
         w = np.sign(w) * np.maximum(np.abs(w) - l1 * rate * 50, 0)
     out = np.zeros(1 << BITS)
     out[held] = w
-    f = np.bincount(row, w[idx], n)[n_p:]
-    low, high = -60.0, 60.0  # the offset at which the mean score of unlabelled text is the prior
+    return out, calibrated(np.bincount(row, w[idx], n)[n_p:], prior)
+
+
+def calibrated(f: np.ndarray, prior: float) -> float:
+    """The offset at which the mean score of unlabelled text, of margins f, is the prior."""
+    low, high = -60.0, 60.0
     for _ in range(60):
         b = (low + high) / 2
         low, high = (b, high) if (1 / (1 + np.exp(-np.clip(f + b, -30, 30)))).mean() < prior else (low, b)
-    return out, b
-
+    return b
 
-def sample_rows(docs: DataFrame, picked: DataFrame, part: float, max_rows: int) -> list:
-    """(y, key, indicators) of the picked documents and of a hash-drawn `part` of the other documents outside the held-out fold."""
-    key = unit(F.col("doc_id"), seed=11)
-    rows = docs.select("doc_id", "text").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    rows = rows.join(F.broadcast(picked.select("doc_id", F.lit(1).alias("y"))), "doc_id", "left").select(F.coalesce("y", F.lit(0)).alias("y"), key.alias("key"), "text").where((F.col("y") == 1) | (F.col("key") < part))
 
-    def gather(batches):
-        for batch in batches:
-            for x in slices(batch):
-                idx, at = features(x)
-                found = [np.unique(idx[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(found, pa.binary())], ["y", "key", "found"])
-
-    got = rows.mapInArrow(gather, "y int, key double, found binary").collect()
-    return sorted(got, key=lambda r: (r.y, r.key, r.found))[:max_rows]
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, members: int = 2) -> Model:
-    """Trains on at most about `max_positive` confirmed toxic documents and `max_unlabelled` others, drawn by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES, members: int = 2) -> Model:
+    """Trains on at most `max_positive` confirmed toxic documents and `max_unlabelled` documents whose labels are not used."""
     known = training_labels(labels, "toxic", FOLDS, HELD_OUT)
     n, toxic = known.agg(F.count("*"), F.sum("y")).first()
     if not toxic:
         return Model(np.zeros((0, 1 << BITS)), np.zeros(0), 0.0)
     prior = min(max(toxic / n, 1e-3), 0.9)
-    picked = known.where((F.col("y") == 1) & (unit(F.col("doc_id"), seed=5) < share(toxic, max_positive)))
-    part = share(docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).count(), max_unlabelled)
-    rows = sample_rows(docs, picked, part, 2 * (max_positive + max_unlabelled))
-    pos = [np.frombuffer(r.found, np.uint32) for r in rows if r.y == 1]
-    unl = [np.frombuffer(r.found, np.uint32) for r in rows if r.key < part]  # the positives among the drawn rows belong to U too
+    confirmed = (F.col("y") == 1) & (unit(F.col("doc_id"), seed=5) < share(toxic, max_positive))
+    picked = known.select("doc_id", confirmed.alias("p"), (unit(F.col("doc_id"), seed=13) < share(n, max_unlabelled)).alias("u")).where("p or u")
+
+    def indicators(x):
+        idx, at = features(x)
+        return [np.unique(idx[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    rows = drawn_rows(docs, picked, indicators, {"p": max_positive, "u": max_unlabelled}, max_bytes)
+    pos, unl = ([np.frombuffer(f, np.uint32) for f in rows[k]] for k in ("p", "u"))
     if not pos or not unl:
-        return Model(np.zeros((0, 1 << BITS)), np.zeros(0), prior)
+        if docs.join(F.broadcast(picked), "doc_id", "left_semi").where("doc_id is not null").isEmpty():
+            return Model(np.zeros((0, 1 << BITS)), np.zeros(0), prior)  # no labelled document is in the table
+        if not pos:
+            return Model(np.zeros((0, 1 << BITS)), np.zeros(0), prior)
+        unl = pos
     made = [nnpu(pos, unl if members == 1 else [x for i, x in enumerate(unl) if i % (members + 1) != k] or unl, prior) for k in range(members)]
     return Model(np.stack([w for w, _ in made]).astype(np.float32), np.array([b for _, b in made]), prior)
 
@@ -169,7 +171,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(model.scores(x), pa.float64())], ["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(judge, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.mapInArrow(tidy(judge), f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_rows(docs: DataFrame, wanted) -> DataFrame:
@@ -180,7 +182,7 @@ def keep_rows(docs: DataFrame, wanted) -> DataFrame:
             for x in slices(batch):
                 yield x.filter(pa.array(wanted(x)))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return docs.mapInArrow(tidy(judge), docs.schema)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:

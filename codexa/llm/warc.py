@@ -9,8 +9,9 @@ Pages of equal payload (by SHA-1 and length) are found by a pre-aggregated minim
 are joined back, and adaptive execution splits a hot group.
 
 Defined results: null html is an empty payload, null urls give records without a target URI; a null page_id comes after
-all others; of rows with the same page_id and payload each is a response if that id is the smallest; other columns are
-not read; an empty table gives no archives and an empty result.
+all others; of rows with the same page_id and payload each is a response if that id is the smallest; ids of any type and
+text are escaped in headers; pages of any length are whole records; other columns are not read; an empty table gives no
+archives and an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
+from .text import slices, tidy
 
 ARCHIVE_BYTES = 256 << 20
 #: Ranges with at most so many bytes between them are read at once, up to READ_BYTES.
@@ -54,11 +56,11 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else _line(str(page_id))}>"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{_line(str(refers_to))}>"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -97,8 +99,7 @@ def write(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> D
         try:
             for batch in batches:
                 index = []
-                for i in range(0, batch.num_rows, 256):
-                    x = batch.slice(i, 256)
+                for x in slices(batch, "html"):
                     for page_id, url, html, first in zip(*(c.to_pylist() for c in x.columns), strict=True):
                         payload = html.encode()
                         member = record(page_id, url, payload, first if first is not None and first != page_id else None)
@@ -117,7 +118,7 @@ def write(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> D
             if out:
                 out.close()
 
-    return rows.mapInArrow(run, INDEX.format(id=rows.schema["page_id"].dataType.simpleString()))
+    return rows.mapInArrow(tidy(run), INDEX.format(id=rows.schema["page_id"].dataType.simpleString()))
 
 
 def ranges(rows: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
@@ -158,12 +159,12 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                             if digest != cols["digest"][i + k] or (r["payload"] is not None and (digest_of(r["payload"]) != digest or len(r["payload"]) != r["length"])):
                                 raise ValueError(f"{cols['file'][i]} at {cols['offset'][i + k]}: not the record of the index")
                             refers = r.get("warc-refers-to")
-                            rows.append((cols["page_id"][i + k], r["length"], digest, r["warc-type"], refers[len("<urn:page:") : -1] if refers else None))
+                            rows.append((cols["page_id"][i + k], r["length"], digest, r["warc-type"], _unline(refers[len("<urn:page:") : -1]) if refers else None))
                         c = list(zip(*rows, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c[0], id_type), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3]), pa.array(c[4], pa.string()).cast(id_type)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 i = j
 
-    return selected.mapInArrow(run, RESULT.format(id=kind))
+    return selected.mapInArrow(tidy(run), RESULT.format(id=kind))
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
