@@ -7,11 +7,12 @@ count, maps each number to a slot. Ranges of slots become shard files, in which
 reader finds any slot, and resumes at any, by arithmetic.
 
 Numbers need no global window: documents are sorted in ranges, each range's sequence total is one row, and those totals
-(one for each partition) give the ranges' first numbers. Sequences are dealt to shards by slot, evenly by construction, and
-travel in compressed packs.
+(one for each partition) give the ranges' first numbers. As slots are even, the ranges of shards that a partition writes
+are known beforehand: sequences go to them at once, in compressed packs, and are written shard by shard.
 
 Defined results: null and empty texts give one sequence of END and PAD; a null id sorts first; rows of equal id are ordered
-by text hash and numbered each; other columns are not read; an empty table gives no shards and an empty result.
+by text hash, and equal rows are numbered one after the other; a text of any length is cut whole; other columns are not
+read; an empty table gives no shards and an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import Scratch
-from .text import column_bytes, slices
+from .text import column_bytes, slices, tidy
 
 LENGTH = 512
 END, PAD = 254, 255
@@ -37,8 +38,12 @@ KEY = "2024"
 ROUNDS = 6
 SHARD_BYTES = 64 << 20
 FLUSH_BYTES = 32 << 20
-#: Documents whose first numbers (about 24 bytes each) are broadcast; more are joined.
-MAX_BROADCAST = 2_000_000
+#: Documents whose first numbers (about 140 bytes each on the driver and executors) are broadcast; more are joined.
+MAX_BROADCAST = 1_000_000
+#: Equal rows that one task cuts.
+EQUAL_ROWS = 1000
+#: Bytes that are read at once, at most, where sequences lie side by side.
+READ_BYTES = 8 << 20
 
 
 def round_keys(key: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -80,10 +85,11 @@ def n_sequences(size: F.Column, length: int) -> F.Column:
 
 
 def numbered(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """doc_id, text and first (the number of its first sequence), and the count of sequences."""
+    """doc_id, key (the text's hash), n (sequences of a row), rows (equal ones) and first (the number of their first sequence), and
+    the count of sequences."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
-    sizes = rows.select("doc_id", "key", n_sequences(F.octet_length("text"), length).alias("n"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), n_sequences(F.octet_length(text), length).alias("n"))
+    sizes = rows.groupBy("doc_id", "key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = sizes.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -91,33 +97,39 @@ def numbered(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame,
     def run(batches):
         total = 0
         for b in batches:
-            before = np.append(0, np.cumsum(b.column(2).to_numpy()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total + before[:-1], pa.int64())], ["doc_id", "key", "n", "before"])
+            before = np.append(0, np.cumsum(b.column(2).to_numpy() * b.column(3).to_numpy()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total + before[:-1], pa.int64())], ["doc_id", "key", "n", "rows", "before"])
             total += int(before[-1])
 
-    placed = placed.mapInArrow(run, f"doc_id {kind}, key long, n long, before long").withColumn("part", F.spark_partition_id())
+    placed = placed.mapInArrow(tidy(run), f"doc_id {kind}, key long, n long, rows long, before long").withColumn("part", F.spark_partition_id())
     placed = scratch.keep(placed, "numbered")
     starts, at = [], 0
-    for r in placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each partition
+    for r in placed.groupBy("part").agg(F.sum(F.col("n") * F.col("rows")).alias("n")).orderBy("part").collect():  # a row for each partition
         starts.append((r.part, at))
         at += r.n
     spark = docs.sparkSession
     starts = spark.createDataFrame(starts, "part int, start long")
-    first = placed.join(F.broadcast(starts), "part").select("doc_id", "key", "n", (F.col("start") + F.col("before")).alias("first"))
+    first = placed.join(F.broadcast(starts), "part").select("doc_id", "key", "n", "rows", (F.col("start") + F.col("before")).alias("first"))
     return first, at
 
 
 def packed(docs: DataFrame, length: int, key: str, per: int, first: DataFrame, total: int) -> DataFrame:
     """shard, slots, ids, nos and the compressed tokens of all sequences; one row for each shard that a flush of a task meets."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").alias("own"), text.alias("text")).withColumn("own_key", F.xxhash64("text"))
-    if not first.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
-        first = first.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("first")).alias("firsts"))
-        rows = rows.dropDuplicates(["own", "own_key"])
-    else:
-        first = first.select("doc_id", "key", F.array("first").alias("firsts"))
-    first = F.broadcast(first) if first.count() <= MAX_BROADCAST else first
-    rows = rows.join(first, rows["own"].eqNullSafe(first["doc_id"]) & (rows["own_key"] == first["key"])).select("doc_id", "text", "firsts")
+    every = docs.select(F.col("doc_id").alias("own"), text.alias("text")).withColumn("own_key", F.xxhash64("text"))
+
+    def with_numbers(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+        numbers = F.broadcast(numbers) if numbers.count() <= MAX_BROADCAST else numbers
+        return rows.join(numbers, rows["own"].eqNullSafe(numbers["doc_id"]) & (rows["own_key"] == numbers["key"])).select("doc_id", "text", "first", "rows")
+
+    rows = with_numbers(every, first.where("rows = 1"))
+    several = first.where("rows > 1")
+    if not several.isEmpty():  # each text once, and its numbers in parts
+        part = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / EQUAL_ROWS))).alias("part")
+        parts = several.select("doc_id", "key", "n", "rows", "first", part)
+        parts = parts.select("doc_id", "key", F.least(F.col("rows") - F.col("part") * EQUAL_ROWS, F.lit(EQUAL_ROWS)).alias("rows"), (F.col("first") + F.col("part") * EQUAL_ROWS * F.col("n")).alias("first"))
+        once = every.join(several.select("doc_id", "key"), every["own"].eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")), "left_semi").dropDuplicates(["own", "own_key"])
+        rows = rows.unionByName(with_numbers(once, parts))
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches):
@@ -140,23 +152,23 @@ def packed(docs: DataFrame, length: int, key: str, per: int, first: DataFrame, t
             arrow = batch.schema.field(0).type
             for x in slices(batch):
                 buf, offs = column_bytes(x.column(1))
-                for d, (doc, firsts) in enumerate(zip(x.column(0).to_pylist(), x.column(2).to_pylist(), strict=True)):
+                for d, (doc, f, equal) in enumerate(zip(*(x.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
                     raw = buf[offs[d] : offs[d + 1]].tobytes() + bytes([END])
                     raw += bytes([PAD]) * (-len(raw) % length)
                     k = len(raw) // length
-                    for f in firsts:
+                    for at in range(f, f + k * equal, k):
                         held[0] += [doc] * k
                         held[1] += range(k)
-                        held[2] += range(f, f + k)
+                        held[2] += range(at, at + k)
                         held[3].append(raw)
-                if len(held[2]) * length >= FLUSH_BYTES:
-                    yield flush(*held)
-                    held = [[], [], [], []]
+                        if len(held[2]) * length >= FLUSH_BYTES:
+                            yield flush(*held)
+                            held = [[], [], [], []]
         if held[0]:
             yield flush(*held)
 
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(id_type)), T.StructField("nos", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def write(docs: DataFrame, folder: str, length: int = LENGTH, key: str = KEY, shard_bytes: int = SHARD_BYTES, scratch: Scratch | None = None) -> DataFrame:
@@ -167,23 +179,39 @@ def write(docs: DataFrame, folder: str, length: int = LENGTH, key: str = KEY, sh
     per = max(1, min(shard_bytes // length, -(-total // (4 * tasks))))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(group, table):
+    shards = max(1, -(-total // per))
+    ranges = min(shards, tasks)
+
+    def write_shard(shard: int, packs: list[pa.RecordBatch]) -> pa.RecordBatch:
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        slots, ids, nos = (table.column(c).combine_chunks().flatten() for c in ("slots", "ids", "nos"))
-        counts = [len(x) for x in table.column("slots")]
-        tokens = np.concatenate([np.frombuffer(pa.decompress(b, n * length, "zstd"), np.uint8) for b, n in zip(table.column("data").to_pylist(), counts, strict=True)]).reshape(-1, length)
+        slots, ids, nos = (pa.concat_arrays([x.column(c).flatten() for x in packs]) for c in ("slots", "ids", "nos"))
+        counts = [len(x.column("slots")[0]) for x in packs]
+        tokens = np.concatenate([np.frombuffer(pa.decompress(x.column("data")[0].as_py(), n * length, "zstd"), np.uint8) for x, n in zip(packs, counts, strict=True)]).reshape(-1, length)
         order = np.argsort(slots.to_numpy(), kind="stable")
         start = int(slots[int(order[0])].as_py())
-        name = f"{group[0].as_py():06d}-{start:012d}.bin"
+        name = f"{shard:06d}-{start:012d}.bin"
         beside = f"{path}/.{name}-{uuid.uuid4().hex}"  # a retried task writes the same bytes, and moves them in place at once
         with fs.open_output_stream(beside, compression=None) as f:
             f.write(tokens[order].tobytes())
         fs.move(beside, f"{path}/{name}")
         pick = pa.array(order)
-        return pa.table({"slot": slots.take(pick), "doc_id": ids.take(pick), "seq_no": nos.take(pick), "shard": pa.array([name] * len(order)), "offset": pa.array(np.arange(len(order), dtype=np.int64) * length)})
+        return pa.RecordBatch.from_arrays([slots.take(pick), ids.take(pick), nos.take(pick), pa.array([name] * len(order)), pa.array(np.arange(len(order), dtype=np.int64) * length)], ["slot", "doc_id", "seq_no", "shard", "offset"])
 
-    dealt = packed(docs, length, key, per, first, total).groupBy("shard").applyInArrow(run, f"slot long, doc_id {kind}, seq_no int, shard string, offset long")
+    def run(batches):
+        shard, packs = None, []
+        for batch in batches:
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                if packs and k != shard:
+                    yield write_shard(shard, packs)
+                    packs = []
+                shard = k
+                packs.append(batch.slice(i, 1))
+        if packs:
+            yield write_shard(shard, packs)
+
+    dealt = packed(docs, length, key, per, first, total).repartitionById(ranges, F.floor(F.col("shard").cast("long") * ranges / shards).cast("int"))
+    dealt = dealt.sortWithinPartitions("shard").mapInArrow(tidy(run), f"slot long, doc_id {kind}, seq_no int, shard string, offset long")
     index = scratch.keep(dealt, "index")
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
@@ -200,32 +228,42 @@ def read(folder: str, start: int = 0):
     files = sorted((int(x.base_name[7:19]), x) for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".bin") and x.base_name[0] != ".")
     for first, x in files:
         n = x.size // length
-        if first + n <= start:
+        at = max(first, start)
+        if first + n <= at:
             continue
         with fs.open_input_file(x.path) as f:
-            for slot in range(max(first, start), first + n):
-                yield slot, np.frombuffer(f.read_at(length, (slot - first) * length), np.uint8)
+            f.seek((at - first) * length)
+            for slot in range(at, first + n, max(1, READ_BYTES // length)):
+                for k, raw in enumerate(np.frombuffer(f.read(READ_BYTES // length * length), np.uint8).reshape(-1, length)):
+                    yield slot + k, raw
 
 
 def check(index: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
-    """Reads every sequence back by its shard and offset: its number of text tokens and the crc32 of its bytes."""
+    """Reads every sequence back by its shard and offset, neighbours at once: its number of text tokens and its bytes' crc32."""
     kind = index.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         fs, path = pafs.FileSystem.from_uri(folder)
         f = opened = None
         for b in batches:
-            n, crc = [], []
-            for name, at in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if name != opened:
-                    f, opened = fs.open_input_file(f"{path}/{name}"), name
-                raw = f.read_at(length, at)
-                end = raw.find(bytes([END]))
-                n.append(length if end < 0 else end)
-                crc.append(zlib.crc32(raw))
+            names, offsets, n, crc = b.column(3).to_pylist(), b.column(4).to_pylist(), [], []
+            i = 0
+            while i < len(names):
+                j = i + 1
+                while j < len(names) and names[j] == names[i] and offsets[j] == offsets[j - 1] + length and (j - i) * length < READ_BYTES:
+                    j += 1
+                if names[i] != opened:
+                    f, opened = fs.open_input_file(f"{path}/{names[i]}"), names[i]
+                block = f.read_at((j - i) * length, offsets[i])
+                for k in range(0, len(block), length):
+                    raw = block[k : k + length]
+                    end = raw.find(bytes([END]))
+                    n.append(length if end < 0 else end)
+                    crc.append(zlib.crc32(raw))
+                i = j
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["slot", "doc_id", "seq_no", "n_tokens", "crc32"])
 
-    return index.mapInArrow(run, f"slot long, doc_id {kind}, seq_no int, n_tokens int, crc32 long")
+    return index.mapInArrow(tidy(run), f"slot long, doc_id {kind}, seq_no int, n_tokens int, crc32 long")
 
 
 def op2_training_order(spark, sf_dir: str) -> DataFrame:
