@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -98,11 +99,12 @@ class Lexicons:
 
 
 def contains_any(text: Column, terms: tuple, acronyms: tuple = ACRONYMS) -> Column:
-    """Substrings; acronyms only as words of their own, in the Unicode sense. One pass of one pattern."""
-    plain = [re.escape(t) for t in terms if t not in acronyms]
+    """Substrings as they stand; acronyms in any case, but only as words of their own, in the Unicode sense."""
     short = [re.escape(t) for t in terms if t in acronyms]
-    parts = plain + ([rf"(?<!\w)(?:{'|'.join(short)})(?!\w)"] if short else [])
-    return text.rlike("(?iU)" + "|".join(p.replace(r"\ ", " ").replace(r"\-", "-") for p in parts))
+    out = [text.contains(t) for t in terms if t not in acronyms]
+    if short:
+        out.append(text.rlike(rf"(?iU)(?<!\w)(?:{'|'.join(short)})(?!\w)"))
+    return functools.reduce(lambda a, b: a | b, out, F.lit(False))
 
 
 def signal_text(title: Column, abstract: Column, keywords: Column) -> Column:

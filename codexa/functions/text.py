@@ -120,7 +120,7 @@ def normalize_database(c: Column) -> Column:
     name = F.regexp_replace(normalize_title(c), " ", "_")
     out = name
     for slug, (display, _) in DATABASES.items():
-        out = F.when(name == header_name(display), F.lit(slug)).otherwise(out)
+        out = F.when(name.isin(header_name(slug), header_name(display)), F.lit(slug)).otherwise(out)
     return out
 
 
@@ -149,10 +149,26 @@ def json_text(c: Column) -> Column:
     text = c
     for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
+    every = text
     for code in range(0x20):
         if code not in (8, 9, 10, 12, 13):
-            text = F.replace(text, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    return F.concat(F.lit('"'), text, F.lit('"'))
+            every = F.replace(every, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    text = F.when(c.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), every).otherwise(text)
+    return F.concat(F.lit('"'), F.when(c.rlike(r'[\x00-\x1f"\\]'), text).otherwise(c), F.lit('"'))
+
+
+def record_keys(doi: Column, title: Column) -> tuple[Column, Column]:
+    """The keys by which records are told apart: of the DOI and of the title; blank without one."""
+    return normalize_doi(doi), normalize_title(title)
+
+
+def plain_text(c: Column) -> Column:
+    """Accents off, lower case, white space to single spaces; punctuation stays."""
+    return safe_text(F.regexp_replace(F.lower(strip_accents(safe_text(c))), r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+def combined_metadata(title: Column, abstract: Column, keywords: Column) -> Column:
+    return plain_text(F.concat_ws(" ", *[safe_text(c) for c in (title, abstract, keywords)]))
 
 
 def metadata_fingerprint(title: Column, abstract: Column, keywords: Column) -> Column:

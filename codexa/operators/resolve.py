@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import format_master_id, master_number, normalize_doi, normalize_title, safe_text
+from ..functions.text import format_master_id, master_number, normalize_database, normalize_doi, normalize_title, safe_text
 from .schema import CANONICAL, ranked
 
 #: Columns that a duplicate may fill.
@@ -27,9 +27,11 @@ FILLED = ("title", "authors", "year", "publication", "volume", "document_type",
 
 @dataclass(frozen=True)
 class Policy:
-    """How a fold matches and fills. origin: also match by source id; strip: fill stripped values; source: keep track of
-    metadata sources and status; reset: clear a NO_DOI status when a DOI arrives; fill: columns, all but API columns if empty."""
+    """How a fold matches and fills. incoming: a duplicate's own keys lead to its survivor too; origin: also match by source id;
+    strip: fill stripped values; source: keep track of metadata sources and status; reset: clear a NO_DOI status when a DOI
+    arrives; fill: columns, all but API columns if empty."""
 
+    incoming: bool = False
     origin: bool = False
     strip: bool = False
     source: bool = False
@@ -37,13 +39,19 @@ class Policy:
     fill: tuple = FILLED
 
 
-INTERNAL = Policy()
+INTERNAL = Policy(incoming=True)
 MASTER = Policy(origin=True, strip=True, source=True)
+#: What a fold says of each row.
+VERDICT = ("kept", "matched", "match_type", "fields_filled")
 ENRICHMENT = Policy(origin=True, reset=True, fill=())
 
 
 def shared_path(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "codexa-checkpoints")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset; set it to a folder that all machines of the cluster share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "codexa-checkpoints")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}-{name}"
 
 
@@ -148,38 +156,47 @@ class Fold:
         self.rows.append(row)
         self.register(len(self.rows) - 1, row["_doi"], row["_title"])
 
-    def absorb(self, i: int, new: dict) -> None:
+    def absorb(self, i: int, new: dict) -> list[str]:
+        """Fills the survivor's blanks and registers its keys; the columns that were filled."""
         old, filled = self.rows[i], []
         for c in self.fill:
             if not _text(old.get(c)) and _text(new.get(c)):
                 old[c] = _text(new[c]) if self.policy.strip else new[c]
                 filled.append(c)
-                if c == "doi" and self.policy.reset and _text(old.get("springer_api_status")) == "NO_DOI":
-                    old["springer_api_status"] = old["springer_api_error"] = ""
+        if "doi" in filled:  # keys are those of the stored text
+            old["_doi"] = new["_doi"]
+            if self.policy.reset and old["_doi"] and _text(old.get("springer_api_status")) == "NO_DOI":
+                old["springer_api_status"] = old["springer_api_error"] = ""
+        if "title" in filled:
+            old["_title"] = new["_title"]
+        if "database" in filled:
+            old["_db"] = new["_db"]
         if self.policy.source and filled:
-            seen = [x for x in _text(old.get("metadata_source")).split(" | ") if x]
+            seen = [x.strip() for x in _text(old.get("metadata_source")).split(" | ") if x.strip()]
             own = _text(new.get("metadata_source"))
-            old["metadata_source"] = " | ".join(seen + [own] * (bool(own) and own not in seen)) if own else old.get("metadata_source")
+            old["metadata_source"] = " | ".join(seen + [own] * (own not in seen)) if own else old.get("metadata_source")
             if _text(new.get("metadata_status")) and ("abstract" in filled or not _text(old.get("metadata_status"))):
                 old["metadata_status"] = _text(new["metadata_status"])
-        old["_doi"], old["_title"] = old["_doi"] or new["_doi"], old["_title"] or new["_title"]
-        self.register(i, new["_doi"], new["_title"])
+        if self.policy.incoming:
+            self.register(i, new["_doi"], new["_title"])
         self.register(i, old["_doi"], old["_title"])
+        return filled
 
 
 def fold(rows: DataFrame, policy: Policy) -> DataFrame:
-    """All rows with `kept`, and for the others `matched` (the survivor's seq) and `match_type`; survivors carry what they took over.
+    """All rows with `kept`, and for the others `matched` (the survivor's seq), `match_type` and `fields_filled`; survivors carry
+    what they took over.
 
     rows: seq (unique long), existing (rows of a master, never matched themselves), and text columns.
     """
     text = [c for c in rows.columns if c not in ("seq", "existing")]
-    keyed = rows.withColumns({"_doi": normalize_doi(F.col("doi")), "_title": normalize_title(F.col("title")), "_db": normalize_title(F.col("database"))})
+    keyed = rows.withColumns({"_doi": normalize_doi(F.col("doi")), "_title": normalize_title(F.col("title")), "_db": normalize_database(F.col("database"))})
     keyed = keep(keyed, "keyed")
     edges = keyed.select("seq", F.explode(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("t"), "_title"))).alias("key")).where(F.length("key") > 1)
     comp = components(edges)
     many = keep(comp.groupBy("comp").count().where("count > 1").select("comp"), "many")
     grouped = keyed.join(comp.join(many, "comp"), "seq", "left")
-    schema = rows.select("seq", *text).schema.add("kept", "boolean").add("matched", "long").add("match_type", "string")
+    schema = rows.select("seq", *text).schema.add("kept", "boolean").add("matched", "long").add("match_type", "string").add("fields_filled", "string")
     out_columns = [f.name for f in schema]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,24 +204,24 @@ def fold(rows: DataFrame, policy: Policy) -> DataFrame:
         for row in pdf.sort_values("seq").to_dict("records"):
             hit = None if row["existing"] else state.match(row)
             if hit:
-                done.append(row | {"kept": False, "matched": state.rows[hit[0]]["seq"], "match_type": hit[1]})
-                state.absorb(hit[0], row)
+                filled = state.absorb(hit[0], row)
+                done.append(row | {"kept": False, "matched": state.rows[hit[0]]["seq"], "match_type": hit[1], "fields_filled": "; ".join(filled)})
             else:
                 state.add(row)
-        kept = [r | {"kept": True, "matched": None, "match_type": ""} for r in state.rows]
+        kept = [r | {"kept": True, "matched": None, "match_type": "", "fields_filled": ""} for r in state.rows]
         return pd.DataFrame(kept + done, columns=out_columns).astype({"matched": "Int64"})
 
     folded = grouped.where(F.col("comp").isNotNull()).groupBy("comp").applyInPandas(run, schema)
-    alone = grouped.where(F.col("comp").isNull()).select("seq", *text, F.lit(True).alias("kept"), F.lit(None).cast("long").alias("matched"), F.lit("").alias("match_type"))
+    alone = grouped.where(F.col("comp").isNull()).select("seq", *text, F.lit(True).alias("kept"), F.lit(None).cast("long").alias("matched"), F.lit("").alias("match_type"), F.lit("").alias("fields_filled"))
     return folded.unionByName(alone)
 
 
 def internal_dedup(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unique records and the report of duplicates of one database."""
     done = keep(fold(rows.withColumn("existing", F.lit(False)), INTERNAL), "internal")
-    unique = done.where("kept").drop("kept", "matched", "match_type")
+    unique = done.where("kept").drop(*VERDICT)
     first = unique.select(F.col("seq").alias("matched"), F.col("source_id").alias("matched_source_id"), F.col("title").alias("matched_title"))
-    report = done.where("not kept").withColumnRenamed("match_type", "duplicate_reason").join(first, "matched").drop("kept", "matched")
+    report = done.where("not kept").withColumnRenamed("match_type", "duplicate_reason").join(first, "matched").drop("kept", "matched", "fields_filled")
     return unique, report
 
 
@@ -226,10 +243,19 @@ def upsert(master: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame
     """The new master and the report of incoming duplicates. seq orders both; the master's rows come first."""
     rows = master.select("seq", *CANONICAL).withColumn("existing", F.lit(True)).unionByName(incoming.select("seq", *CANONICAL).withColumn("master_id", F.lit("")).withColumn("existing", F.lit(False)))
     done = keep(fold(rows, MASTER), "upsert")
-    fresh = keep(assign_ids(done.where("kept").drop("kept", "matched", "match_type")), "master")
-    place = fresh.select(F.col("seq").alias("matched"), *[F.col(c).alias(f"matched_{c}") for c in ("master_id", "source_id", "title", "doi")])
-    report = done.where("not kept").join(place, "matched").drop("kept", "matched")
-    return fresh, report
+    fresh = keep(assign_ids(done.where("kept").drop(*VERDICT)), "master")
+    place = fresh.select(F.col("seq").alias("matched"), *[safe_text(F.col(c)).alias(f"matched_{c}") for c in ("master_id", "database", "title", "doi")])
+    updated = F.when(F.col("fields_filled") != "", safe_text(F.col("metadata_source"))).otherwise("")
+    report = done.where("not kept").withColumn("metadata_update_source", updated).withColumnRenamed("match_type", "duplicate_reason")
+    return fresh, report.join(place, "matched").drop("kept", "matched")
+
+
+def update_counts(incoming: DataFrame, report: DataFrame) -> dict[str, int]:
+    """Of an update: rows read, added, left out as duplicates, and master rows that duplicates filled."""
+    filled = F.when(F.col("fields_filled") != "", F.col("matched_master_id"))
+    duplicates, enriched = report.agg(F.count(F.lit(1)), F.count_distinct(filled)).first()
+    read = incoming.count()
+    return {"read": read, "added": read - duplicates, "duplicates": duplicates, "enriched": enriched}
 
 
 def merge_enrichment(checkpoint: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -240,4 +266,4 @@ def merge_enrichment(checkpoint: DataFrame, incoming: DataFrame) -> DataFrame:
         return df.select("seq", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns if c != "seq"]).withColumn("existing", F.lit(existing))
 
     done = fold(full(checkpoint, True).unionByName(full(incoming, False)), ENRICHMENT)
-    return done.where("kept").drop("kept", "matched", "match_type")
+    return done.where("kept").drop(*VERDICT)

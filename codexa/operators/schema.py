@@ -119,18 +119,21 @@ def standardize(df: DataFrame, database: str = "", seq: str = "seq") -> DataFram
 
 
 def ranked(df: DataFrame, order: str = "seq") -> DataFrame:
-    """Adds `position`, 1, 2, ... in the given order, without one window over all rows: rows are sorted in ranges, and the
-    ranges' row counts (one for each partition) give where each starts."""
+    """Adds `position`, 1, 2, ... in the given order (unique values), without one window over all rows: the order's values are
+    sorted in ranges, the ranges' row counts (one for each partition) give where each starts, and positions are joined back."""
+    from .resolve import keep
+
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()).cache()
+    part = keep(df.select(order).repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = part.groupBy("_part").count().orderBy("_part").collect()
     starts, at = [], 0
     for r in sizes:
         starts.append((r["_part"], at))
         at += r["count"]
     inside = part.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(order)))
-    return inside.join(F.broadcast(spark.createDataFrame(starts, "_part int, _start long")), "_part").withColumn("position", F.col("_start") + F.col("_row")).drop("_part", "_start", "_row")
+    placed = inside.join(F.broadcast(spark.createDataFrame(starts, "_part int, _start long")), "_part").select(order, (F.col("_start") + F.col("_row")).alias("position"))
+    return df.join(placed, order)
 
 
 def fallback_ids(df: DataFrame, database: str) -> DataFrame:

@@ -7,6 +7,7 @@ abstracts by id, since the texts hold few of them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import signals as sig
@@ -203,41 +204,62 @@ def database_membership(spark, sf_dir):
     return bib(spark, sf_dir).select("seq", tx.belongs_to(F.col("database"), "compendex").alias("compendex"), tx.belongs_to(F.col("database"), "springer").alias("springer"))
 
 
-# Matching as joins
+# Matching
 
-PAIRS = KEYED + """, pairs AS (SELECT a.seq AS seq, b.seq AS earlier, a.source_id = b.source_id AND a.source_id <> '' AND a.database = b.database AS same_id,
-  (a.authors = b.authors OR a.authors = '' OR b.authors = '') AND (a.publication = b.publication OR a.publication = '' OR b.publication = '') AND (a.year = b.year OR a.year = '' OR b.year = '') AS same_rest
+PAIRS = KEYED + """, pairs AS (SELECT a.seq AS seq, b.seq AS earlier
   FROM keyed a JOIN keyed b ON a.title_key = b.title_key AND b.seq < a.seq
   WHERE a.title_key <> '' AND (a.doi_key = b.doi_key OR a.doi_key = '' OR b.doi_key = '') AND (a.volume_key = b.volume_key OR a.volume_key = '' OR b.volume_key = ''))
 """
 
 
-def agree(c):
-    a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
-    return (a == b) | (a == "") | (b == "")
+def earlier_of_title(k: DataFrame) -> DataFrame:
+    """seq, candidates and first: the earlier rows of equal title whose DOI and volume do not differ, by running counts and
+    minima over classes of rows, so that a title of many rows gives no pairs."""
+    cols = ("title_key", "doi_key", "volume_key")
+    no_doi, no_volume = F.col("doi_key") == "", F.col("volume_key") == ""
+    every = F.lit(True)
 
+    def before(keys: tuple, *conditions) -> list:
+        w = W.partitionBy("title_key", *keys).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+        return [F.struct(F.coalesce(F.count_if(c).over(w), F.lit(0)).alias("n"), F.min(F.when(c, F.col("seq"))).over(w).alias("first")) for c in conditions]
 
-def title_pairs(spark, sf_dir):
-    k = keyed(spark, sf_dir).select("seq", "title_key", "doi_key", "volume_key", "source_id", "database", "authors", "publication", "year").where("title_key <> ''")
-    near = k.alias("a").join(k.alias("b"), (F.col("a.title_key") == F.col("b.title_key")) & (F.col("b.seq") < F.col("a.seq")) & agree("doi_key") & agree("volume_key"))
-    same = (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.source_id") != "") & (F.col("a.database") == F.col("b.database"))
-    rest = agree("authors") & agree("publication") & agree("year")
-    return near.select(F.col("a.seq").alias("seq"), F.col("b.seq").alias("earlier"), same.alias("same_id"), rest.alias("same_rest"))
+    names = ("all", "no_doi", "no_volume", "neither", "same_doi", "same_doi_no_volume", "same_volume", "same_volume_no_doi", "same_both")
+    found = before((), every, no_doi, no_volume, no_doi & no_volume) + before(("doi_key",), every, no_volume) + before(("volume_key",), every, no_doi) + before(("doi_key", "volume_key"), every)
+    rows = k.select("seq", *cols).where("title_key <> ''").withColumns(dict(zip(names, found, strict=True)))
+    parts = F.when(no_doi & no_volume, F.array("all")).when(no_doi, F.array("same_volume", "no_volume")).when(no_volume, F.array("same_doi", "no_doi")).otherwise(F.array("same_both", "same_doi_no_volume", "same_volume_no_doi", "neither"))
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n + x.n)
+    return rows.select("seq", total.alias("candidates"), F.array_min(F.transform(parts, lambda x: x.first)).alias("first")).where("candidates > 0")
 
 
 @query("title_candidates", PAIRS + "SELECT seq, count(*) AS candidates, min(earlier) AS first FROM pairs GROUP BY seq")
 def title_candidates(spark, sf_dir):
-    return title_pairs(spark, sf_dir).groupBy("seq").agg(F.count(F.lit(1)).alias("candidates"), F.min("earlier").alias("first"))
+    return earlier_of_title(keyed(spark, sf_dir))
 
 
 @query("unique_title_match", PAIRS + "SELECT seq, min(earlier) AS matched FROM pairs GROUP BY seq HAVING count(*) = 1")
 def unique_title_match(spark, sf_dir):
-    return title_pairs(spark, sf_dir).groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("earlier").alias("matched")).where("n = 1").drop("n")
+    return earlier_of_title(keyed(spark, sf_dir)).where("candidates = 1").select("seq", F.col("first").alias("matched"))
 
 
-@query("origin_match", PAIRS + "SELECT seq, min(earlier) AS matched FROM pairs WHERE same_id AND same_rest GROUP BY seq HAVING count(*) = 1")
+AGAIN = 1_000_000_007
+SLUG_SQL = "CASE database " + " ".join(f"WHEN '{name}' THEN '{slug}'" for slug, (name, _) in tx.DATABASES.items()) + " END"
+#: The records, and a part of them again under the database's slug, some with another year.
+REPEATED = KEYED + f""", twice AS (SELECT seq, source_id, {SLUG_SQL} AS slug, title_key, doi_key, volume_key, authors, publication, year FROM keyed
+  UNION ALL SELECT seq + {AGAIN}, source_id, {SLUG_SQL}, title_key, '', volume_key, authors, publication, CASE WHEN seq % 7 = 0 THEN '1999' ELSE year END FROM keyed WHERE seq % 3 = 1)
+"""
+
+
+@query("origin_match", REPEATED + "SELECT a.seq, min(b.seq) AS matched FROM twice a JOIN twice b ON a.title_key = b.title_key AND a.source_id = b.source_id AND a.slug = b.slug AND b.seq < a.seq WHERE a.title_key <> '' AND a.source_id <> '' AND " + " AND ".join(f"(a.{c} = b.{c} OR a.{c} = '' OR b.{c} = '')" for c in ("doi_key", "volume_key", "authors", "publication", "year")) + " GROUP BY a.seq HAVING count(*) = 1")
 def origin_match(spark, sf_dir):
-    return title_pairs(spark, sf_dir).where("same_id and same_rest").groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("earlier").alias("matched")).where("n = 1").drop("n")
+    k = keyed(spark, sf_dir).select("seq", "title_key", "doi_key", "volume_key", "source_id", "database", "authors", "publication", "year").where("title_key <> '' and source_id <> ''")
+    slug = tx.normalize_database(F.col("database"))
+    again = k.where("seq % 3 = 1").withColumns({"seq": F.col("seq") + AGAIN, "database": slug, "doi_key": F.lit(""), "year": F.when(F.col("seq") % 7 == 0, "1999").otherwise(F.col("year"))})
+    k = k.unionByName(again).withColumn("slug", slug)
+    b = k.select(*[F.col(c).alias(f"b_{c}") for c in k.columns])
+    agree = [(F.col(c) == F.col(f"b_{c}")) | (F.col(c) == "") | (F.col(f"b_{c}") == "") for c in ("doi_key", "volume_key", "authors", "publication", "year")]
+    same = [F.col(c) == F.col(f"b_{c}") for c in ("title_key", "source_id", "slug")]
+    near = k.join(b, [*same, F.col("b_seq") < F.col("seq"), *agree])
+    return near.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("b_seq").alias("matched")).where("n = 1").drop("n")
 
 
 @query("dedup_by_doi", KEYED + "SELECT k.seq, f.first AS matched FROM keyed k JOIN (SELECT doi_key, min(seq) AS first FROM keyed WHERE doi_key <> '' GROUP BY doi_key) f USING (doi_key) WHERE k.seq > f.first")
@@ -246,17 +268,75 @@ def dedup_by_doi(spark, sf_dir):
     return k.join(k.groupBy("doi_key").agg(F.min("seq").alias("matched")), "doi_key").where("seq > matched").select("seq", "matched")
 
 
-@query("internal_dedup")
+FILLED = rs.FILLED
+
+
+def q_fold(name: str, rows: str, origin: bool, ids: bool = False) -> str:
+    """CTEs for DuckDB: `{name}`, a fold of the rows of CTE `rows` (seq, existing, keys and texts), one after the other within each
+    component of equal keys, and `{name}_head`: seq, head (its survivor) and kind. The state is a list of survivors with what
+    later rows are held against."""
+    near = " AND ".join(["r.title_key <> ''", "x.title = r.title_key", *(f"(x.{a} = '' OR r.{b} = '' OR x.{a} = r.{b})" for a, b in (("doi", "doi_key"), ("vol", "volume_key")))])
+    own = " AND ".join(["r.sid <> ''", "x.sid = r.sid", "r.db <> ''", "x.db = r.db", *(f"(x.{c} = '' OR r.{c} = '' OR x.{c} = r.{c})" for c in ("yr", "pub", "aut"))])
+    fill = ", ".join(f"{a} := CASE WHEN x.{a} = '' THEN {b} ELSE x.{a} END" for a, b in (("doi", "doi_key"), ("title", "title_key"), ("vol", "volume_key"), ("yr", "yr"), ("pub", "pub"), ("aut", "aut"), ("sid", "sid" if ids else "''"), ("db", "db" if ids else "''")))
+    fill = ", ".join(sorted(fill.split(", "), key=lambda f: ("sid", "db", "doi", "title", "vol", "yr", "pub", "aut").index(f.split(" ")[0])))
+    fresh = "struct_pack(seq := seq, dois := CASE WHEN doi_key = '' OR list_contains(flatten(list_transform(state, lambda x : x.dois)), doi_key) THEN []::VARCHAR[] ELSE [doi_key] END, sid := sid, db := db, doi := doi_key, title := title_key, vol := volume_key, yr := yr, pub := pub, aut := aut)"
+    return f""", {name}_edge AS (SELECT seq, min(seq) OVER (PARTITION BY title_key) AS other FROM {rows} WHERE title_key <> '' UNION SELECT seq, min(seq) OVER (PARTITION BY doi_key) FROM {rows} WHERE doi_key <> ''),
+{name}_reach(seq, c) AS (SELECT seq, seq FROM {rows} UNION SELECT x.seq, y.c FROM (SELECT * FROM {name}_edge UNION SELECT other, seq FROM {name}_edge) x JOIN {name}_reach y ON y.seq = x.other),
+{name}_comp AS (SELECT seq, min(c) AS comp FROM {name}_reach GROUP BY seq),
+{name}_in AS (SELECT row_number() OVER (PARTITION BY comp ORDER BY seq) AS rn, * FROM {rows} JOIN {name}_comp USING (seq)),
+{name} AS (SELECT DISTINCT comp, 0::BIGINT AS rn, 0::BIGINT AS seq, NULL::BIGINT AS matched, '' AS kind,
+    []::STRUCT(seq BIGINT, dois VARCHAR[], sid VARCHAR, db VARCHAR, doi VARCHAR, title VARCHAR, vol VARCHAR, yr VARCHAR, pub VARCHAR, aut VARCHAR)[] AS state FROM {name}_comp
+  UNION ALL
+  SELECT comp, rn, seq, matched, kind, CASE WHEN matched IS NULL THEN list_append(state, {fresh})
+    ELSE list_transform(state, lambda x : CASE WHEN x.seq = matched THEN struct_pack(seq := x.seq, dois := CASE WHEN doi_key = '' OR list_contains(x.dois, doi_key) THEN x.dois ELSE list_append(x.dois, doi_key) END, {fill}) ELSE x END) END
+  FROM (SELECT *, CASE WHEN existing THEN NULL WHEN len(d) > 0 THEN d[1].seq WHEN len(o) = 1 THEN o[1].seq WHEN len(n) = 1 THEN n[1].seq END AS matched,
+      CASE WHEN existing THEN '' WHEN len(d) > 0 THEN 'DOI' WHEN len(o) = 1 THEN 'SOURCE_ID' WHEN len(n) = 1 THEN 'TITLE' ELSE '' END AS kind
+    FROM (SELECT *, {f"list_filter(n, lambda x : {own.replace('r.', '')})" if origin else "n[2:1]"} AS o
+      FROM (SELECT r.*, f.state, list_filter(f.state, lambda x : r.doi_key <> '' AND list_contains(x.dois, r.doi_key)) AS d, list_filter(f.state, lambda x : {near}) AS n
+        FROM {name} f JOIN {name}_in r ON r.comp = f.comp AND r.rn = f.rn + 1)))),
+{name}_head AS (SELECT seq, coalesce(matched, seq) AS head, kind FROM {name} WHERE rn > 0)"""
+
+
+def q_taken(name: str, rows: str, strip: bool, filled: tuple = FILLED) -> str:
+    """CTEs: `{name}_out`, the survivors with what they took over; `{name}_dup`, the other rows with what they gave. strip: as
+    in a master, where sources of what was taken are kept too."""
+    first = lambda c: f"arg_min({q_strip('r.' + c)} , r.seq) FILTER ({q_strip('r.' + c)} <> '')" if strip else f"arg_min(r.{c}, r.seq) FILTER ({q_strip('r.' + c)} <> '')"
+    own = lambda c: f"arg_min(r.{c}, r.seq)"
+    taken = ", ".join(f"CASE WHEN {q_strip(own(c))} = '' THEN coalesce({first(c)}, {own(c)}) ELSE {own(c)} END AS {c}" for c in filled)
+    rest = ", ".join(f"{own(c)} AS {c}" for c in sc.CANONICAL if c not in filled and (c != "metadata_source" or not strip))
+    giver = lambda c: f"(min(r.seq) FILTER ({q_strip('r.' + c)} <> '') OVER (PARTITION BY h.head) = r.seq AND r.seq <> h.head)"
+    gave = ", ".join(f"CASE WHEN {giver(c)} THEN '{c}' END" for c in filled)
+    sources = f"""{name}_sources AS (SELECT head, string_agg(source, ' | ' ORDER BY seq) AS sources FROM (SELECT head, source, min(seq * 1000 + place) AS seq FROM (
+  SELECT head, seq, unnest(string_split(metadata_source, ' | ')) AS source, unnest(range(len(string_split(metadata_source, ' | ')))) AS place FROM {name}_given WHERE seq = head OR fields_filled <> '') GROUP BY head, source) GROUP BY head)"""
+    return f""", {name}_given AS (SELECT r.*, h.head, h.kind, concat_ws('; ', {gave}) AS fields_filled FROM {rows} r JOIN {name}_head h ON h.seq = r.seq),
+{sources},
+{name}_out AS (SELECT h.head AS seq, {", ".join(x for x in (taken, rest, "any_value(s.sources) AS metadata_source" if strip else "") if x)} FROM {rows} r JOIN {name}_head h ON h.seq = r.seq JOIN {name}_given g ON g.seq = h.head JOIN {name}_sources s ON s.head = h.head GROUP BY h.head),
+{name}_dup AS (SELECT * FROM {name}_given WHERE seq <> head)"""
+
+
+def q_rows(name: str, source: str, existing: str, seq: str = "seq", where: str = "true") -> str:
+    keys = f"{q_title('title')} AS title_key, {q_doi('doi')} AS doi_key, {q_volume('volume')} AS volume_key, {q_strip('source_id')} AS sid, {SLUG_SQL} AS db, {q_volume('year')} AS yr, {q_title('publication')} AS pub, {q_title('authors')} AS aut"
+    return f"{name} AS (SELECT {seq} AS seq, {', '.join(c for c in sc.CANONICAL)}, {existing} AS existing, {keys} FROM {source} WHERE {where})"
+
+
+CANON_SQL = f"{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, canon AS (SELECT *, '' AS master_id, '' AS document_type, '' AS url, 'IMPORTED' AS metadata_status, database || ' export' AS metadata_source FROM bib WHERE {q_strip('title')} <> '')"
+INTERNAL_SQL = f"{CANON_SQL}, {q_rows('one', 'canon', 'false')}{q_fold('f', 'one', False)}{q_taken('f', 'one', False)} "
+MASTER_SQL = f"{CANON_SQL}, {q_rows('one', 'canon', 'false')}{q_fold('f', 'one', True)}{q_taken('f', 'one', True)}, master AS (SELECT * REPLACE ('MASTER-' || format('{{:04d}}', row_number() OVER (ORDER BY seq)) AS master_id) FROM f_out)"
+TWICE_SQL = f"{MASTER_SQL}, last AS (SELECT max(seq) + 1 AS n FROM canon), {q_rows('old', 'master', 'true')}, {q_rows('new', 'canon', 'false', 'seq + (SELECT n FROM last)')}, both_ AS (SELECT * FROM old UNION ALL BY NAME SELECT * FROM new){q_fold('g', 'both_', True)}{q_taken('g', 'both_', True)} "
+COLUMNS = ", ".join(sc.CANONICAL)
+
+
+@query("internal_dedup", INTERNAL_SQL + f"SELECT seq, {COLUMNS} FROM f_out")
 def internal_dedup(spark, sf_dir):
     return rs.internal_dedup(canonical(spark, sf_dir))[0]
 
 
-@query("internal_duplicates_report")
+@query("internal_duplicates_report", INTERNAL_SQL + f"SELECT d.seq, {', '.join('d.' + c for c in sc.CANONICAL)}, kind AS duplicate_reason, o.source_id AS matched_source_id, o.title AS matched_title FROM f_dup d JOIN f_out o ON o.seq = d.head")
 def internal_duplicates_report(spark, sf_dir):
     return rs.internal_dedup(canonical(spark, sf_dir))[1]
 
 
-@query("create_master")
+@query("create_master", MASTER_SQL + f"SELECT seq, {COLUMNS} FROM master")
 def create_master(spark, sf_dir):
     rows = canonical(spark, sf_dir)
     return rs.upsert(rows.limit(0), rows)[0]
@@ -270,16 +350,21 @@ def twice(spark, sf_dir):
     return rs.upsert(master, rows.withColumn("seq", F.col("seq") + last + 1))
 
 
-@query("master_upsert")
+@query("master_upsert", TWICE_SQL + f"SELECT * REPLACE (CASE WHEN master_id = '' THEN 'MASTER-' || format('{{:04d}}', (SELECT count(*) FROM master) + row_number() OVER (PARTITION BY master_id = '' ORDER BY seq)) ELSE master_id END AS master_id) FROM (SELECT seq, {COLUMNS} FROM g_out)")
 def master_upsert(spark, sf_dir):
     return twice(spark, sf_dir)[0]
 
 
-@query("master_duplicates_report")
+@query("master_duplicates_report", TWICE_SQL + f"SELECT d.seq, {', '.join('d.' + c for c in sc.CANONICAL)}, kind AS duplicate_reason, fields_filled, CASE WHEN fields_filled <> '' THEN d.metadata_source ELSE '' END AS metadata_update_source, o.master_id AS matched_master_id, o.database AS matched_database, {q_strip('o.title')} AS matched_title, {q_strip('o.doi')} AS matched_doi FROM g_dup d JOIN g_out o ON o.seq = d.head")
 def master_duplicates_report(spark, sf_dir):
     return twice(spark, sf_dir)[1]
 
 
+@query("update_counters", TWICE_SQL + "SELECT (SELECT count(*) FROM new) AS read, (SELECT count(*) FROM new) - count(*) AS added, count(*) AS duplicates, count(DISTINCT head) FILTER (fields_filled <> '') AS enriched FROM g_dup")
+def update_counters(spark, sf_dir):
+    return spark.createDataFrame([rs.update_counts(canonical(spark, sf_dir), twice(spark, sf_dir)[1])], "read long, added long, duplicates long, enriched long")
+
+
 @query("fill_missing_metadata", KEYED + ", f AS (SELECT doi_key, min(seq) AS first FROM keyed WHERE doi_key <> '' GROUP BY doi_key) SELECT k.seq, coalesce(nullif(k.authors, ''), b.authors) AS authors, coalesce(nullif(k.volume, ''), b.volume) AS volume FROM keyed k JOIN f USING (doi_key) JOIN keyed b ON b.seq = f.first")
 def fill_missing_metadata(spark, sf_dir):
     k = keyed(spark, sf_dir).select("seq", "doi_key", "authors", "volume").where("doi_key <> ''")
@@ -301,21 +386,21 @@ def api_rows(spark, sf_dir):
 PLAN_SQL = KEYED + f""", r AS (SELECT seq, doi_key, {API_SQL} AS st, CASE WHEN seq % 3 = 1 THEN {q_strip("abstract")} ELSE '' END AS abstract FROM keyed),
 m AS (SELECT *, CASE WHEN abstract <> '' THEN 'HAS_ABSTRACT' WHEN st = 'FOUND' THEN 'FINAL' WHEN doi_key = '' THEN 'NO_DOI' ELSE 'CALL' END AS action FROM r),
 c AS (SELECT seq, row_number() OVER (ORDER BY seq) AS k FROM m WHERE action = 'CALL'),
-p AS (SELECT m.*, c.k, (SELECT min(seq) FROM c WHERE k = 101) AS stop FROM m LEFT JOIN c USING (seq)),
+p AS (SELECT m.*, c.k, (SELECT min(seq) FROM c WHERE k = {en.MAX_CALLS + 1}) AS stop FROM m LEFT JOIN c USING (seq)),
 plan AS (SELECT seq, st, doi_key, CASE WHEN stop IS NOT NULL AND seq >= stop THEN 'AFTER_CAP' ELSE action END AS action, CASE WHEN stop IS NULL OR seq < stop THEN k END AS call FROM p)
 """
 
 
 @query("enrichment_plan", PLAN_SQL + "SELECT seq, action, call FROM plan")
 def enrichment_plan(spark, sf_dir):
-    return en.plan(api_rows(spark, sf_dir), 100).select("seq", "action", "call")
+    return en.plan(api_rows(spark, sf_dir)).select("seq", "action", "call")
 
 
 @query("enrichment_apply", PLAN_SQL + """SELECT seq, CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN 'FOUND' WHEN call IS NOT NULL THEN 'NOT_FOUND' WHEN action = 'HAS_ABSTRACT' AND st = '' THEN 'ALREADY_HAS_ABSTRACT' WHEN action = 'NO_DOI' THEN 'NO_DOI' ELSE st END AS springer_api_status,
   CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN CASE WHEN seq % 4 = 0 THEN 'ABSTRACT_FOUND' ELSE 'METADATA_FOUND_NO_ABSTRACT' END ELSE 'IMPORTED' END AS metadata_status,
   CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN 'Article' ELSE '' END AS document_type FROM plan""")
 def enrichment_apply(spark, sf_dir):
-    planned = en.plan(api_rows(spark, sf_dir), 100)
+    planned = en.plan(api_rows(spark, sf_dir))
     found = F.col("seq") % 2 == 0
     payload = F.when(found, F.when(F.col("seq") % 4 == 0, F.lit('{"abstract": "<p>A &amp; b</p>", "contentType": "Article", "keyword": ["x", "y"]}')).otherwise(F.lit('{"abstract": "", "contentType": "Article"}')))
     answers = planned.where("call is not null").select("seq", F.when(found, "FOUND").otherwise("NOT_FOUND").alias("status"), payload.alias("payload"), F.lit("").alias("error"))
@@ -330,11 +415,20 @@ def api_status_map(spark, sf_dir):
     return d.select("doc_id", en.http_status(code, body).alias("status"))
 
 
-@query("springer_merge")
+CHECKPOINT_STATUS = f"CASE WHEN seq % 5 <> 0 AND seq % 17 <> 0 AND (seq % 4 = 1 OR doi = '') THEN 'NO_DOI' ELSE {API_SQL} END"
+MERGE_SQL = f"""{CANON_SQL}, own AS (SELECT * FROM canon WHERE database = 'Springer Link'), shift AS (SELECT max(seq) + 1 AS n FROM own),
+status AS (SELECT seq, {CHECKPOINT_STATUS} AS status FROM own),
+chk AS (SELECT * REPLACE (CASE WHEN seq % 4 = 1 THEN '' ELSE doi END AS doi, CASE WHEN seq % 3 = 1 THEN abstract ELSE '' END AS abstract) FROM own),
+{q_rows("old", "chk", "true")}, {q_rows("new", "own", "false", "seq + (SELECT n FROM shift)")}, both_ AS (SELECT * FROM old UNION ALL BY NAME SELECT * FROM new){q_fold("f", "both_", True, True)}{q_taken("f", "both_", False, tuple(sc.CANONICAL))}
+SELECT seq, {COLUMNS}, CASE WHEN status = 'NO_DOI' AND {q_doi("doi")} <> '' THEN '' ELSE coalesce(status, '') END AS springer_api_status, '' AS springer_api_error, '' AS springer_api_title, '' AS springer_api_doi, '' AS springer_api_document_type FROM f_out LEFT JOIN status USING (seq)"""
+
+
+@query("springer_merge", MERGE_SQL)
 def springer_merge(spark, sf_dir):
     rows = api_rows(spark, sf_dir).where(F.col("database") == "Springer Link")
     last = rows.agg(F.max("seq")).first()[0] or 0
     blank = rows.withColumn("doi", F.when(F.col("seq") % 4 == 1, "").otherwise(F.col("doi")))
+    blank = blank.withColumn("springer_api_status", F.when((F.col("springer_api_status") == "") & (F.col("doi") == ""), "NO_DOI").otherwise(F.col("springer_api_status")))
     return rs.merge_enrichment(blank, canonical(spark, sf_dir).where(F.col("database") == "Springer Link").withColumn("seq", F.col("seq") + last + 1))
 
 

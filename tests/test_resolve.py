@@ -1,11 +1,13 @@
 """The fold over components against one fold over all rows, and the matching rules."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from codexa.functions.text import normalize_doi, normalize_title
+from codexa.functions.text import DATABASES, normalize_database, normalize_doi, normalize_title
 from codexa.operators import checkpoint as cp
 from codexa.operators import resolve as rs
 from codexa.operators.schema import CANONICAL, fallback_ids, map_export, standardize
@@ -30,7 +32,7 @@ def test_components_fold_like_one_fold(spark, policy):
     rows = random_rows(150, 5)
     df = records(spark, rows).withColumn("existing", F.lit(False))
     got = {r.seq: r for r in rs.fold(df, policy).collect()}
-    keyed = df.withColumns({"_doi": normalize_doi(F.col("doi")), "_title": normalize_title(F.col("title")), "_db": normalize_title(F.col("database"))}).orderBy("seq").collect()
+    keyed = df.withColumns({"_doi": normalize_doi(F.col("doi")), "_title": normalize_title(F.col("title")), "_db": normalize_database(F.col("database"))}).orderBy("seq").collect()
     state = rs.Fold(policy, df.columns)
     for row in (k.asDict() for k in keyed):
         hit = state.match(row)
@@ -70,7 +72,7 @@ def test_upsert_keeps_ids_and_reports(spark):
     more = records(spark, [{"title": "A", "source_id": "S", "database": "Scopus", "doi": "10.1/n"}, {"title": "C"}]).withColumn("seq", F.col("seq") + 10)
     second, report = rs.upsert(first, more)
     assert sorted((r.master_id, r.title, r.doi) for r in second.collect()) == [("MASTER-0001", "A", "10.1/n"), ("MASTER-0002", "B", ""), ("MASTER-0003", "C", "")]
-    assert [(r.match_type, r.matched_master_id) for r in report.collect()] == [("SOURCE_ID", "MASTER-0001")]
+    assert [(r.duplicate_reason, r.matched_master_id) for r in report.collect()] == [("SOURCE_ID", "MASTER-0001")]
 
 
 def test_ids_grow_past_four_digits_and_odd_ones_stay(spark):
@@ -110,3 +112,95 @@ def test_swap_keeps_backup(spark, tmp_path):
     assert len([p for p in tmp_path.iterdir() if "backup" in p.name]) == 1
     cp.write_or_remove(spark.range(0), path)
     assert not (tmp_path / "t").exists()
+
+
+def one_by_one(rows, internal):
+    """The rules once more, record after record: (kept, matched, reason, filled) of each, and the survivors' texts."""
+
+    def text(v):
+        return (v or "").strip()
+
+    def plain(v):
+        return " ".join(re.findall("[a-z0-9]+", "".join(c for c in unicodedata.normalize("NFKD", text(v)) if not unicodedata.combining(c)).lower()))
+
+    def doi(v):
+        return re.sub(r"^doi\s*:\s*", "", re.sub(r"^https?://(dx\.)?doi\.org/", "", text(v).lower())).rstrip(".,; ")
+
+    def number(v):
+        return re.sub(r"^(\d+)\.0$", r"\1", text(v).lower())
+
+    slugs = {plain(x): slug for slug, (name, _) in DATABASES.items() for x in (slug, name)}
+    base = lambda v: slugs.get(plain(v), plain(v))
+    unlike = lambda a, b: bool(a and b and a != b)
+    survivors, found, by_doi, titles, out = [], [], {}, {}, []
+    for k, r in enumerate(rows):
+        def fits(s):
+            return plain(s["title"]) == plain(r["title"]) and not unlike(doi(s["doi"]), doi(r["doi"])) and not unlike(number(s["volume"]), number(r["volume"]))
+
+        def origin(s):
+            return text(r["source_id"]) and text(s["source_id"]) == text(r["source_id"]) and base(s["database"]) == base(r["database"]) and not unlike(number(s["year"]), number(r["year"])) and not any(unlike(plain(s[c]), plain(r[c])) for c in ("publication", "authors"))
+
+        hit, reason = by_doi.get(doi(r["doi"])) if doi(r["doi"]) else None, "DOI"
+        if hit is None and plain(r["title"]):
+            near = [i for i in titles.get(plain(r["title"]), []) if fits(survivors[i])]
+            own = [] if internal else [i for i in near if origin(survivors[i])]
+            hit, reason = (own[0], "SOURCE_ID") if len(own) == 1 else (near[0], "TITLE") if len(near) == 1 else (None, "")
+        if hit is None:
+            survivors.append(dict(r))
+            found.append(k)
+            hit, filled, kept = len(survivors) - 1, [], True
+        else:
+            s, kept = survivors[hit], False
+            filled = [c for c in rs.FILLED if not text(s[c]) and text(r[c])]
+            s.update({c: r[c] if internal else text(r[c]) for c in filled})
+            if filled and not internal:
+                sources = [x for x in s["metadata_source"].split(" | ") if x]
+                s["metadata_source"] = " | ".join(sources + [r["metadata_source"]] * (r["metadata_source"] not in sources))
+                if r["metadata_status"] and ("abstract" in filled or not s["metadata_status"]):
+                    s["metadata_status"] = r["metadata_status"]
+        for x in (r, survivors[hit]) if internal or kept else (survivors[hit],):
+            if doi(x["doi"]):
+                by_doi.setdefault(doi(x["doi"]), hit)
+            if plain(x["title"]) and hit not in titles.setdefault(plain(x["title"]), []):
+                titles[plain(x["title"])].append(hit)
+        out.append((kept, None if kept else found[hit], "" if kept else reason, "; ".join(filled)))
+    return out, dict(zip(found, survivors, strict=True))
+
+
+@pytest.mark.parametrize("policy", [rs.INTERNAL, rs.MASTER])
+@pytest.mark.parametrize("seed", [5, 6])
+def test_fold_against_the_rules_one_by_one(spark, policy, seed):
+    r = random.Random(seed)
+    rows = random_rows(160, seed)
+    for row in rows:
+        row["database"] = r.choice(("Scopus", "scopus", "IEEE Xplore", "ieee", "PubMed"))
+        row["doi"] = r.choice((row["doi"], row["doi"], "doi:", " "))
+        row |= {"authors": r.choice(("", "A. B.", "Ä b")), "keywords": r.choice(("", " k ")), "publication": r.choice(("", "P"))}
+    full = [{c: x.get(c, "") for c in CANONICAL} for x in rows]
+    want, survivors = one_by_one(full, policy is rs.INTERNAL)
+    got = rs.fold(records(spark, rows).withColumn("existing", F.lit(False)), policy).orderBy("seq").collect()
+    assert [(x.kept, x.matched, x.match_type, x.fields_filled) for x in got] == want
+    assert {x.seq: {c: x[c] for c in CANONICAL} for x in got if x.kept} == survivors
+    assert {x.match_type for x in got} >= {"DOI", "TITLE"} and any(x.fields_filled for x in got)
+
+
+def test_slug_and_name_are_one_origin(spark):
+    rows = [{"title": "T", "volume": "1", "source_id": "9", "database": "IEEE Xplore"}, {"title": "T", "volume": "2", "source_id": "8", "database": "IEEE Xplore"}, {"title": "T", "source_id": "9", "database": "ieee", "abstract": "late"}]
+    incoming = records(spark, rows)
+    master, report = rs.upsert(records(spark, []), incoming)
+    (row,) = report.collect()
+    assert (row.duplicate_reason, row.matched_master_id, row.matched_database, row.fields_filled, row.metadata_update_source) == ("SOURCE_ID", "MASTER-0001", "IEEE Xplore", "abstract", "")
+    assert rs.update_counts(incoming, report) == {"read": 3, "added": 2, "duplicates": 1, "enriched": 1} and master.count() == 2
+
+
+def test_unreadable_doi_text_stays_and_leads_nowhere(spark):
+    rows = [{"title": "A", "doi": d} for d in ("doi:", "10.1/x", "10.1/y")]
+    unique, report = rs.internal_dedup(records(spark, rows))
+    assert [r.doi for r in unique.collect()] == ["doi:"] and report.count() == 2
+
+
+def test_merge_resets_no_doi_for_a_doi_only(spark):
+    old = spark.createDataFrame([(0, "T", "", "NO_DOI", "")], "seq long, title string, doi string, springer_api_status string, database string")
+    for text, status in (("doi:", "NO_DOI"), ("10.1/Q", "")):
+        (row,) = rs.merge_enrichment(old, spark.createDataFrame([(5, "T", text, "FOUND", "")], old.schema)).collect()
+        assert (row.doi, row.springer_api_status) == (text, status)
