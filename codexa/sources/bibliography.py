@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import DATABASES, clean_bibtex_value, extract_doi_from_values, safe_text
+from ..operators.resolve import keep
 from ..operators.schema import CANONICAL, EXPORTS, map_export
 
 ENTRY = "array<struct<line:int,type:string,key:string,fields:array<struct<name:string,value:string>>,error:string>>"
@@ -29,9 +30,9 @@ def parse_bibtex(text: str, keep_first: frozenset[str] = frozenset()) -> Iterato
     Braces nest; quoted values may hold braces; `#` joins parts; @string names are filled in; @comment and @preamble go.
     """
     names: dict[str, str] = {}
-    at = 0
+    at = line = counted = 0
     while (m := re.compile(r"@\s*([A-Za-z]+)\s*([{(])").search(text, at)) is not None:
-        line, kind = text.count("\n", 0, m.start()), m[1].lower()
+        line, counted, kind = line + text.count("\n", counted, m.start()), m.start(), m[1].lower()
         body, at = _balanced(text, m.end() - 1)
         if kind in ("comment", "preamble"):
             continue
@@ -44,6 +45,9 @@ def parse_bibtex(text: str, keep_first: frozenset[str] = frozenset()) -> Iterato
             key, _, body = body.partition(",")
         seen: set[str] = set()
         for name, value in _fields(body, names):
+            if name is None:  # something that is no field
+                error = error or "ParsingFailedBlock"
+                continue
             low = name.lower()
             if low in seen:
                 if low not in keep_first:
@@ -71,7 +75,8 @@ def _balanced(text: str, at: int) -> tuple[str | None, int]:
     return None, len(text)
 
 
-def _fields(body: str, names: dict[str, str]) -> Iterator[tuple[str, str]]:
+def _fields(body: str, names: dict[str, str]) -> Iterator[tuple[str | None, str]]:
+    """Names and values; a name of None, and what is left of the body, where that goes on with something that is no field."""
     at = 0
     while (m := re.compile(r"\s*,?\s*([^\s=,{}\"]+)\s*=\s*").match(body, at)) is not None:
         parts, at = [], m.end()
@@ -97,6 +102,8 @@ def _fields(body: str, names: dict[str, str]) -> Iterator[tuple[str, str]]:
                 break
             at = more.end()
         yield m[1], "".join(parts)
+    if body[at:].strip(" \t\r\n,"):
+        yield None, body[at:]
 
 
 def parse_nbib(text: str) -> Iterator[list[tuple[str, str]]]:
@@ -131,6 +138,7 @@ def read_bibtex(spark: SparkSession, path: str, recover_copyright: bool = False)
         return content.map(lambda b: sorted(parse_bibtex(b.decode("utf-8-sig", "replace"), first), key=lambda e: e["line"]))
 
     rows = files(spark, path, (".bib", ".bibtex")).select("name", "file", F.posexplode(parsed("content")).alias("row", "x")).select("name", "file", "row", "x.*")
+    rows = keep(rows, "entries")  # parsed once
     bad = rows.where("error <> ''").orderBy("file", "row").limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"{r['name']}, line {r['line'] + 1}: {r['error']}" for r in bad))
@@ -154,7 +162,7 @@ COMPENDEX_KEYWORDS = ("keywords", "keyword", "key", "note")
 
 
 def bibtex_records(entries: DataFrame, database: str) -> DataFrame:
-    """seq (file, row) and the canonical columns of BibTeX entries; a blank key gives DB-0001 by position over all files."""
+    """seq (file, row) and the canonical columns of BibTeX entries; a blank key gives DB-0001, ... by position over all files."""
     lower = F.transform("fields", lambda x: F.struct(F.lower(x["name"]).alias("k"), clean_bibtex_value(x["value"]).alias("v")))
     rows = entries.withColumn("f", F.map_from_entries(F.filter(lower, lambda x: x["k"] != "")))
     field = lambda *names: F.coalesce(*[F.nullif(F.element_at("f", n), F.lit("")) for n in names], F.lit(""))
@@ -165,6 +173,14 @@ def bibtex_records(entries: DataFrame, database: str) -> DataFrame:
     out["doi"] = F.coalesce(F.nullif(out["doi"], F.lit("")), extract_doi_from_values(F.array_join(F.map_values("f"), " ")))
     display = DATABASES[database][0]
     constants = {"master_id": F.lit(""), "source_id": safe_text(F.col("key")), "database": F.lit(display), "metadata_status": F.lit("IMPORTED"), "metadata_source": F.lit(f"{display} export")}
+    sizes = {r["file"]: r["n"] for r in entries.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each file
+    starts, at = [], 0
+    for k in sorted(sizes):
+        starts += [F.lit(k), F.lit(at)]
+        at += sizes[k]
+    before = F.element_at(F.create_map(*starts), F.col("file")) if starts else F.lit(0)
+    made = F.format_string(database.upper() + "-%04d", before + F.col("row") + 1)
+    constants["source_id"] = F.coalesce(F.nullif(constants["source_id"], F.lit("")), made)
     return rows.select(F.struct("file", "row").alias("seq"), *[(out | constants)[c].alias(c) for c in CANONICAL])
 
 
@@ -281,6 +297,9 @@ def table_records(rows: DataFrame, database: str) -> DataFrame:
 
 def import_database(spark: SparkSession, database: str, path: str) -> DataFrame | None:
     """All records of a database's folder in order: NBIB before BibTeX before tables, files by name. None without files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
     found = spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
     if not found:
         return None

@@ -36,6 +36,16 @@ def test_bibtex_repeated_fields(spark, tmp_path):
     assert row.title == "T" and row.keywords == "w"
 
 
+def test_bibtex_junk_fails_and_many_entries_are_quick():
+    import time
+
+    (entry,) = src.parse_bibtex("@article{k, title={T}, year=2020 %junk note={y}}")
+    assert entry["error"] == "ParsingFailedBlock"
+    began = time.time()
+    found = list(src.parse_bibtex("@article{k,\n title={T},\n}\n\n" * 20_000))
+    assert len(found) == 20_000 and found[-1]["line"] == 4 * 19_999 and not found[-1]["error"] and time.time() - began < 5
+
+
 def test_nbib(spark, tmp_path):
     write(tmp_path, "x.nbib", "PMID- 1\nTI  - A title\n      goes on\nFAU - One\nFAU - Two\nLID - 10.1234/q [doi]\nOT  - k\nMH  - k\nMH  - m\n\nTI  - Second\nVI  - 7\n")
     a, b = src.nbib_records(src.read_nbib(spark, str(tmp_path))).orderBy("seq").collect()
