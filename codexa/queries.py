@@ -17,6 +17,7 @@ from .operators import resolve as rs
 from .operators import schema as sc
 from .plans import enrichment as en
 from .plans import screening as scr
+from .sources import bibliography as src
 
 BIB = """
 select doc_id as seq,
@@ -42,6 +43,8 @@ PHRASES = (
 )
 NOTES = ("The metadata does not mention AI.", "It does not use AI; rule-based.", "AI is not mentioned.", "Neural methods, a threshold.", "A médico; não menciona IA.")
 FIELDS = ("serious_game", "gamification_only", "health", "ai", "iot", "secondary_or_incomplete")
+#: Labels of every 24th record, whose phrase speaks of an assistive platform with stimulation.
+ASSISTIVE = {"serious_game": "NO", "gamification_only": "NO", "health": "YES", "ai": "NO", "iot": "FUNCTIONALLY_COMPATIBLE", "secondary_or_incomplete": "NO"}
 CONFIG = {"model": "m-1", "prompt_version": "1.9", "classifier_version": "1.11", "prompt_hash": "p"}
 
 QUERIES: dict = {}
@@ -204,6 +207,56 @@ def database_membership(spark, sf_dir):
     return bib(spark, sf_dir).select("seq", tx.belongs_to(F.col("database"), "compendex").alias("compendex"), tx.belongs_to(F.col("database"), "springer").alias("springer"))
 
 
+# Readers: all records as files of 100 each, read back
+
+def layouts() -> dict[str, tuple[str, list]]:
+    """Of each kind of file its head, and what a record is written as: columns and texts."""
+    bib_id = F.when(F.col("source_id") == "", "").otherwise(F.concat(F.col("source_id"), F.lit("k")))
+    return {
+        "bib": ("", ["@article{", bib_id, ",\n  title = {", "title", "},\n  author = \"", "authors", "\",\n  year = ", "year", ",\n  volume = {", "volume", "},\n  doi = {", "doi", "},\n  Keywords = {", "keywords", "}\n}\n"]),
+        "nbib": ("", ["PMID- ", F.concat(F.lit("1"), F.col("seq").cast("string")), "\nTI  - ", "title", "\nFAU - ", "authors", "\nFAU - B.\nDP  - ", "year", "\nVI  - ", "volume", "\nLID - ", "doi", " [doi]\nOT  - ", "keywords", "\nAB  - first line\n      second line\n\n"]),
+        "csv": ("EID;Document Title;Authors;Year;Vol.;DOI;Author Keywords;Index Keywords\n", ["", "source_id", ";\"", "title", "\";", "authors", ";", "year", ";", "volume", ";", "doi", ";\"", "keywords", "\";more\n"]),
+    }
+
+
+def exported(spark, sf_dir, kind: str) -> DataFrame:
+    """name, file and content of the records' files."""
+    head, parts = layouts()[kind]
+    columns = {"seq", "source_id", "title", "authors", "year", "volume", "doi", "keywords"}
+    text = F.concat(*[p if not isinstance(p, str) else F.coalesce(F.col(p), F.lit("")) if p in columns else F.lit(p) for p in parts])
+    rows = bib(spark, sf_dir).withColumn("title", F.regexp_replace("title", r'[{}"\\;@\r]', " ")).where(tx.safe_text(F.col("title")) != "")
+    number = F.floor(F.col("seq") / 100).cast("int")
+    packs = rows.groupBy(number.alias("file")).agg(F.sort_array(F.collect_list(F.struct("seq", text.alias("t")))).alias("a"))
+    content = F.concat(F.lit(head), F.array_join(F.transform("a", lambda x: x.t), ""))
+    return packs.select(F.concat(F.lit("part."), F.lit(kind)).alias("name"), "file", content.cast("binary").alias("content"))
+
+
+def q_line(c: str) -> str:
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+TITLES = f"""{WITH}, e AS (SELECT * REPLACE (regexp_replace(title, '[{{}}"\\\\;@\\r]', ' ', 'g') AS title), seq // 100 AS file FROM bib), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS row, row_number() OVER (ORDER BY seq) AS place FROM e WHERE {q_strip('title')} <> '')
+"""
+
+
+@query("parse_bibtex", TITLES + f"SELECT file::INT AS file, row::INT AS row, CASE WHEN source_id = '' THEN 'ACM-' || format('{{:04d}}', place) ELSE source_id || 'k' END AS source_id, 'ACM Digital Library' AS database, {q_line('title')} AS title, authors, year, volume, doi, keywords, 'article' AS document_type, 'ACM Digital Library export' AS metadata_source FROM r")
+def parse_bibtex(spark, sf_dir):
+    rows = src.bibtex_records(src.bibtex_entries(exported(spark, sf_dir, "bib")), "acm")
+    return rows.select("seq.file", "seq.row", "source_id", "database", "title", "authors", "year", "volume", "doi", "keywords", "document_type", "metadata_source")
+
+
+@query("parse_nbib", TITLES + f"SELECT file::INT AS file, row::INT AS row, '1' || seq AS source_id, {q_strip('title')} AS title, CASE WHEN authors = '' THEN 'B.' ELSE authors || '; B.' END AS authors, year, volume, CASE WHEN doi = '' THEN '' ELSE {q_doi('doi')} END AS doi, 'first line second line' AS abstract, keywords, 'https://pubmed.ncbi.nlm.nih.gov/1' || seq || '/' AS url FROM r")
+def parse_nbib(spark, sf_dir):
+    rows = src.nbib_records(src.nbib_tags(exported(spark, sf_dir, "nbib")))
+    return rows.select("seq.file", "seq.row", "source_id", "title", "authors", "year", "volume", "doi", "abstract", "keywords", "url")
+
+
+@query("tabular_import", TITLES + f"SELECT file::INT AS file, row::INT AS row, source_id, 'Scopus' AS database, {q_strip('title')} AS title, authors, year, volume, doi, keywords || '; more' AS keywords, 'IMPORTED' AS metadata_status FROM r")
+def tabular_import(spark, sf_dir):
+    rows = src.table_records(src.table_cells(exported(spark, sf_dir, "csv")), "scopus")
+    return rows.select("seq.file", "seq.row", "source_id", "database", "title", "authors", "year", "volume", "doi", "keywords", "metadata_status")
+
+
 # Matching
 
 PAIRS = KEYED + """, pairs AS (SELECT a.seq AS seq, b.seq AS earlier
@@ -398,13 +451,18 @@ def enrichment_plan(spark, sf_dir):
 
 @query("enrichment_apply", PLAN_SQL + """SELECT seq, CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN 'FOUND' WHEN call IS NOT NULL THEN 'NOT_FOUND' WHEN action = 'HAS_ABSTRACT' AND st = '' THEN 'ALREADY_HAS_ABSTRACT' WHEN action = 'NO_DOI' THEN 'NO_DOI' ELSE st END AS springer_api_status,
   CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN CASE WHEN seq % 4 = 0 THEN 'ABSTRACT_FOUND' ELSE 'METADATA_FOUND_NO_ABSTRACT' END ELSE 'IMPORTED' END AS metadata_status,
-  CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN 'Article' ELSE '' END AS document_type FROM plan""")
+  CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN 'Article' ELSE '' END AS document_type, CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN 'Article' ELSE '' END AS springer_api_document_type,
+  CASE WHEN call IS NOT NULL AND seq % 2 <> 0 THEN 'HTTP 404' ELSE '' END AS springer_api_error, CASE WHEN call IS NOT NULL AND seq % 4 = 0 THEN 'An answer' ELSE '' END AS springer_api_title, CASE WHEN call IS NOT NULL AND seq % 4 = 0 THEN '10.9/z' ELSE '' END AS springer_api_doi,
+  CASE WHEN call IS NOT NULL AND seq % 4 = 0 THEN 'A & b' WHEN seq % 3 = 1 THEN own_abstract ELSE '' END AS abstract, CASE WHEN seq % 8 = 0 THEN CASE WHEN call IS NOT NULL AND seq % 4 = 0 THEN 'x; y' ELSE '' END ELSE keywords END AS keywords,
+  CASE WHEN call IS NOT NULL AND seq % 2 = 0 THEN 'Springer Nature Meta API v2' ELSE database || ' export' END AS metadata_source
+  FROM plan JOIN (SELECT seq, abstract AS own_abstract, keywords, database FROM keyed) USING (seq)""")
 def enrichment_apply(spark, sf_dir):
-    planned = en.plan(api_rows(spark, sf_dir))
-    found = F.col("seq") % 2 == 0
-    payload = F.when(found, F.when(F.col("seq") % 4 == 0, F.lit('{"abstract": "<p>A &amp; b</p>", "contentType": "Article", "keyword": ["x", "y"]}')).otherwise(F.lit('{"abstract": "", "contentType": "Article"}')))
-    answers = planned.where("call is not null").select("seq", F.when(found, "FOUND").otherwise("NOT_FOUND").alias("status"), payload.alias("payload"), F.lit("").alias("error"))
-    return en.apply(planned, answers).select("seq", "springer_api_status", "metadata_status", "document_type")
+    s = F.col("seq")
+    planned = en.plan(api_rows(spark, sf_dir).withColumn("keywords", F.when(s % 8 == 0, "").otherwise(F.col("keywords"))))
+    full = F.lit('{"title": " An answer ", "doi": "doi: 10.9/Z.", "abstract": "<p>A &amp; b</p>", "contentType": "Article", "keyword": ["x", " y "]}')
+    payload = F.when(s % 2 == 0, F.when(s % 4 == 0, full).otherwise(F.lit('{"abstract": "", "contentType": "Article"}')))
+    answers = planned.where("call is not null").select("seq", F.when(s % 2 == 0, "FOUND").otherwise("NOT_FOUND").alias("status"), payload.alias("payload"), F.when(s % 2 == 0, "").otherwise("HTTP 404").alias("error"))
+    return en.apply(planned, answers).select("seq", "springer_api_status", "springer_api_error", "springer_api_title", "springer_api_doi", "springer_api_document_type", "metadata_status", "metadata_source", "document_type", "abstract", "keywords")
 
 
 @query("api_status_map", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN 'RATE_LIMIT' WHEN 2 THEN 'AUTH_OR_QUOTA_ERROR' WHEN 3 THEN 'AUTH_OR_QUOTA_ERROR' WHEN 4 THEN CASE doc_id % 2 WHEN 0 THEN 'FOUND' ELSE 'NOT_FOUND' END WHEN 5 THEN 'ERROR' ELSE 'ERROR' END AS status FROM documents")
@@ -437,7 +495,7 @@ def springer_merge(spark, sf_dir):
 PHRASE_SQL = "[" + ", ".join("'" + p + "'" for p in PHRASES) + "][seq % " + str(len(PHRASES)) + " + 1]"
 NOTES_SQL = "[" + ", ".join("'" + p + "'" for p in NOTES) + "][seq % " + str(len(NOTES)) + " + 1]"
 ARTICLES = KEYED + f""", art AS (SELECT seq, concat('MASTER-', lpad(seq::VARCHAR, greatest(4, length(seq::VARCHAR))::INT, '0')) AS master_id, database, title, CASE WHEN {q_strip("abstract")} = '' THEN '' ELSE trim(concat({q_strip("abstract")}, ' ', {PHRASE_SQL})) END AS abstract, keywords, authors, year, publication, volume, doi, source_id,
-  {NOTES_SQL} AS evidence_ai, {", ".join(f"CASE WHEN substr(md5(concat(abstract, '{f}')), 1, 1) IN ('0','1','2','3','4','5','6','7') THEN " + ("CASE WHEN substr(md5(concat(abstract, 'iot')), 1, 1) < '4' THEN 'EXPLICIT_IOT' ELSE 'FUNCTIONALLY_COMPATIBLE' END" if f == "iot" else "'YES'") + f" WHEN substr(md5(concat(abstract, '{f}')), 1, 1) IN ('8','9','a','b') THEN 'NO' ELSE 'UNCERTAIN' END AS {f}" for f in FIELDS)} FROM keyed)
+  {NOTES_SQL} AS evidence_ai, {", ".join(f"CASE WHEN seq % 24 = 9 THEN '{ASSISTIVE[f]}' WHEN substr(md5(concat(abstract, '{f}')), 1, 1) IN ('0','1','2','3','4','5','6','7') THEN " + ("CASE WHEN substr(md5(concat(abstract, 'iot')), 1, 1) < '4' THEN 'EXPLICIT_IOT' ELSE 'FUNCTIONALLY_COMPATIBLE' END" if f == "iot" else "'YES'") + f" WHEN substr(md5(concat(abstract, '{f}')), 1, 1) IN ('8','9','a','b') THEN 'NO' ELSE 'UNCERTAIN' END AS {f}" for f in FIELDS)} FROM keyed)
 , txt AS (SELECT *, lower(concat_ws(' ', title, abstract, keywords)) AS t FROM art)
 """
 
@@ -458,7 +516,7 @@ def articles(spark, sf_dir):
     for f in FIELDS:
         d = F.substring(F.md5(F.concat("abstract", F.lit(f))), 1, 1)
         yes = F.when(d < "4", "EXPLICIT_IOT").otherwise("FUNCTIONALLY_COMPATIBLE") if f == "iot" else F.lit("YES")
-        label[f] = F.when(d < "8", yes).when(d < "c", "NO").otherwise("UNCERTAIN")
+        label[f] = F.when(s % 24 == 9, ASSISTIVE[f]).when(d < "8", yes).when(d < "c", "NO").otherwise("UNCERTAIN")
     rows = rows.withColumns(label | {"master_id": tx.format_master_id(s), "evidence_ai": F.element_at(F.array(*[F.lit(p) for p in NOTES]), (s % len(NOTES) + 1).cast("int")), "notes": F.lit("")})
     text = tx.safe_text(F.col("abstract"))
     rows = rows.withColumn("abstract", F.when(text == "", "").otherwise(F.trim(F.concat_ws(" ", text, phrase))))
@@ -523,9 +581,29 @@ def screened(spark, sf_dir):
     return scr.results(rows.select(*sc.CANONICAL), answers, CONFIG)
 
 
-@query("screening_results", DECIDED + "SELECT master_id, database, api_status, decision, rescue_code FROM res")
+REASON_SQL = "CASE rule " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scr.REASONS.items()) + " END"
+BY_STATUS = lambda good, none, error: f"CASE WHEN res.api_status = 'SUCCESS' THEN {good} WHEN res.api_status = 'NO_ABSTRACT' THEN '{none}' ELSE '{error}' END"
+RESULT_SQL = {
+    **{c: f"res.{c}" for c in ("master_id", "database", "api_status", "decision", "rescue_code", "abstract", "keywords")},
+    **{c: q_strip(f"made.{c}") for c in ("source_id", "authors", "year", "publication", "volume", "doi", "title")},
+    **dict.fromkeys(("document_type", "url"), "''"),
+    **{c: f"'{CONFIG[c]}'" for c in ("model", "prompt_version", "classifier_version", "prompt_hash")},
+    **{c: BY_STATUS(f"made.{c}", "NOT_EVALUATED", "NOT_EVALUATED") for c in scr.LABELS},
+    **{c: BY_STATUS("made.evidence_ai" if c == "evidence_ai" else "'e'", "Abstract unavailable.", "") for c in scr.EVIDENCE},
+    "notes": BY_STATUS("''", scr.NO_ABSTRACT_NOTES, ""),
+    "decision_reason": BY_STATUS(REASON_SQL, scr.REASONS["no_abstract"], scr.REASONS["error"]),
+    "safety_rescue": "CASE WHEN res.rescue_code <> '' THEN 'YES' ELSE 'NO' END",
+    "api_error": "CASE WHEN res.api_status = 'API_ERROR' THEN '429 quota' ELSE '' END",
+}
+
+
+def results_sql() -> str:
+    values = RESULT_SQL | {"metadata_hash": q_fingerprint("made.title", "made.abstract", "made.keywords")}
+    return DECIDED + "SELECT " + ", ".join(f"{v} AS {c}" for c, v in values.items()) + " FROM res JOIN made USING (seq)"
+
+
 def screening_results(spark, sf_dir):
-    return screened(spark, sf_dir).select("master_id", "database", "api_status", "decision", "rescue_code")
+    return screened(spark, sf_dir)
 
 
 @query("rescue_distribution", DECIDED + "SELECT rescue_code, count(*) AS n FROM res GROUP BY rescue_code")
@@ -597,6 +675,9 @@ def q_fingerprint(title: str, abstract: str, keywords: str) -> str:
     return f"sha256('{{\"abstract\": ' || {q[0]} || ', \"keywords\": ' || {q[1]} || ', \"title\": ' || {q[2]} || '}}')"
 
 
+query("screening_results", results_sql())(screening_results)
+
+
 @query("metadata_fingerprint", WITH + f"SELECT seq, {q_fingerprint('title', 'abstract', 'keywords')} AS sha FROM bib")
 def metadata_fingerprint(spark, sf_dir):
     return bib(spark, sf_dir).select("seq", tx.metadata_fingerprint(F.col("title"), F.col("abstract"), F.col("keywords")).alias("sha"))
@@ -622,9 +703,9 @@ def checkpoint_valid(spark, sf_dir):
     return cp.paired(old, articles(spark, sf_dir)).select(F.col("s_master_id").alias("master_id"), cp.validity(old.columns, CONFIG).alias("valid"))
 
 
-@query("reconcile_checkpoint", SAVED + "SELECT master_id, decision, seq % 10 = 5 AS refreshed FROM ok WHERE valid")
+@query("reconcile_checkpoint", SAVED + "SELECT ok.master_id, decision, ok.seq % 10 = 5 AS refreshed, " + ", ".join(f"art.{c}" for c in ("source_id", "database", "authors", "year", "publication", "volume", "doi", "title")) + " FROM ok JOIN art USING (master_id) WHERE valid")
 def reconcile_checkpoint(spark, sf_dir):
-    return cp.reconcile(saved(spark, sf_dir), articles(spark, sf_dir), CONFIG).select("master_id", "decision", "refreshed")
+    return cp.reconcile(saved(spark, sf_dir), articles(spark, sf_dir), CONFIG).select("master_id", "decision", "refreshed", "source_id", "database", "authors", "year", "publication", "volume", "doi", "title")
 
 
 @query("bibliography_changed", SAVED + "SELECT master_id, seq % 10 = 5 AS changed FROM old")

@@ -130,14 +130,20 @@ def files(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFram
 
 
 def read_bibtex(spark: SparkSession, path: str, recover_copyright: bool = False) -> DataFrame:
-    """file, line, type, key and fields of all entries. ValueError where an entry can't be used, as nothing of such a file may be."""
+    """`bibtex_entries` of the files of a folder."""
+    return bibtex_entries(files(spark, path, (".bib", ".bibtex")), recover_copyright)
+
+
+def bibtex_entries(contents: DataFrame, recover_copyright: bool = False) -> DataFrame:
+    """file, line, type, key and fields of all entries of files (name, file, content). ValueError where an entry can't be used,
+    as nothing of such a file may be."""
     first = frozenset({"copyright"}) if recover_copyright else frozenset()
 
     @F.pandas_udf(ENTRY)
     def parsed(content: pd.Series) -> pd.Series:
         return content.map(lambda b: sorted(parse_bibtex(b.decode("utf-8-sig", "replace"), first), key=lambda e: e["line"]))
 
-    rows = files(spark, path, (".bib", ".bibtex")).select("name", "file", F.posexplode(parsed("content")).alias("row", "x")).select("name", "file", "row", "x.*")
+    rows = contents.select("name", "file", F.posexplode(parsed("content")).alias("row", "x")).select("name", "file", "row", "x.*")
     rows = keep(rows, "entries")  # parsed once
     bad = rows.where("error <> ''").orderBy("file", "row").limit(5).collect()
     if bad:
@@ -185,13 +191,18 @@ def bibtex_records(entries: DataFrame, database: str) -> DataFrame:
 
 
 def read_nbib(spark: SparkSession, path: str) -> DataFrame:
-    """file, row and tags (tag -> values) of all records."""
+    """`nbib_tags` of the files of a folder."""
+    return nbib_tags(files(spark, path, (".nbib",)))
+
+
+def nbib_tags(contents: DataFrame) -> DataFrame:
+    """file, row and tags (tag -> values) of all records of files (file, content)."""
 
     @F.pandas_udf("array<array<struct<tag:string,value:string>>>")
     def parsed(content: pd.Series) -> pd.Series:
         return content.map(lambda b: [[{"tag": t, "value": v} for t, v in r] for r in parse_nbib(b.decode("utf-8", "replace"))])
 
-    return files(spark, path, (".nbib",)).select("file", F.posexplode(parsed("content")).alias("row", "tags"))
+    return contents.select("file", F.posexplode(parsed("content")).alias("row", "tags"))
 
 
 def nbib_records(records: DataFrame) -> DataFrame:
@@ -266,7 +277,12 @@ def parse_workbook(data: bytes) -> list[list[str]]:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """file, row and cells (header -> text) of .csv, .txt, .tsv and .xlsx files; all values stay text."""
+    """`table_cells` of the files of a folder."""
+    return table_cells(files(spark, path, (".csv", ".txt", ".tsv", ".xlsx")))
+
+
+def table_cells(contents: DataFrame) -> DataFrame:
+    """file, row and cells (header -> text) of .csv, .txt, .tsv and .xlsx files (name, file, content); all values stay text."""
 
     @F.pandas_udf("array<array<struct<header:string,value:string>>>")
     def parsed(name: pd.Series, content: pd.Series) -> pd.Series:
@@ -276,7 +292,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
             out.append([[{"header": h, "value": v} for h, v in zip(rows[0], r, strict=False)] for r in rows[1:] if any(r)] if rows else [])
         return pd.Series(out)
 
-    return files(spark, path, (".csv", ".txt", ".tsv", ".xlsx")).select("file", F.posexplode(parsed("name", "content")).alias("row", "cells"))
+    return contents.select("file", F.posexplode(parsed("name", "content")).alias("row", "cells"))
 
 
 def cell(header: str):
@@ -285,11 +301,13 @@ def cell(header: str):
 
 def table_records(rows: DataFrame, database: str) -> DataFrame:
     """seq and the canonical columns of a database's tables, each file by its own headers in their order."""
-    headers = rows.groupBy("file").agg(F.first(F.transform("cells", lambda c: c["header"])).alias("h")).orderBy("file").collect()  # a row for each file
+    headers = rows.groupBy("file").agg(F.first(F.transform("cells", lambda c: c["header"])).alias("h")).collect()  # a row for each file
+    alike: dict[tuple, list[int]] = {}
+    for r in sorted(headers, key=lambda r: r["file"]):
+        alike.setdefault(tuple(dict.fromkeys(r["h"])), []).append(r["file"])
     out = None
-    for r in headers:
-        names = list(dict.fromkeys(r["h"]))
-        wide = rows.where(F.col("file") == r["file"]).select("file", "row", *[cell(n).alias(n or f"_{k}") for k, n in enumerate(names)])
+    for names, own in alike.items():
+        wide = rows.where(F.col("file").isin(own)).select("file", "row", *[cell(n).alias(n or f"_{k}") for k, n in enumerate(names)])
         part = map_export(wide, database, F.struct("file", "row"), skip=("file", "row"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.select(F.struct("file", "row").alias("seq"), *[F.lit("").alias(c) for c in CANONICAL]).limit(0)
