@@ -7,6 +7,7 @@ propagation over written tables; records alone in their component never reach Py
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import tempfile
@@ -127,11 +128,27 @@ class Fold:
         self.fill = policy.fill or tuple(c for c in columns if not c.startswith(("springer_api_", "_")) and c not in ("seq", "comp", "existing"))
         self.rows: list[dict] = []
         self.by_doi: dict[str, int] = {}
-        self.by_title: dict[str, list[int]] = {}
+        #: Survivors by title, and there by DOI and volume; and by title, source id and database.
+        self.by_title: dict[str, dict[tuple[str, str], list[int]]] = {}
+        self.by_origin: dict[tuple, list[int]] = {}
+
+    @staticmethod
+    def place(row: dict) -> tuple[str, tuple[str, str], tuple]:
+        return row["_title"], (row["_doi"], _number(row.get("volume"))), (row["_title"], _text(row.get("source_id")), row["_db"])
 
     def compatible(self, new: dict, old: dict) -> bool:
         return new["_title"] == old["_title"] and not _differ(new["_doi"], old["_doi"]) and not _differ(_number(new.get("volume")), _number(old.get("volume")))
 
+    def near(self, new: dict) -> list[int]:
+        """The compatible survivors of the title; two at most, as more than one is none."""
+        title, (doi, volume), _ = self.place(new)
+        held = self.by_title.get(title, {})
+        if doi and volume:
+            keys = [k for k in ((doi, volume), (doi, ""), ("", volume), ("", "")) if k in held]
+        else:
+            keys = (k for k in held if not _differ(k[0], doi) and not _differ(k[1], volume))
+        return list(itertools.islice(itertools.chain.from_iterable(held[k] for k in keys), 2))
+
     def same_origin(self, new: dict, old: dict) -> bool:
         a, b = _text(new.get("source_id")), _text(old.get("source_id"))
         return bool(a) and a == b and bool(new["_db"]) and new["_db"] == old["_db"] and not _differ(_number(new.get("year")), _number(old.get("year"))) and not any(_differ(_plain(new.get(c)), _plain(old.get(c))) for c in ("publication", "authors"))
@@ -139,26 +156,42 @@ class Fold:
     def match(self, new: dict) -> tuple[int, str] | None:
         if new["_doi"] and new["_doi"] in self.by_doi:
             return self.by_doi[new["_doi"]], "DOI"
-        near = [i for i in self.by_title.get(new["_title"], []) if self.compatible(new, self.rows[i])] if new["_title"] else []
+        if not new["_title"]:
+            return None
         if self.policy.origin:
-            own = [i for i in near if self.same_origin(new, self.rows[i])]
+            own = [i for i in self.by_origin.get(self.place(new)[2], []) if self.compatible(new, self.rows[i]) and self.same_origin(new, self.rows[i])]
             if len(own) == 1:
                 return own[0], "SOURCE_ID"
+        near = self.near(new)
         return (near[0], "TITLE") if len(near) == 1 else None
 
-    def register(self, i: int, doi: str, title: str) -> None:
+    def enter(self, i: int) -> None:
+        title, key, origin = self.place(self.rows[i])
+        if title:
+            self.by_title.setdefault(title, {}).setdefault(key, []).append(i)
+            self.by_origin.setdefault(origin, []).append(i)
+
+    def leave(self, i: int) -> None:
+        title, key, origin = self.place(self.rows[i])
+        if title:
+            self.by_title[title][key].remove(i)
+            if not self.by_title[title][key]:
+                del self.by_title[title][key]
+            self.by_origin[origin].remove(i)
+
+    def register(self, i: int, doi: str) -> None:
         if doi:
             self.by_doi.setdefault(doi, i)
-        if title and i not in self.by_title.setdefault(title, []):
-            self.by_title[title].append(i)
 
     def add(self, row: dict) -> None:
         self.rows.append(row)
-        self.register(len(self.rows) - 1, row["_doi"], row["_title"])
+        self.enter(len(self.rows) - 1)
+        self.register(len(self.rows) - 1, row["_doi"])
 
     def absorb(self, i: int, new: dict) -> list[str]:
         """Fills the survivor's blanks and registers its keys; the columns that were filled."""
         old, filled = self.rows[i], []
+        self.leave(i)
         for c in self.fill:
             if not _text(old.get(c)) and _text(new.get(c)):
                 old[c] = _text(new[c]) if self.policy.strip else new[c]
@@ -177,9 +210,10 @@ class Fold:
             old["metadata_source"] = " | ".join(seen + [own] * (own not in seen)) if own else old.get("metadata_source")
             if _text(new.get("metadata_status")) and ("abstract" in filled or not _text(old.get("metadata_status"))):
                 old["metadata_status"] = _text(new["metadata_status"])
+        self.enter(i)
         if self.policy.incoming:
-            self.register(i, new["_doi"], new["_title"])
-        self.register(i, old["_doi"], old["_title"])
+            self.register(i, new["_doi"])
+        self.register(i, old["_doi"])
         return filled
 
 

@@ -530,6 +530,17 @@ def text_of(rows):
 CALIBRATED_SQL = ", ".join(f"{q_any('t', getattr(sig, k.upper()))} AS {k}" for k in ("acquisition", "interaction", "stimulation", "assistive"))
 
 
+@query("combined_metadata", WITH + f"SELECT seq, trim(regexp_replace(lower(strip_accents(concat_ws(' ', {q_strip('title')}, {q_strip('abstract')}, {q_strip('keywords')}))), '\\s+', ' ', 'g')) AS text FROM bib")
+def combined_metadata(spark, sf_dir):
+    return bib(spark, sf_dir).select("seq", tx.combined_metadata(F.col("title"), F.col("abstract"), F.col("keywords")).alias("text"))
+
+
+@query("record_keys", KEYED + "SELECT seq, doi_key, title_key FROM keyed")
+def record_keys(spark, sf_dir):
+    doi, title = tx.record_keys(F.col("doi"), F.col("title"))
+    return bib(spark, sf_dir).where(tx.safe_text(F.col("title")) != "").select("seq", doi.alias("doi_key"), title.alias("title_key"))
+
+
 @query("lexical_signals", ARTICLES + f"SELECT seq, {CALIBRATED_SQL} FROM txt")
 def lexical_signals(spark, sf_dir):
     return text_of(articles(spark, sf_dir)).select("seq", *[c.alias(k) for k, c in sig.calibrated(F.col("t")).items()])
