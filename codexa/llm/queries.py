@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP11_SQL, op11_filter_audit
 from .bpe import op7_bpe
 from .jaccard import op10_ngram_jaccard
 from .lines import OP9_SQL, op9_quality_rules
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_filter_audit": op11_filter_audit,
 }
-SQL = {"op3_url_filter": OP3_SQL, "op6_mix_sources": OP6_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL}
+SQL = {"op3_url_filter": OP3_SQL, "op6_mix_sources": OP6_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_filter_audit": OP11_SQL}
