@@ -12,6 +12,7 @@ from .telephony import op4_telephony
 from .toxicity import op1_toxicity
 from .training_order import op2_training_order
 from .urlfilter import OP3_SQL, op3_url_filter
+from .variants import OP12_SQL, op12_spelling_variants
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
 }
-SQL = {"op3_url_filter": OP3_SQL, "op6_mix_sources": OP6_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_filter_audit": OP11_SQL}
+SQL = {"op3_url_filter": OP3_SQL, "op6_mix_sources": OP6_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_spelling_variants": OP12_SQL}
