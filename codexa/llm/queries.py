@@ -8,6 +8,7 @@ from .jaccard import op10_ngram_jaccard
 from .lines import OP9_SQL, op9_quality_rules
 from .mixing import OP6_SQL, op6_mix_sources
 from .quality import op5_quality
+from .recursive_bpe import op13_recursive_bpe
 from .telephony import op4_telephony
 from .toxicity import op1_toxicity
 from .training_order import op2_training_order
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_filter_audit": op11_filter_audit,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_recursive_bpe": op13_recursive_bpe,
 }
 SQL = {"op3_url_filter": OP3_SQL, "op6_mix_sources": OP6_SQL, "op8_warc": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_spelling_variants": OP12_SQL}
