@@ -16,6 +16,7 @@ import uuid
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,36 +217,67 @@ class Fold:
         self.register(i, old["_doi"])
         return filled
 
+    def survivors(self) -> list[dict]:
+        return [r | {"kept": True, "matched": None, "match_type": "", "fields_filled": ""} for r in self.rows]
+
+
+def repeated(df: DataFrame, column: str = "seq") -> list:
+    """Up to five values that are not unique."""
+    return [r[0] for r in df.groupBy(column).count().where("count > 1").select(column).limit(5).collect()]
+
+
+#: Rows that a task hands on at once.
+EMITTED = 4096
+
 
 def fold(rows: DataFrame, policy: Policy) -> DataFrame:
     """All rows with `kept`, and for the others `matched` (the survivor's seq), `match_type` and `fields_filled`; survivors carry
     what they took over.
 
-    rows: seq (unique long), existing (rows of a master, never matched themselves), and text columns.
+    rows: seq (unique long, else ValueError), existing (rows of a master, never matched themselves), and text columns. Rows of
+    components are sorted by component and seq within hash partitions and streamed: one call folds many components and
+    holds the survivors of one of them, while duplicates are handed on at once.
     """
     text = [c for c in rows.columns if c not in ("seq", "existing")]
     keyed = rows.withColumns({"_doi": normalize_doi(F.col("doi")), "_title": normalize_title(F.col("title")), "_db": normalize_database(F.col("database"))})
     keyed = keep(keyed, "keyed")
+    if twice := repeated(keyed):
+        raise ValueError(f"repeated seq values: {twice}")
     edges = keyed.select("seq", F.explode(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("t"), "_title"))).alias("key")).where(F.length("key") > 1)
     comp = components(edges)
     many = keep(comp.groupBy("comp").count().where("count > 1").select("comp"), "many")
     grouped = keyed.join(comp.join(many, "comp"), "seq", "left")
     schema = rows.select("seq", *text).schema.add("kept", "boolean").add("matched", "long").add("match_type", "string").add("fields_filled", "string")
-    out_columns = [f.name for f in schema]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, done = Fold(policy, list(pdf.columns)), []
-        for row in pdf.sort_values("seq").to_dict("records"):
-            hit = None if row["existing"] else state.match(row)
-            if hit:
-                filled = state.absorb(hit[0], row)
-                done.append(row | {"kept": False, "matched": state.rows[hit[0]]["seq"], "match_type": hit[1], "fields_filled": "; ".join(filled)})
-            else:
-                state.add(row)
-        kept = [r | {"kept": True, "matched": None, "match_type": "", "fields_filled": ""} for r in state.rows]
-        return pd.DataFrame(kept + done, columns=out_columns).astype({"matched": "Int64"})
-
-    folded = grouped.where(F.col("comp").isNotNull()).groupBy("comp").applyInPandas(run, schema)
+
+    def run(batches):
+        state, comp, out, names = None, None, [], None
+
+        def sent(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(rows, schema=names)
+
+        for batch in batches:
+            own = {f.name: f for f in batch.schema}
+            names = pa.schema([own["seq"], *[own[c] for c in text], ("kept", pa.bool_()), ("matched", pa.int64()), ("match_type", pa.string()), ("fields_filled", pa.string())])
+            for row in batch.to_pylist():
+                if row["comp"] != comp:
+                    out += state.survivors() if state else []
+                    state, comp = Fold(policy, list(own)), row["comp"]
+                hit = None if row["existing"] else state.match(row)
+                if hit:
+                    filled = state.absorb(hit[0], row)
+                    out.append(row | {"kept": False, "matched": state.rows[hit[0]]["seq"], "match_type": hit[1], "fields_filled": "; ".join(filled)})
+                else:
+                    state.add(row)
+                if len(out) >= EMITTED:
+                    yield sent(out)
+                    out = []
+        if state:
+            out += state.survivors()
+        for k in range(0, len(out), EMITTED):
+            yield sent(out[k : k + EMITTED])
+
+    together = grouped.where(F.col("comp").isNotNull()).repartition("comp").sortWithinPartitions("comp", "seq")
+    folded = together.mapInArrow(run, schema)
     alone = grouped.where(F.col("comp").isNull()).select("seq", *text, F.lit(True).alias("kept"), F.lit(None).cast("long").alias("matched"), F.lit("").alias("match_type"), F.lit("").alias("fields_filled"))
     return folded.unionByName(alone)
 
@@ -259,9 +291,14 @@ def internal_dedup(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return unique, report
 
 
-def assign_ids(rows: DataFrame) -> DataFrame:
-    """Blank master ids become the numbers after the highest one, in seq order; others stay, malformed ones too."""
-    top = rows.agg(F.max(master_number(F.col("master_id")))).first()[0] or 0
+def highest_id(rows: DataFrame) -> int:
+    return rows.agg(F.max(master_number(F.col("master_id")))).first()[0] or 0
+
+
+def assign_ids(rows: DataFrame, last: int = 0) -> DataFrame:
+    """Blank master ids become the numbers after the highest one, in seq order; others stay, malformed ones too. last: the
+    highest number ever given, where rows that had it may be gone."""
+    top = max(last, highest_id(rows))
     blank = ranked(rows.where(safe_text(F.col("master_id")) == ""))
     given = blank.withColumn("master_id", format_master_id(F.lit(top) + F.col("position"))).drop("position")
     return rows.where(safe_text(F.col("master_id")) != "").unionByName(given)
@@ -273,11 +310,12 @@ def invalid_ids(rows: DataFrame) -> DataFrame:
     return ids.where((F.col("master_id") == "") | (F.col("n") > 1))
 
 
-def upsert(master: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The new master and the report of incoming duplicates. seq orders both; the master's rows come first."""
+def upsert(master: DataFrame, incoming: DataFrame, last: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The new master and the report of incoming duplicates. seq orders both; the master's rows come first. last: as in
+    `assign_ids`."""
     rows = master.select("seq", *CANONICAL).withColumn("existing", F.lit(True)).unionByName(incoming.select("seq", *CANONICAL).withColumn("master_id", F.lit("")).withColumn("existing", F.lit(False)))
     done = keep(fold(rows, MASTER), "upsert")
-    fresh = keep(assign_ids(done.where("kept").drop(*VERDICT)), "master")
+    fresh = keep(assign_ids(done.where("kept").drop(*VERDICT), last), "master")
     place = fresh.select(F.col("seq").alias("matched"), *[safe_text(F.col(c)).alias(f"matched_{c}") for c in ("master_id", "database", "title", "doi")])
     updated = F.when(F.col("fields_filled") != "", safe_text(F.col("metadata_source"))).otherwise("")
     report = done.where("not kept").withColumn("metadata_update_source", updated).withColumnRenamed("match_type", "duplicate_reason")
