@@ -239,7 +239,7 @@ TITLES = f"""{WITH}, e AS (SELECT * REPLACE (regexp_replace(title, '[{{}}"\\\\;@
 """
 
 
-@query("parse_bibtex", TITLES + f"SELECT file::INT AS file, row::INT AS row, CASE WHEN source_id = '' THEN 'ACM-' || format('{{:04d}}', place) ELSE source_id || 'k' END AS source_id, 'ACM Digital Library' AS database, {q_line('title')} AS title, authors, year, volume, doi, keywords, 'article' AS document_type, 'ACM Digital Library export' AS metadata_source FROM r")
+@query("parse_bibtex", TITLES + f"SELECT file::INT AS file, row::INT AS row, CASE WHEN source_id = '' THEN 'ACM-' || format('{{:04d}}', place) ELSE source_id || 'k' END AS source_id, 'ACM Digital Library' AS database, {q_line('title')} AS title, authors, year, volume, {q_extract('doi')} AS doi, keywords, 'article' AS document_type, 'ACM Digital Library export' AS metadata_source FROM r")
 def parse_bibtex(spark, sf_dir):
     rows = src.bibtex_records(src.bibtex_entries(exported(spark, sf_dir, "bib")), "acm")
     return rows.select("seq.file", "seq.row", "source_id", "database", "title", "authors", "year", "volume", "doi", "keywords", "document_type", "metadata_source")

@@ -1,7 +1,7 @@
 """Readers of bibliographic exports: BibTeX, NBIB/MEDLINE, delimited text and workbooks.
 
-Each file is one row of Spark's binaryFile or wholetext reader; a Python function parses it to an array of entries, which
-is exploded with its position, so files are parsed in parallel and order is explicit.
+BibTeX, NBIB and delimited files are read in byte ranges (`splits`), so one large file uses all cores. Workbooks, and files given
+as rows, are parsed by one Python call each, to an array that is exploded with its position.
 """
 
 from __future__ import annotations
@@ -15,95 +15,20 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import DATABASES, clean_bibtex_value, extract_doi_from_values, safe_text
+from ..functions.text import DATABASES, clean_bibtex_value, extract_doi, extract_doi_from_values, safe_text
 from ..operators.resolve import keep
 from ..operators.schema import CANONICAL, EXPORTS, map_export
+from . import bibtex, splits
 
 ENTRY = "array<struct<line:int,type:string,key:string,fields:array<struct<name:string,value:string>>,error:string>>"
 
 
 def parse_bibtex(text: str, keep_first: frozenset[str] = frozenset()) -> Iterator[dict]:
-    """Entries of a BibTeX file. One with a repeated field, unless that is in keep_first, or without an end has an error.
-
-    Braces nest; quoted values may hold braces; `#` joins parts; @string names are filled in; @comment and @preamble go.
-    """
-    names: dict[str, str] = {}
-    at = line = counted = 0
-    while (m := re.compile(r"@\s*([A-Za-z]+)\s*([{(])").search(text, at)) is not None:
-        line, counted, kind = line + text.count("\n", counted, m.start()), m.start(), m[1].lower()
-        body, at = _balanced(text, m.end() - 1)
-        if kind in ("comment", "preamble"):
-            continue
-        if body is None:
-            yield {"line": line, "type": kind, "key": "", "fields": [], "error": "ParsingFailedBlock"}
-            at = m.end()
-            continue
-        key, fields, error = "", [], ""
-        if kind != "string":
-            key, _, body = body.partition(",")
-        seen: set[str] = set()
-        for name, value in _fields(body, names):
-            if name is None:  # something that is no field
-                error = error or "ParsingFailedBlock"
-                continue
-            low = name.lower()
-            if low in seen:
-                if low not in keep_first:
-                    error = "DuplicateFieldKeyBlock"
-                continue
-            seen.add(low)
-            fields.append({"name": name, "value": value})
-        if kind == "string":
-            names |= {f["name"].lower(): f["value"] for f in fields}
-            continue
-        yield {"line": line, "type": kind, "key": key.strip(), "fields": fields, "error": error}
-
-
-def _balanced(text: str, at: int) -> tuple[str | None, int]:
-    """What the bracket at `at` holds, and where it ends."""
-    close, depth = {"{": "}", "(": ")"}[text[at]], 0
-    for m in re.compile(r"\\.|[{}()]", re.S).finditer(text, at):
-        c = m[0]
-        if c == text[at]:
-            depth += 1
-        elif c == close:
-            depth -= 1
-            if not depth:
-                return text[at + 1 : m.start()], m.end()
-    return None, len(text)
-
-
-def _fields(body: str, names: dict[str, str]) -> Iterator[tuple[str | None, str]]:
-    """Names and values; a name of None, and what is left of the body, where that goes on with something that is no field."""
-    at = 0
-    while (m := re.compile(r"\s*,?\s*([^\s=,{}\"]+)\s*=\s*").match(body, at)) is not None:
-        parts, at = [], m.end()
-        while at < len(body):
-            if body[at] == "{":
-                value, at = _balanced(body, at)
-                parts.append(value or "")
-            elif body[at] == '"':
-                depth, end = 0, at + 1
-                while end < len(body) and (body[end] != '"' or depth):
-                    depth += {"{": 1, "}": -1}.get(body[end], 0)
-                    end += 2 if body[end] == "\\" else 1
-                parts.append(body[at + 1 : end])
-                at = end + 1
-            else:
-                word = re.compile(r"[^\s,#]+").match(body, at)
-                if word is None:
-                    break
-                parts.append(names.get(word[0].lower(), word[0]))
-                at = word.end()
-            more = re.compile(r"\s*#\s*").match(body, at)
-            if more is None:
-                break
-            at = more.end()
-        yield m[1], "".join(parts)
-    if body[at:].strip(" \t\r\n,"):
-        yield None, body[at:]
+    """Entries of a BibTeX file: `bibtex.parse`."""
+    return bibtex.parse(text, keep_first)
 
 
 def parse_nbib(text: str) -> Iterator[list[tuple[str, str]]]:
@@ -120,6 +45,11 @@ def parse_nbib(text: str) -> Iterator[list[tuple[str, str]]]:
             record[-1][1] = f"{record[-1][1]} {line.strip()}".strip()
 
 
+def file_numbers(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """name and file (position by lower-cased name) of the files of a folder; contents are not read."""
+    return files(spark, path, suffixes).select("name", "file")
+
+
 def files(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
     """path, name, content and file (position by lower-cased name) of the files of a folder, not of folders in it."""
     rows = spark.read.format("binaryFile").load(path).withColumn("name", F.element_at(F.split("path", "/"), -1))
@@ -129,25 +59,79 @@ def files(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFram
     return rows.select("path", "name", "content").join(F.broadcast(order), "name")
 
 
+def refuse(rows: DataFrame) -> None:
+    """ValueError where entries (name, file, line, error) can't be used, as nothing of such a file may be: for each file the number of its
+    bad blocks and the first five."""
+    bad = rows.where("error <> ''").groupBy("file", "name").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("line", "error"))), 1, 5).alias("first"))
+    found = bad.orderBy("file").limit(5).collect()
+    if found:
+        raise ValueError("; ".join(f"{r['name']}: {r['n']} rejected block(s). " + "; ".join(f"line {x['line'] + 1}: {x['error']}" for x in r["first"]) for r in found))
+
+
+PARTS = "array<struct<line:int,type:string,key:string,fields:array<struct<name:string,parts:array<struct<text:string,ref:boolean>>>>,error:string>>"
+
+
 def read_bibtex(spark: SparkSession, path: str, recover_copyright: bool = False) -> DataFrame:
-    """`bibtex_entries` of the files of a folder."""
-    return bibtex_entries(files(spark, path, (".bib", ".bibtex")), recover_copyright)
+    """file, name, row, line, type, key and fields of all entries of a folder's files, which are read in byte ranges. ValueError
+    as in `refuse`."""
+    first = frozenset({"copyright"}) if recover_copyright else frozenset()
+
+    @F.pandas_udf(PARTS)
+    def parsed(text: pd.Series) -> pd.Series:
+        made = lambda b: b | {"fields": [{"name": n, "parts": [{"text": t, "ref": r} for t, r in parts]} for n, parts in b["fields"]]}
+        return text.map(lambda t: [made(b) for b in bibtex.blocks(t, first)])
+
+    suffixes = (".bib", ".bibtex")
+    found = splits.records(splits.text_lines(spark, path, suffixes), splits.Scan(lambda line, state, delimiter: bibtex.START.match(line) is not None))
+    rows = found.select("path", "name", "begin", "n", F.col("line").alias("top"), F.posexplode(parsed("text")).alias("k", "x")).select("path", "name", "begin", "n", "k", "top", "x.*")
+    rows = keep(rows.withColumn("line", (F.col("top") + F.col("line")).cast("int")).drop("top").join(F.broadcast(file_numbers(spark, path, suffixes)), "name"), "blocks")  # parsed once
+    key = F.when(F.col("type") == "string", F.concat(F.lit("@"), F.lower(F.get("fields", 0)["name"]))).otherwise(F.col("key"))
+    same = rows.where("error = ''").select("file", "name", "line", "k", key.alias("key")).where("key <> ''")
+    twice = same.groupBy("file", "name", "key").agg(F.sort_array(F.collect_list(F.struct("line", "k"))).alias("at")).where(F.size("at") > 1)
+    twice = twice.select("file", "name", F.explode(F.slice("at", 2, F.size("at") - 1)).alias("x")).select("file", "name", "x.line", F.lit(bibtex.SAME_KEY).alias("error"))
+    refuse(rows.select("file", "name", "line", "error").unionByName(twice))
+    entries = splits.numbered(rows.where("type <> 'string'"), "k")
+    return named_values(entries, rows.where("type = 'string'")).select("name", "file", "row", "line", "type", "key", "fields")
+
+
+def named_values(entries: DataFrame, strings: DataFrame) -> DataFrame:
+    """Entries with their fields' parts joined; a word that an @string before it in the file names stands for that string's value. The
+    strings of a file, a few as a rule, are worked out in one task, in order, as they may name each other."""
+    plain = lambda parts: F.array_join(F.transform(parts, lambda p: p["text"]), "")
+    fields = lambda text: F.transform("fields", lambda f: F.struct(f["name"].alias("name"), text(f["parts"]).alias("value")))
+    if strings.isEmpty():
+        return entries.withColumn("fields", fields(plain))
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        names: dict[str, str] = {}
+        out = []
+        for r in pdf.sort_values(["line", "k"]).itertuples():
+            for f in r.fields:
+                names[f["name"].lower()] = bibtex.joined([(p["text"], p["ref"]) for p in f["parts"]], names)
+                out.append((r.file, r.line, r.k, f["name"].lower(), names[f["name"].lower()]))
+        return pd.DataFrame(out, columns=["file", "at", "part", "word", "text"])
+
+    values = strings.select("file", "line", "k", "fields").groupBy("file").applyInPandas(follow, "file int, at int, part int, word string, text string")
+    words = F.array_distinct(F.transform(F.filter(F.flatten("fields.parts"), lambda p: p["ref"]), lambda p: F.lower(p["text"])))
+    used = entries.select("file", "row", "line", "k", F.explode(words).alias("word")).join(values, ["file", "word"])
+    used = used.where(F.struct("at", "part") < F.struct("line", "k"))
+    known = used.groupBy("file", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "text"))).alias("known"))
+    stands = lambda p: F.when(p["ref"], F.coalesce(F.element_at("known", F.lower(p["text"])), p["text"])).otherwise(p["text"])
+    rows = entries.join(known, ["file", "row"], "left")
+    return rows.withColumn("fields", fields(lambda parts: F.when(F.col("known").isNull(), plain(parts)).otherwise(F.array_join(F.transform(parts, stands), "")))).drop("known")
 
 
 def bibtex_entries(contents: DataFrame, recover_copyright: bool = False) -> DataFrame:
-    """file, line, type, key and fields of all entries of files (name, file, content). ValueError where an entry can't be used,
-    as nothing of such a file may be."""
+    """file, line, type, key and fields of all entries of files given as rows (name, file, content). ValueError as in `refuse`."""
     first = frozenset({"copyright"}) if recover_copyright else frozenset()
 
     @F.pandas_udf(ENTRY)
     def parsed(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: sorted(parse_bibtex(b.decode("utf-8-sig", "replace"), first), key=lambda e: e["line"]))
+        return content.map(lambda b: list(parse_bibtex(b.decode("utf-8-sig", "replace"), first)))
 
     rows = contents.select("name", "file", F.posexplode(parsed("content")).alias("row", "x")).select("name", "file", "row", "x.*")
     rows = keep(rows, "entries")  # parsed once
-    bad = rows.where("error <> ''").orderBy("file", "row").limit(5).collect()
-    if bad:
-        raise ValueError("; ".join(f"{r['name']}, line {r['line'] + 1}: {r['error']}" for r in bad))
+    refuse(rows)
     return rows.drop("error")
 
 
@@ -163,7 +147,7 @@ BIBTEX_FIELDS = {
     "title": ("title",),
 }
 BIBTEX_TYPES = ("document_type", "documenttype", "content_type", "type")
-BIBTEX_KEYWORDS = ("keywords", "keyword", "author_keywords", "author-keywords", "index_terms", "index-terms", "controlled_terms", "uncontrolled_terms", "subject", "subjects")
+BIBTEX_KEYWORDS = ("keywords", "keyword", "author_keywords", "author keywords", "index_keywords", "index keywords", "controlled_terms", "controlled terms", "uncontrolled_terms", "uncontrolled terms")
 COMPENDEX_KEYWORDS = ("keywords", "keyword", "key", "note")
 
 
@@ -176,23 +160,28 @@ def bibtex_records(entries: DataFrame, database: str) -> DataFrame:
     out = {k: field(*v) for k, v in BIBTEX_FIELDS.items()}
     out["keywords"] = F.array_join(F.array_distinct(words), "; ")
     out["document_type"] = F.coalesce(F.nullif(field(*BIBTEX_TYPES), F.lit("")), F.col("type"))
-    out["doi"] = F.coalesce(F.nullif(out["doi"], F.lit("")), extract_doi_from_values(F.array_join(F.map_values("f"), " ")))
+    out["doi"] = F.coalesce(F.nullif(extract_doi(out["doi"]), F.lit("")), extract_doi_from_values(F.concat_ws(" ", F.col("key"), F.array_join(F.map_values("f"), " "))))
     display = DATABASES[database][0]
     constants = {"master_id": F.lit(""), "source_id": safe_text(F.col("key")), "database": F.lit(display), "metadata_status": F.lit("IMPORTED"), "metadata_source": F.lit(f"{display} export")}
-    sizes = {r["file"]: r["n"] for r in entries.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each file
-    starts, at = [], 0
-    for k in sorted(sizes):
-        starts += [F.lit(k), F.lit(at)]
-        at += sizes[k]
-    before = F.element_at(F.create_map(*starts), F.col("file")) if starts else F.lit(0)
-    made = F.format_string(database.upper() + "-%04d", before + F.col("row") + 1)
+    sizes = entries.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))  # a row for each file
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = rows.join(F.broadcast(sizes), "file")
+    made = F.format_string(database.upper() + "-%04d", F.col("_before") + F.col("row") + 1)
     constants["source_id"] = F.coalesce(F.nullif(constants["source_id"], F.lit("")), made)
     return rows.select(F.struct("file", "row").alias("seq"), *[(out | constants)[c].alias(c) for c in CANONICAL])
 
 
 def read_nbib(spark: SparkSession, path: str) -> DataFrame:
-    """`nbib_tags` of the files of a folder."""
-    return nbib_tags(files(spark, path, (".nbib",)))
+    """file, row and tags of all records of a folder's files, which are read in byte ranges."""
+
+    @F.pandas_udf("array<array<struct<tag:string,value:string>>>")
+    def parsed(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [[{"tag": x, "value": v} for x, v in r] for r in parse_nbib(t)])
+
+    rows = splits.records(splits.text_lines(spark, path, (".nbib",)), splits.NBIB)
+    rows = keep(rows.select("path", "name", "begin", "n", F.explode(parsed("text")).alias("tags")), "tags")
+    return splits.numbered(rows).join(F.broadcast(file_numbers(spark, path, (".nbib",))), "name").select("file", "row", "tags")
 
 
 def nbib_tags(contents: DataFrame) -> DataFrame:
@@ -233,13 +222,13 @@ def nbib_records(records: DataFrame) -> DataFrame:
 
 
 def decode(data: bytes) -> str:
-    """The first encoding that fits: UTF-8 with or without a mark, then Latin-1."""
-    for encoding in ("utf-8-sig", "utf-8", "latin-1"):
-        try:
-            return data.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return data.decode("cp1252", "replace")
+    """The first encoding that fits: UTF-16 where a mark says so, UTF-8 with or without a mark, then Latin-1, which fits all."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16", "replace")
+    try:
+        return data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
 
 def sniff(sample: str) -> str:
@@ -276,9 +265,33 @@ def parse_workbook(data: bytes) -> list[list[str]]:
     return rows
 
 
+DELIMITED = (".csv", ".txt", ".tsv")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """`table_cells` of the files of a folder."""
-    return table_cells(files(spark, path, (".csv", ".txt", ".tsv", ".xlsx")))
+    """file, row and cells (header -> text) of the tables of a folder. Delimited text is read in byte ranges, workbooks file by file."""
+    suffixes = (*DELIMITED, ".xlsx")
+    numbers = F.broadcast(file_numbers(spark, path, suffixes))
+    books = table_cells(files(spark, path, (".xlsx",)).drop("file").join(numbers, "name"))
+    return read_delimited(spark, path).join(numbers, "name").select("file", "row", "cells").unionByName(books)
+
+
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+    """name, row and cells of delimited files. The delimiter of each is found in its first lines."""
+    lines = splits.text_lines(spark, path, DELIMITED)
+    signs = {r["path"]: sniff(decode(bytes(r["head"]))) for r in splits.heads(lines).collect()}  # a row for each file
+    found = keep(splits.records(lines, splits.DELIMITED, signs), "lines")
+
+    @F.pandas_udf("array<string>")
+    def parsed(path: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([next(csv.reader(io.StringIO(t, newline=""), delimiter=signs.get(p, ",")), []) for p, t in zip(path, text, strict=True)])
+
+    rows = keep(found.where("n > 0").select("path", "name", "begin", "n", "line", parsed("path", "text").alias("values")), "values")
+    top = rows.where("line = 0").select("path", F.col("values").alias("headers"))
+    rows = rows.where((F.col("line") > 0) & F.exists("values", lambda v: v != "")).join(F.broadcast(top), "path")
+    size = F.least(F.size("headers"), F.size("values"))
+    cells = F.transform(F.arrays_zip(F.slice("headers", 1, size), F.slice("values", 1, size)), lambda x: F.struct(x["0"].alias("header"), x["1"].alias("value")))
+    return splits.numbered(rows.withColumn("cells", cells)).select("name", "row", "cells")
 
 
 def table_cells(contents: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ import zipfile
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from codexa import queries as own
 from codexa.plans import enrichment as en
@@ -20,11 +19,11 @@ def write(folder, name, text):
 
 
 def test_bibtex(spark, tmp_path):
-    write(tmp_path, "b.bib", "@string{j = {Journal}}\n@article{k1, title={A {B} c}, journal = j # \" X\", year=2020, note={n}, DOI={10.1/Z}}\n@comment{x}\n@inproceedings{, title = \"Q\"}")
+    write(tmp_path, "b.bib", "@string{j = {Journal}}\n@article{k1, title={A {B} c}, journal = j # \" X\", year=2020, note={n}, DOI={https://doi.org/10.1234/Z}}\n@comment{x}\n@inproceedings{, title = \"Q\"}")
     write(tmp_path, "a.BIB", "@book{z, title={First}, keyword={p}, keywords={q}}")
     rows = src.bibtex_records(src.read_bibtex(spark, str(tmp_path)), "acm").orderBy("seq").collect()
     assert [r.title for r in rows] == ["First", "A {B} c", "Q"]
-    assert rows[0].keywords == "q; p" and rows[1].publication == "Journal X" and rows[1].keywords == "" and rows[1].doi == "10.1/Z"
+    assert rows[0].keywords == "q; p" and rows[1].publication == "Journal X" and rows[1].keywords == "" and rows[1].doi == "10.1234/z"
     assert rows[2].document_type == "inproceedings"
 
 
@@ -42,7 +41,7 @@ def test_bibtex_junk_fails_and_many_entries_are_quick():
     (entry,) = src.parse_bibtex("@article{k, title={T}, year=2020 %junk note={y}}")
     assert entry["error"] == "ParsingFailedBlock"
     began = time.time()
-    found = list(src.parse_bibtex("@article{k,\n title={T},\n}\n\n" * 20_000))
+    found = list(src.parse_bibtex("".join(f"@article{{k{i},\n title={{T}},\n}}\n\n" for i in range(20_000))))
     assert len(found) == 20_000 and found[-1]["line"] == 4 * 19_999 and not found[-1]["error"] and time.time() - began < 5
 
 
@@ -98,6 +97,3 @@ def test_query_equals_sql(spark, name):
     assert same(own.QUERIES[name](spark, DATA).toPandas(), con.sql(own.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["internal_dedup", "master_upsert", "springer_merge"])
-def test_fold_queries_run(spark, name):
-    assert own.QUERIES[name](spark, DATA).agg(F.count(F.lit(1))).first()[0] > 0

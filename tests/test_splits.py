@@ -1,0 +1,210 @@
+"""Byte ranges of any size give what whole files give; the grammar of BibTeX against a slow reader."""
+
+import csv
+import io
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from codexa.sources import bibliography as src
+from codexa.sources import bibtex, splits
+
+
+def errors(text):
+    return [(e["line"] + 1, e["error"]) for e in bibtex.parse(text) if e["error"]]
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("@article{k title={A}}", [(1, "ParsingFailedBlock")]),
+        ("@article{k, title={A} year={2}}", [(1, "ParsingFailedBlock")]),
+        ('@article{a, title="A}\n@article{b, title={B}}', [(1, "ParsingFailedBlock")]),
+        ("@article{a, title={A}\n\n@article{b, title={B}}\n@article{b, title={C}}", [(1, "ParsingFailedBlock"), (4, "DuplicateBlockKeyBlock")]),
+        ("@article{a,\n title={A},\n title={B}}", [(1, "DuplicateFieldKeyBlock")]),
+        ("@string{s={1}}\n@string{S={2}}", [(2, "DuplicateBlockKeyBlock")]),
+        ("@comment{never closed\n@article{a, title={A}}", [(1, "ParsingFailedBlock")]),
+        ("@article{a,, title={A}}", [(1, "ParsingFailedBlock")]),
+        ("@article{a, title}", [(1, "ParsingFailedBlock")]),
+        ("@article{a, title={A}", [(1, "ParsingFailedBlock")]),
+        ("@article{a, title={A} # }", [(1, "ParsingFailedBlock")]),
+        ("@article{a, year=2020 %junk note={y}}", [(1, "ParsingFailedBlock")]),
+        ("@article{a}\n@article{, title={x}}\n@article{, title={y},}\nfree text, me@home{ no block", [(4, "ParsingFailedBlock")]),
+        ("", []),
+        ("no blocks at all {", []),
+        ("@article{a, title={mail me @home{x}}}", []),
+        ("@book(b, title={(}, note = \"a {\"} b\") @misc{c, author keywords = {x; y}, year = }", []),
+        ('@article{a, title = {a \\} b \\{}, note = "c \\" d"}', []),
+    ],
+)
+def test_grammar(text, found):
+    assert errors(text) == found
+
+
+def test_values():
+    text = '@string{one = {First}}\n@STRING{two = one # " second"}\n@article{a, title = two # { x} # 3, Journal = ONE, month = jan, doi = {10.1/x}, empty = }'
+    (entry,) = bibtex.parse(text)
+    assert {f["name"]: f["value"] for f in entry["fields"]} == {"title": "First second x3", "Journal": "First", "month": "jan", "doi": "10.1/x", "empty": ""}
+    (a,) = bibtex.parse("@article{a, t={1}, copyright={x}, Copyright={y}}", frozenset({"copyright"}))
+    assert not a["error"] and [f["value"] for f in a["fields"]] == ["1", "x"]
+
+
+def slow(text):
+    """Reads single blocks of the plain kind, character by character: type, key, fields, or None where the block is broken."""
+    m = re.match(r"@(\w+)\{", text)
+    at, depth, key = m.end(), 0, ""
+    while at < len(text) and text[at] not in '{}",=':
+        key += text[at]
+        at += 1
+    if at == len(text) or text[at] not in ",}":
+        return None
+    out, state, name, value = [], "name", "", ""
+    if text[at] == "}":
+        return m[1], key.strip(), out
+    at += 1
+    while at < len(text):
+        c = text[at]
+        if state == "name":
+            if c == "=":
+                if not name.strip():
+                    return None
+                state = "before"
+            elif c == "}" and not name.strip():
+                return m[1], key.strip(), out
+            elif c in '{}",':
+                return None
+            else:
+                name += c
+        elif state == "before":
+            if c == "{":
+                state, depth, value = "braces", 1, ""
+            elif c == '"':
+                state, depth, value = "quotes", 0, ""
+            elif c in ",}":
+                state, value = "behind", ""
+                continue
+            elif not c.isspace():
+                return None  # words are left to the other tests
+        elif state == "braces":
+            depth += {"{": 1, "}": -1}.get(c, 0)
+            if depth:
+                value += c
+            else:
+                state = "behind"
+        elif state == "quotes":
+            if c == '"' and depth <= 0:
+                state = "behind"
+            else:
+                depth += {"{": 1, "}": -1}.get(c, 0)
+                value += c
+        elif state == "behind" and not c.isspace():
+            if c not in ",}":
+                return None
+            out.append((name.strip(), value))
+            name, value, state = "", "", "name"
+            if c == "}":
+                return m[1], key.strip(), out
+        at += 1
+    return None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='ab {}",=\n', max_size=40), st.booleans())
+def test_blocks_equal_the_slow_reader(body, closed):
+    text = "@article{" + body + ("}" if closed else "")
+    found = list(bibtex.blocks(text))
+    want = slow(text)
+    if want is None:
+        # words as values are no errors to the reader here
+        assert found[0]["error"] == "ParsingFailedBlock" or any(ref for _, parts in found[0]["fields"] for _, ref in parts)
+    else:
+        assert (found[0]["type"], found[0]["key"]) == want[:2] and found[0]["error"] in ("", "DuplicateFieldKeyBlock")
+        first = {}
+        for n, v in want[2]:
+            first.setdefault(n.lower(), (n, v))
+        assert [(n, "".join(t for t, _ in p)) for n, p in found[0]["fields"]] == list(first.values())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='ab,;"\n ', max_size=60), st.sampled_from(",;"))
+def test_records_of_delimited_text(text, delimiter):
+    """Records begin where the csv module's rows do."""
+    lines = text.split("\n")
+    state, starts = 0, []
+    for k, line in enumerate(lines):
+        if state == 0:
+            starts.append(k)
+        state = splits.quoted_after(line, state, delimiter)
+    rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))
+    cut = ["\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)])]
+    got = [next(csv.reader(io.StringIO(t, newline=""), delimiter=delimiter), []) for t in cut]
+    assert [r for r in got if r] == [r for r in rows if r]
+
+
+def files(tmp_path):
+    r = random.Random(7)
+    entries = ["@string{pub = {Press}}\n"]
+    for k in range(30):
+        body = "".join(r.choice(["x", " ", "\n", "{y}", "a@home{z}", "é", ","]) for _ in range(r.randrange(60)))
+        entries.append(f"@article{{k{k},\n  title = {{T{k} {body}}},\n  publisher = pub # {{ {k}}},\n  year = 20{k % 90 + 10}\n}}" + r.choice(["\n", "\n\n", "  "]) + r.choice(["", "note\n"]))
+    (tmp_path / "b.bib").write_text("﻿" + "".join(entries), encoding="utf-8")
+    (tmp_path / "A.bibtex").write_text("@book{z, title={Last}}\r\n@book{y, title={Two\r\n lines}}", encoding="utf-8")
+    (tmp_path / "empty.bib").write_text("")
+    nbib = "".join(f"PMID- {k}\nTI  - Title {k}\n      {'more ' * r.randrange(9)}\n{'AB  - ' + 'w' * r.randrange(90) + chr(10) if k % 3 else ''}" + "\n" * r.randrange(1, 4) for k in range(25))
+    (tmp_path / "p.nbib").write_text("\n\n" + nbib)
+    rows = [["Title", "EID", "Abstract"]] + [[f'T "{k}"', str(k), "".join(r.choice(['a', '"', "\n", ";", " "]) for _ in range(r.randrange(40)))] for k in range(30)]
+    with open(tmp_path / "t.csv", "w", newline="") as f:
+        csv.writer(f, delimiter=";", lineterminator="\n").writerows(rows[:15] + [["", "", ""], []] + rows[15:])
+    (tmp_path / "l.TSV").write_bytes('Title\tEID\nCaf\xe9 5" disk\t1\n"x\ty"z\t2\n'.encode("latin-1"))
+
+
+@pytest.mark.parametrize("size", [250, 1 << 20])
+def test_ranges_of_any_size(spark, tmp_path, size):
+    files(tmp_path)
+    conf, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(conf, str(size))
+    try:
+        path = f"file://{tmp_path}"
+        got = sorted((r.file, r.row, r.line, r.type, r.key, [(f.name, f.value) for f in r.fields]) for r in src.read_bibtex(spark, path).collect())
+        tags = sorted((r.file, r.row, [(t.tag, t.value) for t in r.tags]) for r in src.read_nbib(spark, path).collect())
+        cells = sorted((r.file, r.row, [(c.header, c.value) for c in r.cells]) for r in src.read_table(spark, path).collect())
+    finally:
+        spark.conf.set(conf, before)
+    want = []
+    for k, name in enumerate(["A.bibtex", "b.bib", "empty.bib"]):
+        for row, e in enumerate(bibtex.parse((tmp_path / name).read_bytes().decode("utf-8-sig"))):
+            assert not e["error"]
+            want.append((k, row, e["line"], e["type"], e["key"], [(f["name"], f["value"]) for f in e["fields"]]))
+    assert got == sorted(want) and len(got) == 32
+    assert tags == [(0, k, r) for k, r in enumerate(src.parse_nbib((tmp_path / "p.nbib").read_text()))]
+    want = []
+    for k, name in enumerate(["l.TSV", "t.csv"]):
+        rows = [r for r in src.parse_delimited((tmp_path / name).read_bytes()) if r]
+        want += [(k, n, list(zip(rows[0], r))) for n, r in enumerate([r for r in rows[1:] if any(r)])]
+    assert cells == sorted(want) and len(cells) == 32
+
+
+def test_rejected_blocks_over_ranges(spark, tmp_path):
+    good = "".join(f"@article{{k{k}, title={{T}}}}\n" for k in range(20))
+    (tmp_path / "a.bib").write_text(good + "@article{bad title={x}}\n" + good)
+    (tmp_path / "b.bib").write_text(good)
+    conf, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(conf, "100")
+    try:
+        with pytest.raises(ValueError, match=r"a.bib: 21 rejected block\(s\). line 21: ParsingFailedBlock; line 22: DuplicateBlockKeyBlock; line 23: "):
+            src.read_bibtex(spark, f"file://{tmp_path}")
+    finally:
+        spark.conf.set(conf, before)
+
+
+def test_encodings():
+    assert src.decode("Título".encode("utf-16")) == "Título" and src.decode(b"\xef\xbb\xbfx") == "x" and src.decode(b"Caf\xe9") == "Café"
+
+
+def test_nothing_to_read(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    (tmp_path / "other.md").write_text("x")
+    assert src.read_bibtex(spark, path).count() == src.read_nbib(spark, path).count() == src.read_table(spark, path).count() == 0
