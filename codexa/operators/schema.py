@@ -119,35 +119,35 @@ def standardize(df: DataFrame, database: str = "", seq: str = "seq") -> DataFram
 
 
 def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
-    """The rows, kept, in ranges of the order, with `_position` 1, 2, ... and `_before`, the row before in the same range as a struct of
+    """The rows, kept, in ranges of the order, with `__position` 1, 2, ... and `__before`, the row before in the same range as a struct of
     the order: ranges are sorted by themselves, and their row counts (one for each partition) give where each starts."""
     from .resolve import keep
 
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = keep(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    part = keep(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     starts, at = [], 0
-    for r in part.groupBy("_part").count().orderBy("_part").collect():
-        starts.append((r["_part"], at))
+    for r in part.groupBy("__part").count().orderBy("__part").collect():
+        starts.append((r["__part"], at))
         at += r["count"]
-    inside = W.partitionBy("_part").orderBy(*order)
-    rows = part.withColumns({"_row": F.row_number().over(inside), "_before": F.lag(F.struct(*order)).over(inside)})
-    rows = rows.join(F.broadcast(spark.createDataFrame(starts, "_part int, _start long")), "_part")
-    return rows.withColumn("_position", F.col("_start") + F.col("_row")).drop("_part", "_start", "_row")
+    inside = W.partitionBy("__part").orderBy(*order)
+    rows = part.withColumns({"__row": F.row_number().over(inside), "__before": F.lag(F.struct(*order)).over(inside)})
+    rows = rows.join(F.broadcast(spark.createDataFrame(starts, "__part int, __start long")), "__part")
+    return rows.withColumn("__position", F.col("__start") + F.col("__row")).drop("__part", "__start", "__row")
 
 
 def ranked(df: DataFrame, order: str = "seq") -> DataFrame:
     """Adds `position`, 1, 2, ... in the given order, without one window over all rows: positions are worked out for the order's
     values alone and joined back. A repeated value is an error when the rows are read."""
-    same = F.col("_before") == F.struct(order)
+    same = F.col("__before") == F.struct(order)
     twice = F.raise_error(F.concat(F.lit(f"repeated {order}: "), F.to_json(F.struct(order)))).cast("long")
-    placed = _ranges(df.select(order), [order]).select(order, F.when(same, twice).otherwise(F.col("_position")).alias("position"))
+    placed = _ranges(df.select(order), [order]).select(order, F.when(same, twice).otherwise(F.col("__position")).alias("position"))
     return df.join(placed, order)
 
 
 def numbered(df: DataFrame) -> DataFrame:
     """Adds `position`, 1, 2, ... in the order of all columns; equal rows get numbers of their own, and it does not matter which."""
-    return _ranges(df, df.columns).withColumnRenamed("_position", "position").drop("_before")
+    return _ranges(df, df.columns).withColumnRenamed("__position", "position").drop("__before")
 
 
 def fallback_ids(df: DataFrame, database: str) -> DataFrame:

@@ -9,9 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import re
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import DATABASES, clean_bibtex_value, extract_doi, extract_doi_from_values, safe_text
 from ..operators.resolve import keep
 from ..operators.schema import CANONICAL, EXPORTS, map_export
-from . import bibtex, splits
+from . import bibtex, splits, workbooks
 
 ENTRY = "array<struct<line:int,type:string,key:string,fields:array<struct<name:string,value:string>>,error:string>>"
 
@@ -243,36 +241,14 @@ def parse_delimited(data: bytes) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text, newline=""), delimiter=sniff(text[:8192])))
 
 
-def parse_workbook(data: bytes) -> list[list[str]]:
-    """Rows of the first sheet of an .xlsx file, as text."""
-    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iterfind(".//m:t", space)) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", space)]
-        sheet = min(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        rows = []
-        for row in ElementTree.fromstring(z.read(sheet)).iterfind(".//m:row", space):
-            cells: dict[int, str] = {}
-            for k, c in enumerate(row.iterfind("m:c", space)):
-                place = 0
-                for letter in re.sub(r"\d", "", c.get("r", "")):
-                    place = place * 26 + ord(letter) - 64
-                value, inline = c.find("m:v", space), c.find("m:is", space)
-                text = "".join(t.text or "" for t in inline.iterfind(".//m:t", space)) if inline is not None else (value.text or "" if value is not None else "")
-                cells[place - 1 if place else k] = shared[int(text)] if c.get("t") == "s" and text else text
-            rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-    return rows
-
-
 DELIMITED = (".csv", ".txt", ".tsv")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """file, row and cells (header -> text) of the tables of a folder. Delimited text is read in byte ranges, workbooks file by file."""
-    suffixes = (*DELIMITED, ".xlsx")
+    suffixes = (*DELIMITED, *WORKBOOKS)
     numbers = F.broadcast(file_numbers(spark, path, suffixes))
-    books = table_cells(files(spark, path, (".xlsx",)).drop("file").join(numbers, "name"))
+    books = workbook_cells(files(spark, path, WORKBOOKS).drop("file").join(numbers, "name"))
     return read_delimited(spark, path).join(numbers, "name").select("file", "row", "cells").unionByName(books)
 
 
@@ -294,18 +270,34 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return splits.numbered(rows.withColumn("cells", cells)).select("name", "row", "cells")
 
 
+WORKBOOKS = (".xlsx", ".xls")
+
+
 def table_cells(contents: DataFrame) -> DataFrame:
-    """file, row and cells (header -> text) of .csv, .txt, .tsv and .xlsx files (name, file, content); all values stay text."""
+    """file, row and cells (header -> text) of .csv, .txt, .tsv, .xlsx and .xls files (name, file, content); all values are text."""
 
     @F.pandas_udf("array<array<struct<header:string,value:string>>>")
-    def parsed(name: pd.Series, content: pd.Series) -> pd.Series:
+    def parsed(content: pd.Series) -> pd.Series:
         out = []
-        for n, b in zip(name, content, strict=True):
-            rows = parse_workbook(b) if n.lower().endswith(".xlsx") else parse_delimited(b)
+        for b in content:
+            rows = [r for r in parse_delimited(b) if r]
             out.append([[{"header": h, "value": v} for h, v in zip(rows[0], r, strict=False)] for r in rows[1:] if any(r)] if rows else [])
         return pd.Series(out)
 
-    return contents.select("file", F.posexplode(parsed("name", "content")).alias("row", "cells"))
+    book = F.lower("name").rlike(r"\.xlsx?$")
+    plain = contents.where(~book).select("file", F.posexplode(parsed("content")).alias("row", "cells"))
+    return plain.unionByName(workbook_cells(contents.where(book)))
+
+
+def workbook_cells(contents: DataFrame) -> DataFrame:
+    """file, row and cells of the first sheets of workbooks; rows are numbered as they come, behind the first one, which has the headers."""
+    rows = keep(workbooks.sheet_rows(contents), "sheets")
+    top = rows.groupBy("file").agg(F.min_by("values", "row").alias("headers"), F.min("row").alias("top"))  # a row for each file
+    rows = rows.join(F.broadcast(top), "file").where(F.col("row") > F.col("top"))
+    size = F.least(F.size("headers"), F.size("values"))
+    cells = F.transform(F.arrays_zip(F.slice("headers", 1, size), F.slice("values", 1, size)), lambda x: F.struct(x["0"].alias("header"), x["1"].alias("value")))
+    place = F.row_number().over(W.partitionBy("file").orderBy("row")) - 1  # a sheet has a million rows at most
+    return rows.select("file", place.alias("row"), cells.alias("cells"))
 
 
 def cell(header: str):
