@@ -5,12 +5,15 @@ unlabelled text (U). With class prior pi the risk is ``pi * R_P(+) + max(0, R_U(
 part turns negative, the step goes the other way (Kiryo et al., 2017). The weights are those of the least risk; as scores
 are read against a fixed threshold, the offset is set once more at the end, so that the mean score of U is the prior.
 
-U is text of the rows that the label table covers, with their labels left aside, so that the prior, which is the share of
-toxic rows there, is that of U. Both P and U are drawn by hashes, with documented bounds in documents and bytes.
+U is drawn from all documents outside the held-out fold, whether the label table covers them or not, and no label of them is
+used. The prior is that of this population: the share of toxic rows among its documents that have a label, as an estimate that
+takes labels to be given without regard to the text. P and U are drawn by hashes of the ids, with documented bounds in documents
+and bytes.
 
 Defined results: a null or empty text gets the score of a document without features; equal texts get equal scores;
-repeated rows are scored each, and count once in training; a null id is scored and never held out; without any confirmed
-example every score is 0; a text of any length is scored whole; an empty table gives an empty result. Other columns are
+repeated rows are scored each, and count once in training; a null id is scored, never held out and never drawn; without any
+confirmed example every score is 0, and with confirmed examples alone nothing tells them from other text, so every score is the
+prior; a text of any length is scored whole; an empty table gives an empty result. Other columns are
 neither read nor returned by `score`; `keep_clean` returns them as they are.
 """
 
@@ -136,14 +139,16 @@ def calibrated(f: np.ndarray, prior: float) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES, members: int = 2) -> Model:
-    """Trains on at most `max_positive` confirmed toxic documents and `max_unlabelled` documents whose labels are not used."""
-    known = training_labels(labels, "toxic", FOLDS, HELD_OUT)
+    """Trains on about `max_positive` confirmed toxic documents and `max_unlabelled` of all documents at most."""
+    ids = docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id")
+    known = training_labels(labels, "toxic", FOLDS, HELD_OUT).join(ids, "doc_id", "left_semi")
     n, toxic = known.agg(F.count("*"), F.sum("y")).first()
     if not toxic:
         return Model(np.zeros((0, 1 << BITS)), np.zeros(0), 0.0)
     prior = min(max(toxic / n, 1e-3), 0.9)
-    confirmed = (F.col("y") == 1) & (unit(F.col("doc_id"), seed=5) < share(toxic, max_positive))
-    picked = known.select("doc_id", confirmed.alias("p"), (unit(F.col("doc_id"), seed=13) < share(n, max_unlabelled)).alias("u")).where("p or u")
+    confirmed = known.where((F.col("y") == 1) & (unit(F.col("doc_id"), seed=5) < share(toxic, max_positive))).select("doc_id", F.lit(True).alias("p"), F.lit(False).alias("u"))
+    drawn = ids.where(unit(F.col("doc_id"), seed=13) < share(ids.count(), max_unlabelled)).select("doc_id", F.lit(False).alias("p"), F.lit(True).alias("u"))
+    picked = confirmed.unionByName(drawn).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))  # of about as many ids as the bounds say
 
     def indicators(x):
         idx, at = features(x)
@@ -152,11 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     rows = drawn_rows(docs, picked, indicators, {"p": max_positive, "u": max_unlabelled}, max_bytes)
     pos, unl = ([np.frombuffer(f, np.uint32) for f in rows[k]] for k in ("p", "u"))
     if not pos or not unl:
-        if docs.join(F.broadcast(picked), "doc_id", "left_semi").where("doc_id is not null").isEmpty():
-            return Model(np.zeros((0, 1 << BITS)), np.zeros(0), prior)  # no labelled document is in the table
-        if not pos:
-            return Model(np.zeros((0, 1 << BITS)), np.zeros(0), prior)
-        unl = pos
+        return Model(np.zeros((1, 1 << BITS), np.float32), np.array([np.log(prior / (1 - prior))]), prior)
     made = [nnpu(pos, unl if members == 1 else [x for i, x in enumerate(unl) if i % (members + 1) != k] or unl, prior) for k in range(members)]
     return Model(np.stack([w for w, _ in made]).astype(np.float32), np.array([b for _, b in made]), prior)
 
