@@ -740,3 +740,6 @@ def pending_records(spark, sf_dir):
 @query("completed_ids", DECIDED + "SELECT master_id FROM res WHERE api_status <> 'API_ERROR'")
 def completed_ids(spark, sf_dir):
     return cp.completed_ids(screened(spark, sf_dir))
+
+
+from . import run_queries  # noqa: E402, F401
