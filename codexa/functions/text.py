@@ -50,7 +50,8 @@ def _strip_accents(s: pd.Series) -> pd.Series:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.pandas_udf(_strip_accents, "string")(c)
+    """NFKD without combining characters. Python sees only values that are not plain ASCII; the others pass natively."""
+    return F.coalesce(F.pandas_udf(_strip_accents, "string")(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def _unescape(s: pd.Series) -> pd.Series:

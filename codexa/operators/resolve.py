@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import format_master_id, master_number, normalize_database, normalize_doi, normalize_title, safe_text
@@ -282,6 +283,31 @@ def fold(rows: DataFrame, policy: Policy) -> DataFrame:
     return folded.unionByName(alone)
 
 
+def two_smallest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, first and second: the two smallest distinct values of each group (second is null where there is one). Spark keeps two rows of a
+    group in each task before it shuffles, so a hot group costs no more than others."""
+    w = W.partitionBy(*keys).orderBy(value)
+    best = rows.select(*keys, value).withColumn("_n", F.dense_rank().over(w)).where("_n <= 2")
+    return best.groupBy(*keys).agg(F.min(value).alias("first"), F.min(F.when(F.col("_n") == 2, F.col(value))).alias("second"))
+
+
+def single_earlier(rows: DataFrame, same: tuple, agree: tuple) -> DataFrame:
+    """seq and matched, for the rows that have exactly one earlier row (by seq, which is unique) equal in the columns `same` and not differing
+    in the columns `agree`, where a blank differs from nothing.
+
+    Rows equal in all of these columns form a class, of which only its two smallest seqs matter; classes of equal `same` are held
+    against each other, not rows. A class' two smallest seqs over all classes that agree with it tell for each of its rows
+    whether one earlier row is there (the first lies before it, the second does not)."""
+    keys = [*same, *agree]
+    classes = keep(two_smallest(rows, keys, "seq"), "classes")
+    other = classes.select(*[F.col(c).alias(f"o_{c}") for c in keys], F.array("first", "second").alias("o_seqs"))
+    meet = [F.col(c) == F.col(f"o_{c}") for c in same] + [(F.col(c) == F.col(f"o_{c}")) | (F.col(c) == "") | (F.col(f"o_{c}") == "") for c in agree]
+    seqs = classes.select(*keys).join(other, meet).select(*keys, F.explode("o_seqs").alias("seq")).where("seq is not null")
+    found = two_smallest(seqs, keys, "seq")
+    one = (F.col("first") < F.col("seq")) & (F.col("second").isNull() | (F.col("second") >= F.col("seq")))
+    return rows.join(found, keys).where(one).select("seq", F.col("first").alias("matched"))
+
+
 def internal_dedup(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unique records and the report of duplicates of one database."""
     done = keep(fold(rows.withColumn("existing", F.lit(False)), INTERNAL), "internal")

@@ -6,15 +6,20 @@ answers that runs in mapInPandas; the default one looks answers up in a table, s
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_html, keywords_of_payload, normalize_doi, safe_text
+from ..operators.resolve import shared_path
 from ..operators.schema import ranked
 
 #: The cap on calls of one run, and statuses after which a record is not asked for again.
@@ -52,22 +57,57 @@ def http_status(code: Column, payload: Column) -> Column:
     return F.when(code == 404, "NOT_FOUND").when(code == 429, "RATE_LIMIT").when(code.isin(401, 403), "AUTH_OR_QUOTA_ERROR").when(code == 200, found).otherwise("ERROR")
 
 
-def call(planned: DataFrame, provider: Callable[[str], tuple[str, dict | None, str]], pause: float = 0.0, partitions: int = 1) -> DataFrame:
-    """Answers (seq, status, payload, error) of the planned calls, in order within a partition; a stopping status ends its partition."""
-    rows = planned.where("call is not null").select("seq", normalize_doi(F.col("doi")).alias("doi"), "call").repartitionByRange(partitions, "call").sortWithinPartitions("call")
+class StopFlag:
+    """A file in the shared folder that tells all tasks of a run to stop."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self) -> bool:
+        store, at = fs.FileSystem.from_uri(self.path)
+        return store.get_file_info(at).type != fs.FileType.NotFound
+
+    def up(self) -> None:
+        store, at = fs.FileSystem.from_uri(self.path)
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(at):
+            pass
+
+
+def paced(calls: Iterable[tuple[int, str]], provider: Callable, pause: float, index: int, partitions: int, begin: float, stopped: Callable[[], bool], stop: Callable[[], None], clock: Callable[[], float] = time.time, wait: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
+    """Answers of the calls (seq, doi) that one of several tasks makes. Time from `begin` is cut into slots of `pause` seconds, of which
+    each task owns every `partitions`-th; a call takes the task's next slot that has not begun, so all tasks together make one
+    call in each slot at most, however long calls take and without asking each other. A stopping status stops all of them
+    before their next calls."""
+    turn = -1
+    for seq, doi in calls:
+        if stopped():
+            return
+        if pause:
+            turn = max(turn + 1, math.ceil(((clock() - begin) / pause - index) / partitions))
+            wait(max(0.0, begin + (index + turn * partitions) * pause - clock()))
+            if stopped():
+                return
+        status, record, error = provider(doi)
+        if status in STOP:
+            stop()
+        yield seq, status, json.dumps(record) if record is not None else None, error
+
+
+def call(planned: DataFrame, provider: Callable[[str], tuple[str, dict | None, str]], pause: float = 0.0, partitions: int = 1, clock: Callable[[], float] = time.time, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Answers (seq, status, payload, error) of the planned calls. Calls are dealt to the partitions in turn, by their numbers, and made as
+    `paced` says, by the machines' clocks. The cap on calls is the plan's, so it holds over all partitions. The flag belongs to one
+    plan of calls: what is returned is to be written once."""
+    flag, begin = StopFlag(shared_path(planned.sparkSession, "stop")), clock()
+    rows = planned.where("call is not null").select("seq", normalize_doi(F.col("doi")).alias("doi"), "call")
+    rows = rows.repartitionById(partitions, ((F.col("call") - 1) % partitions).cast("int")).sortWithinPartitions("call")
 
     def run(frames):
-        stopped = False
-        for pdf in frames:
-            out = []
-            for seq, doi in zip(pdf["seq"], pdf["doi"], strict=True):
-                if stopped:
-                    break
-                status, record, error = provider(doi)
-                out.append((seq, status, json.dumps(record) if record is not None else None, error))
-                stopped = status in STOP
-                time.sleep(pause)
-            yield pd.DataFrame(out, columns=["seq", "status", "payload", "error"]).astype({"status": object, "payload": object, "error": object})
+        index = TaskContext.get().partitionId()
+        calls = ((seq, doi) for pdf in frames for seq, doi in zip(pdf["seq"].tolist(), pdf["doi"], strict=True))
+        out = paced(calls, provider, pause, index % partitions, partitions, begin, flag, flag.up, clock, wait)
+        while part := list(itertools.islice(out, 100)):
+            yield pd.DataFrame(part, columns=["seq", "status", "payload", "error"]).astype({"status": object, "payload": object, "error": object})
 
     return rows.mapInPandas(run, ANSWER)
 

@@ -43,6 +43,9 @@ def decision(lexicons: Lexicons = Lexicons()) -> Column:
     sig = calibrated(text, lexicons)
     made = lambda d, key: F.struct(F.lit(d).alias("decision"), F.lit(REASONS[key]).alias("reason"), F.lit(key if key.startswith("RESGATE") else "").alias("rescue_code"))
     known = i.isin("EXPLICIT_IOT", "FUNCTIONALLY_COMPATIBLE")
+    incomplete = (s == "NO") & (m == "NO") & (g == "NO") & (h == "YES") & (a == "NO") & (known | (i == "UNCERTAIN"))
+    # the cue folds accents in Python, which runs for all rows; those that the labels rule out give it nothing
+    omission = omission_cue(F.when(incomplete, F.col("evidence_ai")), F.when(incomplete, F.col("notes")))
     rules = [
         ((g == "YES") & (m == "YES"), "UNCERTAIN", "contradiction"),
         (s == "YES", "EXCLUDE", "secondary"),
@@ -50,11 +53,7 @@ def decision(lexicons: Lexicons = Lexicons()) -> Column:
         ((g == "YES") & (h == "YES") & (a == "YES") & (i == "NO") & sig["acquisition"], "UNCERTAIN", "RESGATE_IOT_3_DE_4"),
         ((h == "YES") & (a == "YES") & ((g == "NO") | (i == "NO")) & sig["interaction"] & sig["acquisition"], "UNCERTAIN", "RESGATE_MULTIMODAL"),
         ((g == "NO") & (h == "YES") & a.isin("YES", "UNCERTAIN") & known & sig["stimulation"] & sig["assistive"], "UNCERTAIN", "RESGATE_AAL_ESTIMULACAO"),
-        (
-            (s == "NO") & (m == "NO") & (g == "NO") & (h == "YES") & (a == "NO") & (known | (i == "UNCERTAIN")) & sig["acquisition"] & sig["assistive"] & stimulation_cue(text) & omission_cue(F.col("evidence_ai"), F.col("notes")),
-            "UNCERTAIN",
-            "RESGATE_AAL_METADADOS_INCOMPLETOS",
-        ),
+        (incomplete & sig["acquisition"] & sig["assistive"] & stimulation_cue(text) & omission, "UNCERTAIN", "RESGATE_AAL_METADADOS_INCOMPLETOS"),
         *[(c == "NO", "EXCLUDE", key) for c, key in ((g, "serious_game"), (h, "health"), (a, "ai"), (i, "iot"))],
         (F.array_contains(F.array(g, m, h, a, i, s), "UNCERTAIN"), "UNCERTAIN", "uncertain"),
     ]

@@ -308,11 +308,7 @@ def origin_match(spark, sf_dir):
     slug = tx.normalize_database(F.col("database"))
     again = k.where("seq % 3 = 1").withColumns({"seq": F.col("seq") + AGAIN, "database": slug, "doi_key": F.lit(""), "year": F.when(F.col("seq") % 7 == 0, "1999").otherwise(F.col("year"))})
     k = k.unionByName(again).withColumn("slug", slug)
-    b = k.select(*[F.col(c).alias(f"b_{c}") for c in k.columns])
-    agree = [(F.col(c) == F.col(f"b_{c}")) | (F.col(c) == "") | (F.col(f"b_{c}") == "") for c in ("doi_key", "volume_key", "authors", "publication", "year")]
-    same = [F.col(c) == F.col(f"b_{c}") for c in ("title_key", "source_id", "slug")]
-    near = k.join(b, [*same, F.col("b_seq") < F.col("seq"), *agree])
-    return near.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("b_seq").alias("matched")).where("n = 1").drop("n")
+    return rs.single_earlier(k, ("title_key", "source_id", "slug"), ("doi_key", "volume_key", "authors", "publication", "year"))
 
 
 @query("dedup_by_doi", KEYED + "SELECT k.seq, f.first AS matched FROM keyed k JOIN (SELECT doi_key, min(seq) AS first FROM keyed WHERE doi_key <> '' GROUP BY doi_key) f USING (doi_key) WHERE k.seq > f.first")
@@ -703,7 +699,7 @@ def saved(spark, sf_dir):
     return rows.withColumn("pos", n).unionByName(again).drop("n")
 
 
-SAVED = DECIDED + """, old AS (SELECT seq, master_id, CASE WHEN api_status = 'API_ERROR' THEN seq % 10 = 6 AND false ELSE true END AS done, CASE WHEN seq % 10 = 6 AND api_status <> 'X' THEN 'RETAIN' ELSE decision END AS decision, api_status FROM res)
+SAVED = DECIDED + """, old AS (SELECT seq, master_id, CASE WHEN seq % 10 = 6 THEN 'RETAIN' ELSE decision END AS decision, api_status FROM res)
 , ok AS (SELECT seq, master_id, api_status, decision, api_status <> 'API_ERROR' AND seq % 10 NOT IN (3, 4) AND (api_status = 'SUCCESS' OR decision = 'UNCERTAIN') AS valid FROM old)
 """
 

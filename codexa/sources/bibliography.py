@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import DATABASES, clean_bibtex_value, extract_doi, extract_doi_from_values, safe_text
+from ..functions.text import DATABASES, clean_bibtex_value, extract_doi, extract_doi_from_values, header_name, safe_text
 from ..operators.resolve import keep
-from ..operators.schema import CANONICAL, EXPORTS, map_export
+from ..operators.schema import CANONICAL, EXPORTS, VOLUME_ALIASES
 from . import bibtex, splits, workbooks
 
 ENTRY = "array<struct<line:int,type:string,key:string,fields:array<struct<name:string,value:string>>,error:string>>"
@@ -241,6 +241,8 @@ def parse_delimited(data: bytes) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text, newline=""), delimiter=sniff(text[:8192])))
 
 
+#: Files whose headers are broadcast to their rows.
+MAX_FILES = 20_000
 DELIMITED = (".csv", ".txt", ".tsv")
 
 
@@ -300,22 +302,29 @@ def workbook_cells(contents: DataFrame) -> DataFrame:
     return rows.select("file", place.alias("row"), cells.alias("cells"))
 
 
-def cell(header: str):
-    return F.coalesce(F.get(F.filter("cells", lambda c: c["header"] == F.lit(header)), 0)["value"], F.lit(""))
-
-
 def table_records(rows: DataFrame, database: str) -> DataFrame:
-    """seq and the canonical columns of a database's tables, each file by its own headers in their order."""
-    headers = rows.groupBy("file").agg(F.first(F.transform("cells", lambda c: c["header"])).alias("h")).collect()  # a row for each file
-    alike: dict[tuple, list[int]] = {}
-    for r in sorted(headers, key=lambda r: r["file"]):
-        alike.setdefault(tuple(dict.fromkeys(r["h"])), []).append(r["file"])
-    out = None
-    for names, own in alike.items():
-        wide = rows.where(F.col("file").isin(own)).select("file", "row", *[cell(n).alias(n or f"_{k}") for k, n in enumerate(names)])
-        part = map_export(wide, database, F.struct("file", "row"), skip=("file", "row"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.select(F.struct("file", "row").alias("seq"), *[F.lit("").alias(c) for c in CANONICAL]).limit(0)
+    """seq and the canonical columns of a database's tables: for each column the first cell with a value under one of its headers, keywords
+    combined, a DOI sought in the whole row. Headers are normalised once for each file and joined to its rows, so the plan does not
+    grow with files or layouts; of equal headers in a file the first counts."""
+
+    @F.pandas_udf("array<string>")
+    def named(headers: pd.Series) -> pd.Series:
+        return headers.map(lambda h: [header_name(x) if x not in list(h)[:k] else "" for k, x in enumerate(h)])
+
+    longest = F.max_by(F.transform("cells", lambda c: c["header"]), F.size("cells"))
+    names = keep(rows.groupBy("file").agg(longest.alias("headers")).select("file", named("headers").alias("names")), "headers")  # a row for each file
+    rows = rows.join(F.broadcast(names) if names.count() <= MAX_FILES else names, "file")
+    cells = F.transform("cells", lambda c, k: F.struct(F.get("names", k).alias("name"), safe_text(c["value"]).alias("value")))
+    rows = rows.withColumn("found", F.filter(cells, lambda c: c["value"] != ""))
+    values = lambda aliases: F.transform(F.filter("found", lambda c: c["name"].isin(sorted({header_name(a) for a in aliases}))), lambda c: c["value"])
+    first = lambda aliases: F.coalesce(F.get(values(aliases), 0), F.lit(""))
+    out = {name: first(aliases) for name, aliases in EXPORTS[database].items() if name != "keywords"} | {"volume": first(VOLUME_ALIASES)}
+    out["keywords"] = F.array_join(F.array_distinct(values(EXPORTS[database]["keywords"])), "; ")
+    dois = F.filter(F.transform("found", lambda c: extract_doi(c["value"])), lambda x: x != "")
+    out["doi"] = F.coalesce(F.nullif(out["doi"], F.lit("")), F.get(dois, 0), F.lit(""))
+    display = DATABASES[database][0]
+    constants = {"master_id": F.lit(""), "database": F.lit(display), "metadata_status": F.lit("IMPORTED"), "metadata_source": F.lit(f"{display} export")}
+    return rows.select(F.struct("file", "row").alias("seq"), *[(out | constants)[c].alias(c) for c in CANONICAL])
 
 
 def import_database(spark: SparkSession, database: str, path: str) -> DataFrame | None:

@@ -1,0 +1,65 @@
+"""Calls of several tasks under one rate, one cap and one stop."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from codexa.operators import resolve as rs
+from codexa.plans import enrichment as en
+
+
+def simulated(n, partitions, pause, seed, stop_at=None):
+    """Runs tasks with clocks of their own, one step of whichever is earliest at a time; (time, seq) of the calls made."""
+    r = random.Random(seed)
+    now = [r.random() * 3 for _ in range(partitions)]
+    made, up = [], []
+    state = {"task": 0}
+
+    def provider(doi):
+        k = state["task"]
+        made.append((now[k], int(doi)))
+        now[k] += r.choice([0.01, 0.3, 2.5])  # how long the call takes
+        return ("RATE_LIMIT" if stop_at is not None and int(doi) == stop_at else "FOUND"), {"doi": doi}, ""
+
+    def wait_in(k):
+        def wait(s):
+            now[k] += s
+
+        return wait
+
+    calls = lambda k: ((i, str(i)) for i in range(k, n, partitions))
+    tasks = {k: en.paced(calls(k), provider, pause, k, partitions, 0.0, lambda: bool(up), lambda: up.append(1), lambda k=k: now[k], wait_in(k)) for k in range(partitions)}
+    answers = []
+    while tasks:
+        k = min(tasks, key=lambda k: now[k])
+        state["task"] = k
+        try:
+            answers.append(next(tasks[k]))
+        except StopIteration:
+            del tasks[k]
+    return made, answers
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rate_holds_over_tasks(seed):
+    made, answers = simulated(60, 4, 0.5, seed)
+    times = sorted(t for t, _ in made)
+    assert len(made) == 60 == len({i for _, i in made}) and sorted(a[0] for a in answers) == list(range(60))
+    assert all(b - a >= 0.5 - 1e-9 for a, b in zip(times, times[1:]))
+
+
+def test_a_stop_ends_all_tasks():
+    made, answers = simulated(400, 4, 0.5, 1, stop_at=41)
+    assert 41 in {i for _, i in made} and len(made) < 60
+    stop = next(t for t, i in made if i == 41)
+    assert all(t <= stop + 2.5 * 4 for t, _ in made)
+    assert sum(a[1] == "RATE_LIMIT" for a in answers) == 1
+
+
+def test_partitions_of_spark(spark):
+    rows = spark.range(1, 41).select(F.col("id").alias("seq"), F.concat(F.lit("10.1234/"), "id").alias("doi"), F.when(F.col("id") <= 30, F.col("id")).alias("call"))
+    got = en.call(rows, lambda doi: ("FOUND", {"doi": doi}, ""), partitions=4).collect()
+    assert sorted(r.seq for r in got) == list(range(1, 31))  # the plan's cap
+    stopping = rs.keep(en.call(rows, lambda doi: ("RATE_LIMIT" if doi.endswith("/5") else "FOUND", None, ""), pause=0.05, partitions=4), "answers")
+    assert stopping.where("status = 'RATE_LIMIT'").count() == 1 and stopping.count() < 30
