@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         return Model(np.zeros((0, 1 << BITS)), np.zeros(0), 0.0)
     prior = min(max(toxic / n, 1e-3), 0.9)
     confirmed = known.where((F.col("y") == 1) & (unit(F.col("doc_id"), seed=5) < share(toxic, max_positive))).select("doc_id", F.lit(True).alias("p"), F.lit(False).alias("u"))
-    drawn = ids.where(unit(F.col("doc_id"), seed=13) < share(ids.count(), max_unlabelled)).select("doc_id", F.lit(False).alias("p"), F.lit(True).alias("u"))
+    drawn = ids.where(unit(F.col("doc_id"), seed=13) < share(ids.agg(F.count_distinct("doc_id")).first()[0], max_unlabelled)).select("doc_id", F.lit(False).alias("p"), F.lit(True).alias("u"))
     picked = confirmed.unionByName(drawn).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))  # of about as many ids as the bounds say
 
     def indicators(x):
