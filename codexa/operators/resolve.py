@@ -299,6 +299,7 @@ def single_earlier(rows: DataFrame, same: tuple, agree: tuple) -> DataFrame:
     against each other, not rows. A class' two smallest seqs over all classes that agree with it tell for each of its rows
     whether one earlier row is there (the first lies before it, the second does not)."""
     keys = [*same, *agree]
+    rows = keep(rows.select("seq", *keys), "rows")
     classes = keep(two_smallest(rows, keys, "seq"), "classes")
     other = classes.select(*[F.col(c).alias(f"o_{c}") for c in keys], F.array("first", "second").alias("o_seqs"))
     meet = [F.col(c) == F.col(f"o_{c}") for c in same] + [(F.col(c) == F.col(f"o_{c}")) | (F.col(c) == "") | (F.col(f"o_{c}") == "") for c in agree]

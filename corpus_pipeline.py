@@ -48,6 +48,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        made = scratch.keep(stage(spark, docs, sf_dir), name)
+        if k:  # what the stage before wrote is read no more
+            scratch.drop(docs)
+        docs = made
     return docs
