@@ -52,6 +52,16 @@ def test_nbib(spark, tmp_path):
     assert (b.source_id, b.volume, b.url) == ("PUBMED-0002", "7", "")
 
 
+def test_html_with_entities_that_are_cut_off(spark, tmp_path):
+    pages = ["<title>a &amp</title>b &amp; c&amp;amp;&copy;&middot;&quot;", "x &copy 2 &ampy; &nosuch; &amp", None, "<p>&quot</p>", ""]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = {k: v or "" for k, v in con.sql(own.SQL["clean_html_pages"]).fetchall()}
+    got = {r.page_id: r.text for r in own.QUERIES["clean_html_pages"](spark, str(tmp_path)).collect()}
+    assert got == want and "a &amp b" in got[0]
+
+
 def test_tables(spark, tmp_path):
     write(tmp_path, "a.csv", 'EID;Title;Volume\n1;"x; y";2\n')
     (tmp_path / "b.csv").write_bytes("Title,EID\nCaf\xe9,9\n".encode("latin-1"))
