@@ -229,9 +229,25 @@ def decode(data: bytes) -> str:
         return data.decode("latin-1")
 
 
+DELIMITERS = ",;\t|"
+
+
 def sniff(sample: str) -> str:
+    """The delimiter that cuts the first record, the headers, in two or more, and then most of the sample's other whole records in as many;
+    of equals the one with more headers. Where none does, a file of one column, what csv.Sniffer takes it for, else a comma."""
+    found = []
+    for d in DELIMITERS:
+        try:
+            rows = [r for r in csv.reader(io.StringIO(sample, newline=""), delimiter=d) if r]
+        except csv.Error:
+            continue
+        n, rest = len(rows[0]) if rows else 0, rows[1:-1] or rows[1:]  # the last one may be cut off
+        if n > 1:
+            found.append((sum(len(r) == n for r in rest) / len(rest) if rest else 0.0, n, d))
+    if found:
+        return max(found, key=lambda x: x[:2])[2]
     try:
-        return csv.Sniffer().sniff(sample, ",;\t|").delimiter
+        return csv.Sniffer().sniff(sample, DELIMITERS).delimiter
     except csv.Error:
         return ","
 

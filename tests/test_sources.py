@@ -62,6 +62,15 @@ def test_html_with_entities_that_are_cut_off(spark, tmp_path):
     assert got == want and "a &amp b" in got[0]
 
 
+def test_delimiter_of_texts_full_of_other_signs():
+    head = "EID;Document Title;Authors;Year\n"
+    shout = "".join(f'S{k};"{"LY!! RETIOR,!! TO!! | THEA!! " * 40}";src{k};20{k:02d}\n' for k in range(20))
+    assert src.sniff((head + shout)[:8192]) == ";" and src.sniff(head) == ";"
+    assert src.sniff(head + f'S1;"{"a, b,\n" * 2000}') == ";"  # the first record does not end in the sample
+    assert src.sniff("a|b|c\n1,2|3|4,5\n") == "|" and src.sniff("a\tb\n1\t2;3;4\n") == "\t"
+    assert src.sniff("Title\nOne, two\n") == "," and src.sniff("") == ","
+
+
 def test_tables(spark, tmp_path):
     write(tmp_path, "a.csv", 'EID;Title;Volume\n1;"x; y";2\n')
     (tmp_path / "b.csv").write_bytes("Title,EID\nCaf\xe9,9\n".encode("latin-1"))
