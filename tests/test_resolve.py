@@ -53,6 +53,35 @@ def test_components_both_ways(spark):
     assert sorted(map(tuple, rs.components(keys, 0).collect())) == sorted(map(tuple, rs.components(keys).collect()))
 
 
+def test_joins_that_grow_are_not_broadcast(spark, monkeypatch):
+    plans, kept = [], rs.keep
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(rs, "keep", noted)
+    rs.components(spark.createDataFrame([(i, f"k{i // 2}") for i in range(40)], "seq long, key string"), 0)
+    for df in (*rs.internal_dedup(records(spark, random_rows(60, 3))), rs.upsert(records(spark, random_rows(9, 1)), records(spark, random_rows(60, 2)).withColumn("seq", F.col("seq") + 100))[1]):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and sum("ShuffledHashJoin" in p for p in plans) > 5
+    big = [p for p in plans if "Broadcast" in p.replace("__start", "") and "__part" not in p]
+    assert not big  # but for the starts of ranges, a row for each partition
+
+
+def test_fold_gets_no_texts_and_lets_survivors_go(spark):
+    rows = records(spark, [{"title": "One", "doi": f"10.1/{i}", "abstract": f"text {i} " * 50 if i else "", "url": " u "} for i in range(6)] + [{"title": "One", "doi": "10.1/0", "abstract": "  taken ", "url": "w"}])
+    done = rs.fold(rows.withColumn("existing", F.lit(False)), rs.MASTER)
+    got = {r.seq: r for r in done.collect()}
+    assert got[0].abstract == "taken" and got[0].url == " u " and not got[6].kept and got[6].abstract == "  taken " and got[6].fields_filled == "abstract"
+    assert all(got[i].abstract == f"text {i} " * 50 for i in range(1, 6))
+    state = rs.Fold(rs.MASTER, [])
+    for i in range(3):
+        state.add({"seq": i, "_title": "one", "_doi": "", "_db": ""})
+    for i, row in enumerate(state.survivors()):
+        assert row["kept"] and state.rows[i] == {}
+
+
 def test_ambiguous_title_stays(spark):
     rows = [{"title": "Same", "volume": v} for v in ("1", "2", "")]
     unique, report = rs.internal_dedup(records(spark, rows))
