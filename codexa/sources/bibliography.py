@@ -9,9 +9,10 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +22,33 @@ from ..operators.resolve import keep
 from ..operators.schema import CANONICAL, EXPORTS, VOLUME_ALIASES
 from . import bibtex, splits, workbooks
 
-ENTRY = "array<struct<line:int,type:string,key:string,fields:array<struct<name:string,value:string>>,error:string>>"
+#: Rows that a task hands on at once.
+EMITTED = 1000
+PAIR = lambda name: pa.list_(pa.struct([(name, pa.string()), ("value", pa.string())]))
+ENTRY = {"line": ("int", pa.int32()), "type": ("string", pa.string()), "key": ("string", pa.string()), "fields": ("array<struct<name:string,value:string>>", PAIR("name")), "error": ("string", pa.string())}
+
+
+def parsed_files(contents: DataFrame, keys: list[str], made: dict[str, tuple], parse: Callable[[bytes], Iterator[dict]]) -> DataFrame:
+    """The keys of each file (keys, content), `row`, and what `parse` gives of its content, a row each. made: Spark's and Arrow's type of
+    each column. A task holds the results of one file at most and hands them on as they come."""
+
+    def run(batches):
+        out, names = [], None
+        for batch in batches:
+            names = pa.schema([*[batch.schema.field(k) for k in range(len(keys))], ("row", pa.int32()), *[(c, t) for c, (_, t) in made.items()]])
+            for k in range(batch.num_rows):
+                *own, content = (c[k].as_py() for c in batch.columns)
+                same = dict(zip(keys, own, strict=True))
+                for row, x in enumerate(parse(bytes(content)) if content is not None else ()):
+                    out.append(same | {"row": row} | x)
+                    if len(out) == EMITTED:
+                        yield pa.RecordBatch.from_pylist(out, schema=names)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=names)
+
+    schema = ", ".join([*[f"`{c}` {contents.schema[c].dataType.simpleString()}" for c in keys], "row int", *[f"`{c}` {t}" for c, (t, _) in made.items()]])
+    return contents.select(*keys, "content").mapInArrow(run, schema)
 
 
 def parse_bibtex(text: str, keep_first: frozenset[str] = frozenset()) -> Iterator[dict]:
@@ -122,13 +149,8 @@ def named_values(entries: DataFrame, strings: DataFrame) -> DataFrame:
 def bibtex_entries(contents: DataFrame, recover_copyright: bool = False) -> DataFrame:
     """file, line, type, key and fields of all entries of files given as rows (name, file, content). ValueError as in `refuse`."""
     first = frozenset({"copyright"}) if recover_copyright else frozenset()
-
-    @F.pandas_udf(ENTRY)
-    def parsed(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: list(parse_bibtex(b.decode("utf-8-sig", "replace"), first)))
-
-    rows = contents.select("name", "file", F.posexplode(parsed("content")).alias("row", "x")).select("name", "file", "row", "x.*")
-    rows = keep(rows, "entries")  # parsed once
+    parse = lambda b: parse_bibtex(b.decode("utf-8-sig", "replace"), first)
+    rows = keep(parsed_files(contents, ["name", "file"], ENTRY, parse), "entries")  # parsed once
     refuse(rows)
     return rows.drop("error")
 
@@ -184,12 +206,8 @@ def read_nbib(spark: SparkSession, path: str) -> DataFrame:
 
 def nbib_tags(contents: DataFrame) -> DataFrame:
     """file, row and tags (tag -> values) of all records of files (file, content)."""
-
-    @F.pandas_udf("array<array<struct<tag:string,value:string>>>")
-    def parsed(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: [[{"tag": t, "value": v} for t, v in r] for r in parse_nbib(b.decode("utf-8", "replace"))])
-
-    return contents.select("file", F.posexplode(parsed("content")).alias("row", "tags"))
+    parse = lambda b: ({"tags": [{"tag": t, "value": v} for t, v in r]} for r in parse_nbib(b.decode("utf-8", "replace")))
+    return parsed_files(contents, ["file"], {"tags": ("array<struct<tag:string,value:string>>", PAIR("tag"))}, parse)
 
 
 def nbib_records(records: DataFrame) -> DataFrame:
@@ -294,16 +312,12 @@ WORKBOOKS = (".xlsx", ".xls")
 def table_cells(contents: DataFrame) -> DataFrame:
     """file, row and cells (header -> text) of .csv, .txt, .tsv, .xlsx and .xls files (name, file, content); all values are text."""
 
-    @F.pandas_udf("array<array<struct<header:string,value:string>>>")
-    def parsed(content: pd.Series) -> pd.Series:
-        out = []
-        for b in content:
-            rows = [r for r in parse_delimited(b) if r]
-            out.append([[{"header": h, "value": v} for h, v in zip(rows[0], r, strict=False)] for r in rows[1:] if any(r)] if rows else [])
-        return pd.Series(out)
+    def parse(b: bytes) -> Iterator[dict]:
+        rows = [r for r in parse_delimited(b) if r]
+        return ({"cells": [{"header": h, "value": v} for h, v in zip(rows[0], r, strict=False)]} for r in rows[1:] if any(r))
 
     book = F.lower("name").rlike(r"\.xlsx?$")
-    plain = contents.where(~book).select("file", F.posexplode(parsed("content")).alias("row", "cells"))
+    plain = parsed_files(contents.where(~book), ["file"], {"cells": ("array<struct<header:string,value:string>>", PAIR("header"))}, parse)
     return plain.unionByName(workbook_cells(contents.where(book)))
 
 

@@ -71,6 +71,17 @@ def test_delimiter_of_texts_full_of_other_signs():
     assert src.sniff("Title\nOne, two\n") == "," and src.sniff("") == ","
 
 
+def test_files_given_as_rows_are_handed_on_in_parts(spark, monkeypatch):
+    """A task holds no batch of files with all that is parsed of them: no UDF over the files, and parts across their bounds."""
+    text = "".join(f"PMID- {k}\nTI  - Title {k}\n\n" for k in range(700))
+    contents = spark.createDataFrame([(f, f"{f}.nbib", bytearray(text.encode())) for f in range(4)] + [(4, "none.nbib", bytearray()), (5, "null.nbib", None)], "file int, name string, content binary").coalesce(1)
+    found = src.nbib_tags(contents)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    got = sorted((r.file, r.row, r.tags[1].value) for r in found.collect())
+    assert got == [(f, k, f"Title {k}") for f in range(4) for k in range(700)]
+
+
 def test_tables(spark, tmp_path):
     write(tmp_path, "a.csv", 'EID;Title;Volume\n1;"x; y";2\n')
     (tmp_path / "b.csv").write_bytes("Title,EID\nCaf\xe9,9\n".encode("latin-1"))
