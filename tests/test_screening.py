@@ -1,10 +1,15 @@
 """The decision cascade over its whole truth table, result rows and summaries."""
 
 import itertools
+import json
 
 from pyspark.sql import functions as F
 
+from codexa import queries as q
 from codexa.functions import signals as sig
+from codexa.functions import text as tx
+from codexa.operators import checkpoint as cp
+from codexa.operators.schema import CANONICAL
 from codexa.plans import screening as scr
 
 TEXTS = {
@@ -75,3 +80,44 @@ def test_error_kinds(spark):
     df = spark.createDataFrame([("HTTP 429",), ("permission_denied",), ("High demand",), (None,)], "e string")
     got = df.select(*[scr.error_is(k, F.col("e")).alias(k) for k in scr.ERROR_CUES]).collect()
     assert [tuple(r) for r in got] == [(True, False, False), (False, True, False), (False, False, True), (False, False, False)]
+
+
+def plan_text(df) -> str:
+    """The optimized plan, with all columns."""
+    spark, name = df.sparkSession, "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_signal_text_is_worked_out_once(spark):
+    """All terms are sought in one lower-cased text; written out for each term, it was made anew for each."""
+    rows = spark.createDataFrame([[""] * len(CANONICAL)], list(CANONICAL))
+    answers = spark.createDataFrame([], "master_id string, " + ", ".join(f"{c} string" for c in (*scr.LABELS, *scr.EVIDENCE, "notes", "api_error")))
+    assert plan_text(scr.results(rows, answers, q.CONFIG)).count("lower(concat_ws(") == 1
+
+
+def test_first_lines_are_found_without_splitting(spark):
+    plan = plan_text(q.canonical(spark, "/root/testdata/sf0.001"))
+    assert "substring_index" in plan and "split" not in plan
+    text = spark.createDataFrame([("a\nb",), ("",), ("\nb",), ("a",), ("a\r\nb\nc",), (None,)], "t string")
+    assert text.where("not (split_part(t, chr(10), 1) <=> substring_index(t, chr(10), 1))").isEmpty()
+
+
+def test_texts_are_hashed_before_they_move(spark):
+    """Saved results and records are joined by their keys; the join carried titles, abstracts and keywords of both."""
+    saved, now = q.saved(spark, "/root/testdata/sf0.001"), q.articles(spark, "/root/testdata/sf0.001")
+    for done in (q.QUERIES["checkpoint_valid"](spark, "/root/testdata/sf0.001"), cp.reconcile(saved, now, q.CONFIG).select("master_id", "refreshed")):
+        plan = plan_text(done)
+        assert not [c for c in ("s_abstract", "c_abstract", "s_keywords", "c_keywords", "Union") if c in plan]
+
+
+def test_white_space_and_escapes_as_in_python(spark):
+    """Every white space at either end goes, and JSON texts are Python's."""
+    texts = [f"{a}{chr(c)}x{chr(c)}\\\"{chr(c)}" for c in (*range(1, 0x100), 0x1680, *range(0x2000, 0x2030), 0x205F, 0x3000, 0x1F600) for a in ("", "\\u001f")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", tx.safe_text(F.col("t")), tx.json_text(F.col("t"))).collect()
+    assert all(a == t.strip() and b == json.dumps(t, ensure_ascii=False) for t, a, b in got)
