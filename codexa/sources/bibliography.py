@@ -358,7 +358,8 @@ def table_records(rows: DataFrame, database: str) -> DataFrame:
 
 
 def import_database(spark: SparkSession, database: str, path: str) -> DataFrame | None:
-    """All records of a database's folder in order: NBIB before BibTeX before tables, files by name. None without files."""
+    """All records of a database's folder in order: NBIB before BibTeX before tables, files by name. None without files. They are kept, as
+    whoever numbers them reads them more than once."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
@@ -375,4 +376,4 @@ def import_database(spark: SparkSession, database: str, path: str) -> DataFrame
     for k, part in enumerate(parts):
         part = part.withColumn("seq", F.struct(F.lit(k).alias("format"), F.col("seq.file").alias("file"), F.col("seq.row").alias("row")))
         out = part if out is None else out.unionByName(part)
-    return out
+    return keep(out, "imported")

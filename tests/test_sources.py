@@ -127,3 +127,11 @@ def test_query_equals_sql(spark, name):
     assert same(own.QUERIES[name](spark, DATA).toPandas(), con.sql(own.SQL[name]).df())
 
 
+
+
+def test_imported_records_are_kept(spark, tmp_path):
+    """Numbering and finalizing read the records several times, which parsed the files' values again each time."""
+    (tmp_path / "x.bib").write_text("@article{a, title={A}, doi={10.1234/a}}\n@article{b, title={B}}\n")
+    rows = src.import_database(spark, "acm", f"file://{tmp_path}")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "fields" not in plan and [r.title for r in rows.orderBy("seq").collect()] == ["A", "B"]
