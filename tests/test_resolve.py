@@ -233,3 +233,41 @@ def test_merge_resets_no_doi_for_a_doi_only(spark):
     for text, status in (("doi:", "NO_DOI"), ("10.1/Q", "")):
         (row,) = rs.merge_enrichment(old, spark.createDataFrame([(5, "T", text, "FOUND", "")], old.schema)).collect()
         assert (row.doi, row.springer_api_status) == (text, status)
+
+
+def test_a_title_of_many_records_is_not_searched_through(monkeypatch):
+    """What a record is held against doesn't grow with the survivors of its title, and survivors are found where fills have put them."""
+    from codexa.operators.schema import CANONICAL
+
+    def compared(n: int) -> float:
+        state, calls, differ = rs.Fold(rs.MASTER, list(CANONICAL)), 0, rs._differ
+
+        def counted(a, b):
+            nonlocal calls
+            calls += 1
+            return differ(a, b)
+
+        monkeypatch.setattr(rs, "_differ", counted)
+        for k in range(n):  # no two agree in DOI or, without one, in volume
+            doi, volume = (f"10.1/{k}", "") if k % 2 else ("", "") if not k else (f"10.2/{k}", str(k))
+            row = dict.fromkeys(CANONICAL, "") | {"seq": k, "source_id": "S", "title": "One", "volume": volume, "doi": doi, "_doi": doi, "_title": "one", "_db": "acm"}
+            state.add(row)
+            state.match(row | {"_doi": f"10.3/{k}", "doi": f"10.3/{k}"})
+        monkeypatch.setattr(rs, "_differ", differ)
+        return calls / n
+
+    assert compared(800) < 2 * compared(100) + 5
+
+
+def test_pairs_of_keys_are_joined_once(spark, monkeypatch):
+    """Components by pairs of keys are those of records, and what rounds go over is no more when records come again."""
+    given, kept = [], rs.components
+    monkeypatch.setattr(rs, "components", lambda keys: given.append(keys.count()) or kept(keys))
+    rows = [(0, 1, 10), (1, 2, 10), (2, 2, 0), (3, 3, 0), (4, 0, 11), (5, 4, 11), (6, 4, 12), (7, 5, 13), (8, 0, 0), (9, 3, 0), (10, 0, 14)]
+    for more in (rows, rows + [(s + 100, t, d) for s, t, d in rows if s in (0, 1, 2, 3, 4, 5, 6, 9)]):
+        found = {(r["_kt"], r["_kd"]): r["comp"] for r in rs.pair_components(spark.createDataFrame(more, "seq long, _kt long, _kd long")).collect()}
+        groups = {}
+        for pair, comp in found.items():
+            groups.setdefault(comp, set()).add(pair)
+        assert sorted(map(sorted, groups.values())) == [[(0, 11), (4, 11), (4, 12)], [(1, 10), (2, 0), (2, 10)], [(3, 0)]]
+    assert given[0] == given[1] < 8
